@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,30 +76,65 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return materialize(body.join(known, "_id").select("text", "label"), "labelled")
 
 
-class WordTable(dict):
-    """Word -> row of a growing matrix of per-word measures, so that each distinct word is measured once.
+def worker_memory(name: str) -> dict:
+    """A dict that a Python worker keeps from task to task, for things that cost time to make again. No result depends on it."""
+    kept = sys.modules.setdefault("_docketry_memory", types.ModuleType("_docketry_memory"))
+    return kept.__dict__.setdefault(name, {})
 
-    ``measure(word)`` gives the row. At ``limit`` distinct words ``fit`` starts
-    over, which bounds memory and changes no result.
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, each word's place among them, each text's first word) of texts, by ASCII white space; null texts have none.
+
+    The third has one more entry than there are texts.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    words, at, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if "" in words:
+        some = at != words.index("")
+        at, bounds = at[some], np.concatenate([[0], np.cumsum(some)])[bounds]
+    return words, at, bounds
+
+
+class WordTable:
+    """A row of ``width`` numbers for each word, so that ``measure(word)`` runs once for each distinct word.
+
+    Beyond ``limit`` words it starts over, which bounds memory and changes no result.
     """
 
     def __init__(self, measure, width: int, limit: int = 300_000):
-        super().__init__()
-        self.measure, self.limit = measure, limit
+        self.measure, self.limit, self.known = measure, limit, {}
         self.rows = np.zeros((4096, width), dtype=np.float32)
 
-    def __missing__(self, word):
-        at = len(self)
-        if at == len(self.rows):
+    def of(self, words: list[str]) -> np.ndarray:
+        """The rows of distinct words."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        first, last = len(self.known), len(self.known) + len(new)
+        while last > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.measure(word)
-        self[word] = at
-        return at
+        if new:
+            self.rows[first:last] = [self.measure(w) for w in new]
+            self.known.update(zip(new, range(first, last)))
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+
+def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + length[0] - 1, first[1] .. and so on."""
+    ends = np.cumsum(length)
+    return np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def sums(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of rows between bounds; zeros where there are none."""
+    out = np.zeros((len(bounds) - 1, rows.shape[1]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(rows, bounds[some], axis=0, dtype=np.float64)
+    return out
 
-    def fit(self) -> None:
-        """To be called between texts."""
-        if len(self) > self.limit:
-            self.clear()
 
-    def index(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+def as_lists(rows: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow array of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, labelled_sample, materialize
+from docketry.llm.common import WordTable, as_lists, labelled_sample, materialize, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -23,7 +23,7 @@ STATISTICS = ("log_words", "word_length", "word_length_spread", "types", "repeat
 
 
 def statistics(limit: int = 300_000):
-    """text -> STATISTICS, as a function with a memory of words. Empty and null texts have no words and lie at one point."""
+    """Texts -> rows of STATISTICS, as a function with a memory of words. Empty and null texts have zeros."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1).compress
@@ -33,37 +33,51 @@ def statistics(limit: int = 300_000):
         letters = sum(map(str.isalpha, word))
         upper = sum(map(str.isupper, word))
         symbols = sum(c in marks for c in word)
-        return len(word), letters, upper, letters > 1 and upper == letters, symbols, symbols > 0, word.count("!"), word[-1] in ".?…", sum(map(str.isdigit, word))
-
-    table = WordTable(measure, 9, limit)
-
-    def one(text: str | None) -> list[float]:
-        text = text or ""
-        words = text.split()
-        if not words:
-            return [0.0] * len(STATISTICS)
-        table.fit()
-        at = table.index(words)
-        rows = table.rows[at]
-        n, s = len(words), rows.sum(axis=0, dtype=np.float64)
-        lines = [x for x in text.split("\n") if x.strip()]
-        types = len(np.unique(at))
-        rate = lambda k, base=n: math.log((k + 0.25) / (base + 0.5))
-        raw = text.encode()
-        return [
-            math.log1p(n), s[0] / n, math.log1p(float(rows[:, 0].std())), math.log(types) / math.log(n + 1), rate(np.count_nonzero(at[1:] == at[:-1])), rate(s[2], max(1.0, s[1])),
-            rate(s[3]), rate(s[4]), rate(s[5]), rate(s[6]), rate(s[7]), rate(s[8]), rate(len(lines)), rate(len(lines) - len(set(lines)), len(lines)), math.log(len(press(raw)) / len(raw)),
+        n = len(word)
+        return n, letters, upper, letters > 1 and upper == letters, symbols, symbols > 0, word.count("!"), word[-1] in ".?…", sum(map(str.isdigit, word)), n * n
+
+    table = WordTable(measure, 10, limit)
+
+    def rate(k: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return np.log((k + 0.25) / (base + 0.5))
+
+    def some(texts: pa.Array) -> np.ndarray:
+        words, at, bounds = split_words(texts)
+        n = np.diff(bounds)
+        doc = np.repeat(np.arange(len(n)), n)
+        s = sums(table.of(words)[at], bounds)
+        types = np.bincount(np.unique(doc * max(1, len(words)) + at) // max(1, len(words)), minlength=len(n))
+        again = np.bincount(doc[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])], minlength=len(n))
+        whole = np.array([_whole(x, press) for x in texts.to_pylist()]).reshape(len(n), 3)
+        one = np.maximum(n, 1)
+        mean = s[:, 0] / one
+        columns = [
+            np.log1p(n), mean, np.log1p(np.sqrt(np.maximum(s[:, 9] / one - mean**2, 0))), np.log(np.maximum(types, 1)) / np.log(one + 1), rate(again, n), rate(s[:, 2], np.maximum(1, s[:, 1])),
+            rate(s[:, 3], n), rate(s[:, 4], n), rate(s[:, 5], n), rate(s[:, 6], n), rate(s[:, 7], n), rate(s[:, 8], n), rate(whole[:, 0], n), rate(whole[:, 1], whole[:, 0]), whole[:, 2],
         ]
+        return np.where(n[:, None] > 0, np.stack(columns, axis=1), 0.0)
 
-    return one
+    def run(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros((0, len(STATISTICS))), *(some(texts.slice(k, 512)) for k in range(0, len(texts), 512))])
+
+    return run
+
+
+def _whole(text: str | None, press) -> tuple[int, int, float]:
+    """(lines with words, those that repeat an earlier one, log of the compressed share) of a text."""
+    if not text:
+        return 0, 0, 0.0
+    lines = [x for x in text.split("\n") if x.strip()]
+    raw = text.encode()
+    return len(lines), len(lines) - len(set(lines)), math.log(len(press(raw)) / len(raw))
 
 
 def statistics_udf():
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = statistics()
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = statistics()
         for texts in batches:
-            yield pd.Series([one(x) for x in texts])
+            yield as_lists(of(texts))
 
     return run
 
@@ -102,12 +116,11 @@ class QualityModel(NamedTuple):
         """``docs`` with ``score`` (that the label is 1) and ``predicted``. Each text is judged whole and alone; columns with these names are replaced."""
         model = self
 
-        @F.pandas_udf("double")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            one = statistics()
+        @F.arrow_udf("double")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            of = statistics()
             for texts in batches:
-                rows = np.array([one(x) for x in texts], dtype=np.float64).reshape(len(texts), len(STATISTICS))
-                yield pd.Series(model.probability(rows))
+                yield pa.array(model.probability(of(texts)))
 
         out = docs.withColumn("score", run(F.col(text)))
         return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

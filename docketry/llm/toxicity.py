@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, labelled_sample, materialize
+from docketry.llm.common import WordTable, as_lists, labelled_sample, materialize, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -85,20 +86,16 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
 
 
 def toxicity_features(lexicon: dict[str, float]):
-    """A pandas UDF: text -> FEATURES as an array. Null and empty texts have zeros."""
+    """An Arrow UDF: text -> FEATURES as an array. Null and empty texts have zeros."""
 
-    @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         marks = re.compile(r"[^\w\s]")
         disguise = re.compile(r"[a-z][0-9@$*!|+]+[a-z]|^[@$0-9*]+[a-z]{2}|(?:[a-z][.\-_*]){3}|([a-z])\1{2,}")
 
-        def grade(word: str) -> float:
-            w = plain(word)
-            return lexicon.get(w, 0.0)
-
         def measure(word: str) -> tuple:
-            own = grade(word)
             w = plain(word)
+            own = lexicon.get(w, 0.0)
             stem = max((lexicon.get(f"{w[:n]}~", 0.0) for n in STEMS if len(w) > n), default=0.0)
             letters = sum(map(str.isalpha, word))
             upper = sum(map(str.isupper, word))
@@ -112,26 +109,28 @@ def toxicity_features(lexicon: dict[str, float]):
 
         table = WordTable(measure, 13)
 
-        def one(text: str | None) -> list[float]:
-            words = (text or "").split()
-            if not words:
-                return [0.0] * len(FEATURES)
-            table.fit()
-            rows = table.rows[at] if len(at := table.index(words)) else None
-            n, s = len(words), rows.sum(axis=0, dtype=np.float64)
-            hits, you = np.flatnonzero(rows[:, 12]), np.flatnonzero(rows[:, 3])
-            near = 0.0
-            if len(hits) and len(you):
-                place = np.searchsorted(you, hits)
-                gap = np.minimum(np.abs(hits - you[np.minimum(place, len(you) - 1)]), np.abs(hits - you[np.maximum(place - 1, 0)]))
-                near = float(np.mean(gap <= NEAR))
-            return [
-                s[0] / n, math.log1p(s[0]), s[1] / n, s[2] / n, math.log1p(s[2]), near, s[3] / n, s[5] / max(1.0, s[4]), s[6] / n,
-                s[7] / n, s[8] / n, s[9] / n, s[10] / n, math.log1p(s[11]), math.log1p(n),
-            ]
-
-        for texts in batches:
-            yield pd.Series([one(x) for x in texts])
+        def near(hits: np.ndarray, you: np.ndarray) -> float:
+            """The share of telling words with a second person within NEAR words."""
+            place = np.searchsorted(you, hits)
+            gap = np.minimum(np.abs(hits - you[np.minimum(place, len(you) - 1)]), np.abs(hits - you[np.maximum(place - 1, 0)]))
+            return float(np.mean(gap <= NEAR))
+
+        for batch in batches:
+            out = [np.zeros((0, len(FEATURES)))]
+            for k in range(0, len(batch), 512):
+                words, at, bounds = split_words(batch.slice(k, 512))
+                rows = table.of(words)[at]
+                s, n = sums(rows, bounds), np.maximum(np.diff(bounds), 1)
+                close = np.zeros(len(n))
+                for i in np.flatnonzero((s[:, 12] > 0) & (s[:, 3] > 0)):
+                    own = rows[bounds[i] : bounds[i + 1]]
+                    close[i] = near(np.flatnonzero(own[:, 12]), np.flatnonzero(own[:, 3]))
+                columns = [
+                    s[:, 0] / n, np.log1p(s[:, 0]), s[:, 1] / n, s[:, 2] / n, np.log1p(s[:, 2]), close, s[:, 3] / n, s[:, 5] / np.maximum(1, s[:, 4]), s[:, 6] / n,
+                    s[:, 7] / n, s[:, 8] / n, s[:, 9] / n, s[:, 10] / n, np.log1p(s[:, 11]), np.log1p(np.diff(bounds)),
+                ]
+                out.append(np.stack(columns, axis=1))
+            yield as_lists(np.concatenate(out))
 
     return features
 
