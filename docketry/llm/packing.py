@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize
+from docketry.llm.common import materialize, ranges, split_words, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -19,6 +23,8 @@ MIN_CUT = 32
 #: How many partitions' leftover windows one merging task takes.
 FAN_IN = 16
 END_ID = 1
+#: Texts that are encoded at once.
+TEXTS = 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, is_open boolean, part long"
 _SCHEMA = pa.schema(
@@ -114,47 +120,76 @@ class _Rows:
 
 
 class Encoder:
-    """Texts -> token ids as bytes (little-endian unsigned 32-bit), word by word with a memory of words.
-
-    The tokenizer of ``path`` never joins what white space parts, so each text is
-    the sum of its words. Of words in letters below U+0250 only the lower-case
-    form without a final comma or stop is encoded; the tokenizer lower-cases
-    letters and parts them from punctuation itself. This holds for tokenizers that
-    lower-case and drop white space, such as word_bpe_49k.
+    """Texts -> token ids, word by word, each distinct word once.
+
+    The tokenizer of ``path`` never joins what white space parts, and ends each of
+    its own words with a token of a kind that stands nowhere else. So many plain
+    words (Latin letters, perhaps one comma or stop) are encoded as one text, which
+    is cut after the right number of such tokens; other words are encoded one by
+    one. This holds for tokenizers with word ends that drop white space, such as
+    word_bpe_49k. Beyond ``limit`` words the memory of words starts over.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000, word_end: str = "</w>"):
+        # Spark runs a task for each core; threads of the library would only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.stems = Tokenizer.from_file(path), limit, {}, {}
-        self.marks = {"": b""} | {x: self._whole([x])[0] for x in (",", ".")}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _form(word: str) -> tuple[str, str]:
-        """(what to encode, the mark after it)."""
-        mark = word[-1] if word[-1] in ",." and len(word) > 1 else ""
-        stem = word[:-1] if mark else word
-        if stem.isalpha() and max(stem) < "ɐ":
-            return stem.lower(), mark
-        return word, ""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(word_end)]] = True
+        # Latin letters up to U+024F but U+0130, whose lower case has a combining dot.
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.]?").fullmatch
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known, self.used = {}, 0
+        self.first, self.length, self.pool = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32))
+
+    def _alone(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """(ids of all words, how many each has)."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [i for x in ids for i in x], np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        parts = np.fromiter((2 if w[-1] in ",." else 1 for w in words), np.int64, len(words))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != parts.sum():
+            return self._alone(words)
+        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+
+    def _learn(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if self.plain(w) else other).append(w)
+        done = [self._together(plain[k : k + 1000]) for k in range(0, len(plain), 1000)]
+        done.append(self._alone(other))
+        sizes, flat = (np.concatenate([x[k] for x in done]) for k in (1, 0))
+        at, end = len(self.known), self.used + len(flat)
+        for name, need in (("first", at + len(words)), ("length", at + len(words)), ("pool", end)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), need), held.dtype)]))
+        self.pool[self.used : end] = flat
+        self.length[at : at + len(words)] = sizes
+        self.first[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+        self.known.update(zip(plain + other, range(at, at + len(words))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's first id and the end)."""
         if len(self.known) > self.limit:
-            self.known.clear()
-            self.stems.clear()
-        # bytes.split() parts at ASCII's white space only, where str.split() also takes control characters.
-        known, stems, split = self.known, self.stems, [x.encode().split() for x in texts]
-        new = {w: self._form(w.decode()) for w in set().union(*split) if w not in known}
-        unseen = list({s for s, _ in new.values()} - stems.keys())
-        stems.update(zip(unseen, self._whole(unseen)))
-        for word, (stem, mark) in new.items():
-            known[word] = stems[stem] + self.marks[mark]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            self._reset()
+        words, at, bounds = split_words(texts)
+        known = self.known
+        if new := [w for w in words if w and w not in known]:
+            self._learn(new)
+        rows = np.fromiter(map(known.get, words, itertools.repeat(0)), np.int64, len(words))[at]
+        length = self.length[rows]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.pool[ranges(self.first[rows], length)], ends[bounds]
 
 
 def pack_documents(
@@ -180,15 +215,17 @@ def pack_documents(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows, encoder = _Rows(part << 32, part, keep_ids), None
+        rows = _Rows(part << 32, part, keep_ids)
         packer = Packer(rows.emit, window, open_windows, min_cut)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                for i, tokens in zip(ids[k : k + 256], encoder.encode([x or "" for x in texts[k : k + 256]])):
-                    packer.add(i, 0, tokens + end, len(tokens) // 4 + 1)
+            memory = worker_memory("encoders")
+            encoder = memory.get(tokenizer_path) or memory.setdefault(tokenizer_path, Encoder(tokenizer_path))
+            names = batch.column(0).to_pylist()
+            for k in range(0, len(names), TEXTS):
+                ids, bounds = encoder.encode(batch.column(1).slice(k, TEXTS))
+                for i, a, b in zip(names[k : k + TEXTS], bounds, bounds[1:]):
+                    packer.add(i, 0, ids[a:b].tobytes() + end, int(b - a) + 1)
             yield rows.take()
         packer.leave()
         yield rows.take()
