@@ -5,12 +5,12 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docketry.operators.extract import attribute_short_forms, citation_mentions, extraction_notes, merge_authorities, scan_documents
 from docketry.operators.reports import audit_reports, report_notes
 from docketry.operators.search import corpus_search, replay_search
 from docketry.operators.verdicts import findings
+from docketry.sources.shared import stage
 
 
 class Audit(NamedTuple):
@@ -23,18 +23,14 @@ def audit(documents: DataFrame, cases: DataFrame | None = None, replies: DataFra
     """Audit ``documents`` against a table of cases or against stored replies.
 
     Give ``cases`` (see ``corpus_search``) or ``replies`` (see ``replay_search``).
-    All three frames are lazy. Documents without citations have a report with zeros.
+    Documents are scanned once: mentions, citations, search results and findings
+    are written to the shared folder, and the reports read them. Documents without
+    citations have a report with zeros.
     """
-    mentions = attribute_short_forms(citation_mentions(scan_documents(documents, doc_id, text)))
-    citations = merge_authorities(mentions)
+    mentions = stage(attribute_short_forms(citation_mentions(scan_documents(documents, doc_id, text))), "mentions")
+    citations = stage(merge_authorities(mentions), "citations")
     checked = citations.where("kind = 'case'")
     results, status = corpus_search(checked, cases) if cases is not None else replay_search(checked, replies)
-    found = findings(checked, results, status, strict)
+    found = stage(findings(checked, stage(results, "results"), status, strict), "findings")
     reports = audit_reports(documents, found, citations.where("kind <> 'case'"), doc_id)
     return Audit(citations, found, report_notes(reports, extraction_notes(mentions)))
-
-
-def save(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Write a shared intermediate and read it back, so that later plans start from it."""
-    (df.repartition(partitions, F.col("doc_id")) if partitions else df).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

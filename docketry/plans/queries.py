@@ -18,6 +18,7 @@ from docketry.operators.verdicts import findings, slot_note
 from docketry.plans import derived as D
 from docketry.plans.audit import audit
 from docketry.plans.derived import table
+from docketry.sources.shared import stage
 
 ASCII_SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -35,8 +36,9 @@ def stated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = stated_citations(spark, sf_dir)
-    return findings(cited, *corpus_search(cited, D.cases(spark, sf_dir)))
+    cited = stage(stated_citations(spark, sf_dir), "stated")
+    results, status = corpus_search(cited, stage(D.cases(spark, sf_dir), "cases"))
+    return findings(cited, stage(results, "results"), status)
 
 
 def normalize_documents(spark, sf_dir):
@@ -66,9 +68,9 @@ def case_name_similarity(spark, sf_dir):
 
 def name_match_top1(spark, sf_dir):
     """The best case by name of each stated citation."""
-    cited = stated_citations(spark, sf_dir)
+    cited = stage(stated_citations(spark, sf_dir), "stated")
     best = F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc("sim"), "cluster_id"))
-    return match_names(cited, D.cases(spark, sf_dir)).withColumn("_n", best).where("_n = 1").select("doc_id", "idx", "cluster_id", "sim")
+    return match_names(cited, stage(D.cases(spark, sf_dir), "cases")).withColumn("_n", best).where("_n = 1").select("doc_id", "idx", "cluster_id", "sim")
 
 
 def slot_owner_unrelated(spark, sf_dir):
@@ -84,13 +86,13 @@ def verdict_findings(spark, sf_dir):
 
 def audit_report(spark, sf_dir):
     """A1-A5: briefs read from their text, checked and counted."""
-    done = audit(D.briefs(spark, sf_dir), D.cases(spark, sf_dir))
+    done = audit(D.briefs(spark, sf_dir), stage(D.cases(spark, sf_dir), "cases"))
     return done.reports.select("doc_id", "verified", "fabricated", "miscited", "unverifiable", "checkable", "total", "integrity_score", "check_coverage", "other_citations")
 
 
 def verdict_counts(spark, sf_dir):
     """The flagship: verdicts of all briefs, read from text, by rule."""
-    done = audit(D.briefs(spark, sf_dir), D.cases(spark, sf_dir))
+    done = audit(D.briefs(spark, sf_dir), stage(D.cases(spark, sf_dir), "cases"))
     return done.findings.groupBy("rule", "verdict", "error_class").agg(F.count("*").alias("n"), F.bround(F.avg("confidence"), 4).alias("confidence"))
 
 
@@ -258,7 +260,7 @@ def latest_replies(spark, sf_dir):
 
 def report_markdown(spark, sf_dir):
     """Reports as Markdown (rows only; the texts are ours)."""
-    done = audit(D.briefs(spark, sf_dir), D.cases(spark, sf_dir))
+    done = audit(D.briefs(spark, sf_dir), stage(D.cases(spark, sf_dir), "cases"))
     out = R.to_markdown(done.reports, done.findings, D.briefs(spark, sf_dir).select("doc_id", "title"))
     return out.select("doc_id", F.length("markdown").alias("n"), F.md5("markdown").alias("markdown_md5"))
 
