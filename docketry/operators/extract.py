@@ -52,7 +52,7 @@ def scan_citations(text: str | None) -> list[tuple]:
         volume = r"(?<![\w.])(\d{1,4})\s"
         for m in re.finditer(rf"{volume}({pattern}),?\sat\s(\d{{1,5}})(?!\w)", body):
             found.append((m.start(), m.end(), "short", m[0], m[1], m[2], m[3], None, kind, told))
-        page = r"(\d{1,6}(?:-U)?[a-z]?)" if kind != "statute" else r"(\d{1,5}[a-z]{0,2}(?:[.-]\d+)?)"
+        page = r"(\d{1,8}(?:-U)?[a-z]?)" if kind != "statute" else r"(\d{1,5}[a-z]{0,2}(?:[.-]\d+)?)"
         for m in re.finditer(rf"{volume}({pattern})\s?{section}{page}(?![\w])", body):
             pin = re.match(r",\s?(\d{1,5}(?:[-–]\d{1,5})?)(?=[\s,.;)(]|$)(?!\s[A-Z])", body[m.end() : m.end() + 20])
             found.append((m.start(), m.end(), "full", m[0], m[1], m[2], m[3], pin and pin[1], kind, told))

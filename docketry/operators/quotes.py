@@ -17,7 +17,7 @@ def closest_words(source: Column, quote: Column) -> Column:
     Both are comparable forms. Quotations of under five words and shorter sources have none.
     """
     words = F.split(quote, " ")
-    start = lambda n: F.locate(F.array_join(F.slice(words, 1, n), " "), source)
+    start = lambda n: F.instr(source, F.array_join(F.slice(words, 1, n), " "))
     at = F.when(start(6) > 0, start(6)).otherwise(start(4))
     window = F.array_join(F.slice(F.split(F.ltrim(F.substring(source, at, F.length(source))), " "), F.lit(1), F.size(words)), " ")
     return F.when((F.size(words) >= 5) & (word_count(source) >= F.size(words)) & (at > 0), blank_to_null(window))

@@ -28,9 +28,8 @@ def parsed_reply(payload: Column) -> Column:
     one = RAW_RECORD.replace("citation:array<string>", "citation:string")
     several = F.from_json(payload, f"results array<{RAW_RECORD}>", {"mode": "PERMISSIVE"})["results"]
     single = F.from_json(payload, f"results array<{one}>", {"mode": "PERMISSIVE"})["results"]
-    as_list = lambda r: r.withField("citation", F.when(r["citation"].isNotNull() & ~r["citation"].startswith("["), F.array(r["citation"])))
-    lists = F.when(F.exists(several, lambda r: r["citation"].isNotNull()), several)
-    return F.coalesce(lists, F.transform(single, as_list).cast(f"array<{RAW_RECORD}>"))
+    own = lambda r, i: F.coalesce(F.get(several, i)["citation"], F.when(~r["citation"].startswith("["), F.array(r["citation"])))
+    return F.transform(single, lambda r, i: r.withField("citation", own(r, i))).cast(f"array<{RAW_RECORD}>")
 
 
 def case_citations(cases: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def clean_reply(parsed: Column, passage: Column) -> Column:
     held = F.contains(comparable_quote(passage), comparable_quote(cited)) & (comparable_quote(cited) != "")
     return F.struct(
         F.when(level.isin(LEVELS), level).otherwise("unknown").alias("support"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"])).alias("confidence"),
+        F.when(parsed["confidence"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"]))).alias("confidence"),
         F.coalesce(parsed["rationale"], F.when(parsed.isNull(), F.lit("the reply could not be read")), F.lit("")).alias("rationale"),
         F.when(held, cited).alias("passage"),
     )
