@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, small
+from docketry.llm.common import fresh, materialize, small
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,12 +40,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     keys = keys.select("_id", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"))
     common = keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
     common = small(materialize(common.select("_a", "_b"), "common-lines"))
-    hits = keys.join(common, ["_a", "_b"]).groupBy("_id").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_drop"))
     own = docs.drop("n_lines", "n_dropped")
-    joined = own.join(hits, own[doc_id].eqNullSafe(hits["_id"]), "left").withColumn("_lines", lines)
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), line_hash(x)), F.lit(False)))
-    )
-    out = joined.withColumn("_kept", kept)
-    columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in own.columns]
-    return out.select(*columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+    key, drop, all_, left = fresh(docs, "_id", "_drop", "_lines", "_kept")
+    hits = keys.join(common, ["_a", "_b"]).groupBy(F.col("_id").alias(key)).agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias(drop))
+    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]), "left").withColumn(all_, lines)
+    kept = F.when(F.col(drop).isNull(), F.col(all_)).otherwise(F.filter(all_, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_hash(x)), F.lit(False))))
+    out = joined.withColumn(left, kept)
+    columns = [F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in own.columns]
+    return out.select(*columns, F.size(all_).cast("long").alias("n_lines"), (F.size(all_) - F.size(left)).cast("long").alias("n_dropped"))

@@ -73,7 +73,8 @@ def test_compression_base_measures(spark):
 
 
 def test_compression_bands_reject(spark):
-    noise = "".join(random.Random(2).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9000))
+    pick = random.Random(2).choice
+    noise = "".join(pick("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(9000))
     noise = " ".join(noise[k : k + 9] for k in range(0, 9000, 9))
     flat = " ".join(f"{'ab' * 40}{i % 3}{i}" for i in range(100))
     rows = spark.createDataFrame([(1, prose(1, 400)), (2, noise), (3, flat)], "doc_id long, text string")
