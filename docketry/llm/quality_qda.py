@@ -34,7 +34,7 @@ def statistics(limit: int = 300_000):
         upper = sum(map(str.isupper, word))
         symbols = sum(c in marks for c in word)
         n = len(word)
-        return n, letters, upper, letters > 1 and upper == letters, symbols, symbols > 0, word.count("!"), word[-1] in ".?…", sum(map(str.isdigit, word)), n * n
+        return n, letters, upper, letters > 1 and upper == letters, symbols, symbols > 0, word.count("!"), word.endswith((".", "?", "…")), sum(map(str.isdigit, word)), n * n
 
     table = WordTable(measure, 10, limit)
 
