@@ -87,7 +87,8 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame, width: int = 4) -> D
     """
     q = quotes.select(F.col("id").alias("quote_id"), comparable_quote("text").alias("_quote")).where("_quote <> ''")
     s = sources.select(F.col("id").alias("source_id"), comparable_quote("text").alias("_source"))
-    runs = lambda df, keep, text: df.select(keep, F.explode(shingles(F.split(text, " "), width)).alias("_run")).select(keep, F.xxhash64("_run").alias("_run"))
+    # The words are a column of their own: inside a lambda, an expression would be worked out for each of its elements.
+    runs = lambda df, keep, text: df.select(keep, F.split(text, " ").alias("_words")).select(keep, F.explode(shingles(F.col("_words"), width)).alias("_run")).select(keep, F.xxhash64("_run").alias("_run"))
     held = runs(q, "quote_id", "_quote")
     found = runs(s, "source_id", "_source").join(held.select("_run").distinct(), "_run")
     counts = found.groupBy("_run").agg(F.count("*").alias("_n"))

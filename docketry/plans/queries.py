@@ -364,20 +364,20 @@ ORACLES = {
       SELECT doc_id, o_orderkey::INT AS idx, given, recorded, court IS NOT NULL AND verdict <> 'unverifiable' AND recorded <> '' AND given <> recorded AS differs FROM k""",
     "year_advisory": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y') END AS year, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y') END <> (o_orderkey % 7 + 1992)::VARCHAR AS differs FROM orders""",
     "slot_reliability": f"""{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, o_orderkey % 13 <> 0 AND reporter <> 'WL' AND o_orderkey % 11 <> 0 AS reliable,
-      CASE WHEN o_orderkey % 13 = 0 THEN 'no reporter ' WHEN reporter = 'WL' THEN 'WL citations' WHEN o_orderkey % 11 = 0 THEN left('''' || matched_text || ''' uses a public', 12) END AS why FROM j""",
+      CASE WHEN o_orderkey % 13 = 0 THEN 'no reporter ' WHEN reporter = 'WL' THEN 'WL citations' WHEN o_orderkey % 11 = 0 THEN left('''' || matched_text || ''' is a public', 12) END AS why FROM j""",
     "quote_containment": f"""WITH q AS (SELECT item_id, {_QUOTE.format('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_QUOTE.format('text')} AS s FROM documents)
       SELECT item_id, doc_id FROM q JOIN s ON q <> '' AND contains(s, q)""",
     "distinctive_quotes": f"""WITH q AS (SELECT item_id, text, {_QUOTE.format('text')} AS q FROM benchmark),
       w AS (SELECT *, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(trim(text), '^["“”]+|["“”]+$', '', 'g'), {_WS}, ' ', 'g')), ' '), 1, 12), ' ') AS ph FROM q)
       SELECT item_id, length(q) >= 40 AND len(string_split(q, ' ')) >= 6 AS distinctive, length(q)::INT AS n, {_QUOTE.format('ph')} AS phrase FROM w""",
     "quote_variant": f"""WITH q AS (SELECT item_id, {_QUOTE.format('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_QUOTE.format('text')} AS s FROM documents),
-      h AS (SELECT *, string_split(q, ' ') AS qw, instr(s, array_to_string(list_slice(string_split(q, ' '), 1, 6), ' ')) AS at FROM q JOIN s ON q <> '' AND contains(s, q))
-      SELECT item_id, doc_id, CASE WHEN len(qw) >= 5 THEN md5(array_to_string(list_slice(string_split(ltrim(substr(s, at)), ' '), 1, len(qw)), ' ')) END AS words_md5 FROM h""",
+      h AS (SELECT *, string_split(q, ' ') AS qw, instr(s, array_to_string(list_slice(string_split(q, ' '), 1, 6), ' ')) AS pos FROM q JOIN s ON q <> '' AND contains(s, q))
+      SELECT item_id, doc_id, CASE WHEN len(qw) >= 5 THEN md5(array_to_string(list_slice(string_split(ltrim(substr(s, pos)), ' '), 1, len(qw)), ' ')) END AS words_md5 FROM h""",
     "passage_top3": f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en'),
-      x AS (SELECT doc_id, {_TERMS.format('ls[1]')} AS terms, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS at FROM d),
-      o AS (SELECT doc_id, at, len(list_intersect({_TERMS.format('line')}, terms)) AS overlap FROM x WHERE length(line) >= 60 AND at > 0 AND len(terms) > 0)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, at)::INT AS rank, at::INT AS at, overlap::INT AS overlap FROM o WHERE overlap > 0
-      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, at) <= 3""",
+      x AS (SELECT doc_id, {_TERMS.format('ls[1]')} AS terms, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS "at" FROM d),
+      o AS (SELECT doc_id, "at", len(list_intersect({_TERMS.format('line')}, terms)) AS overlap FROM x WHERE length(line) >= 60 AND "at" > 0 AND len(terms) > 0)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, "at")::INT AS rank, "at"::INT AS "at", overlap::INT AS overlap FROM o WHERE overlap > 0
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, "at") <= 3""",
     "strip_html": """SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
       '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM pages""",
     "severity_order": f"""{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, verdict FROM v
