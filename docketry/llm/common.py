@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return materialize(body.join(known, "_id").select("text", "label"), "labelled")
 
 
+def portions(column: pa.Array, rows: int, size: int) -> Iterator[slice]:
+    """Places of ``column`` (texts or bytes) in turn, at most ``rows`` at once and, but for a single longer one, ``size`` bytes."""
+    first = total = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if k > first and (k - first == rows or total + n > size):
+            yield slice(first, k)
+            first, total = k, 0
+        total += n
+    if len(column) > first:
+        yield slice(first, len(column))
+
+
 def worker_memory(name: str) -> dict:
     """A dict that a Python worker keeps from task to task, for things that cost time to make again. No result depends on it."""
     kept = sys.modules.setdefault("_docketry_memory", types.ModuleType("_docketry_memory"))
