@@ -367,6 +367,17 @@ def test_bag_minhash_is_unbiased():
     assert abs((h[0] == h[1]).mean() - expected) < 0.03 and np.isinf(h[2]).all()
 
 
+def test_odd_sketch_never_says_too_much():
+    rng = np.random.default_rng(5)
+    pool = near.mix(np.arange(900, dtype=np.uint64))
+    for _ in range(50):
+        bags = [np.unique(rng.choice(pool, int(rng.integers(0, 1500))), return_counts=True) for _ in range(2)]
+        a, b = (dict(zip(*(x.tolist() for x in bag))) for bag in bags)
+        differ = sum(abs(a.get(k, 0) - b.get(k, 0)) for k in {*a, *b})
+        bits = sum(int(x).bit_count() for x in (near.odd_sketch(*bags[0]) ^ near.odd_sketch(*bags[1])).view(np.uint64))
+        assert bits <= differ
+
+
 def test_drop_near_duplicates_odd_rows(spark, odd):
     out = near.drop_near_duplicates(odd)
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7] and out.columns == odd.columns
