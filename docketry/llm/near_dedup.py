@@ -261,7 +261,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
 
     Equal texts collapse first. Each distinct text's bands put it in buckets. A
     text is dropped from a bucket if its shingles that other texts have, too, are
-    too few for a link with the bucket's shortest text. In a bucket, each text then
+    too few for a link with any text as long as the bucket's shortest or longer. In a bucket, each text then
     meets the one that has the fewest shingles of its own, as the source of copies
     has; the pairs' shingles are compared, and the links' components are the
     classes. At last what is outside a bucket's largest class is compared with the
@@ -285,7 +285,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     rooms = placed.join(own_shingles(bags), "doc_id", "left").withColumn("room", F.col("size") - F.coalesce("own", F.lit(0))).where(F.col("room") >= F.col("size") * similarity)
     rooms = materialize(rooms.select("bucket", "doc_id", "size", "room"), "rooms")
     least = rooms.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "least")
-    possible = rooms.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.col("least"), F.col("least"), similarity)).drop("least")
+    # The likeliest partner that a text may have there: of as many shingles as its room, or of the bucket's fewest if those are more.
+    possible = rooms.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.greatest("least", "room"), F.col("room"), similarity)).drop("least")
     rooms = materialize(possible, "possible")
     centre = rooms.groupBy("bucket").agg(F.min(F.struct((F.col("size") - F.col("room")) / F.col("size"), F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("room").alias("other_room"))).alias("c"))
     fits = may_link(F.col("size"), F.col("room"), F.col("other_size"), F.col("other_room"), similarity)

@@ -352,6 +352,19 @@ def test_near_classes_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
+def test_near_classes_of_copies_among_excerpts(spark):
+    # Nearly all buckets that hold two of the copies hold an excerpt of under 0.8 of their size.
+    r, words = random.Random(8), prose(77, 300).split()
+    rows = [(k, edited(" ".join(words), 3 * k, k)) for k in range(3)]
+    for k in range(200):
+        kept = sorted(r.sample(range(30), r.randrange(22, 24)))
+        rows.append((1000 + k, " ".join(w for c in kept for w in words[10 * c : 10 * c + 10])))
+    expected = brute_classes(rows)
+    assert expected[0] == expected[1] == 0 and len(set(expected.values())) > 100
+    got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got} == expected
+
+
 def test_near_classes_on_documents(spark):
     docs = documents(spark)
     got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
