@@ -77,30 +77,59 @@ def shingles(words: Column, width: int) -> Column:
     return F.when(n >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def brief_key(words: Column, at: Column | int) -> Column:
+    """The run of ``n`` words from ``at`` (from 0), with ``i`` letters of its first word's end and ``j`` of its last word's beginning."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.concat_ws(" ", F.right(F.get(words, at), F.col("i")), F.slice(words, at + 2, F.greatest(F.col("n") - 2, F.lit(0))), F.left(F.get(words, at + F.col("n") - 1), F.col("j")))
+
+
+def brief_pairs(q: DataFrame, s: DataFrame) -> DataFrame:
+    """(quote_id, source_id) that may match, for quotations of a few words.
+
+    A quotation may begin and end within a word of its source. One word is looked
+    up by its first three letters, wherever they are in a word; more words by the
+    last three letters of the first, the whole words between, and the first three of
+    the last. Shorter words are looked up whole, so a source is read once for each
+    of the shapes (words, letters at both ends) that the quotations have.
+    """
+    words, edge = F.col("_words"), lambda w: F.least(F.length(w), F.lit(3))
+    looked = q.select("quote_id", F.split("_quote", " ").alias("_words")).select("quote_id", "_words", F.size("_words").alias("n"), edge(F.get("_words", F.lit(0))).alias("i"), edge(F.element_at("_words", -1)).alias("j"))
+    looked = looked.select("quote_id", "n", "i", "j", F.xxhash64(F.when(F.col("n") == 1, F.left(F.get(words, F.lit(0)), F.col("i"))).otherwise(brief_key(words, 0))).alias("_key"))
+    read = s.select("source_id", F.split("_source", " ").alias("_words")).crossJoin(F.broadcast(looked.select("n", "i", "j").distinct()))
+    long_enough = F.filter(F.array_distinct(words), lambda w: F.length(w) >= F.col("i"))
+    parts = F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - F.col("i") + 1), lambda k: F.substring(w, k, F.col("i")))))
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - F.col("n")), lambda k: brief_key(words, k))
+    keys = F.when(F.col("n") == 1, parts).when(F.size(words) >= F.col("n"), runs)
+    found = read.select("source_id", F.explode(F.array_distinct(keys)).alias("_key")).select("source_id", F.xxhash64("_key").alias("_key"))
+    return found.join(looked.select("quote_id", "_key"), "_key").select("quote_id", "source_id").distinct()
+
+
 def contained_quotes(quotes: DataFrame, sources: DataFrame, width: int = 4) -> DataFrame:
     """(quote_id, source_id) of the comparable quotations that a source holds.
 
     ``quotes`` and ``sources`` have (id, text). A quotation looks up its rarest run
     of ``width`` words among the sources' runs, hashed; only sources that have it
-    are searched. Quotations with fewer words are compared with no index, so they
-    must be few; null and empty ones are in nothing.
+    are searched. Its first and last word may be parts of a source's words, so they
+    are in no such run; quotations too short to have one look up ``brief_pairs``.
+    Null and empty ones are in nothing.
     """
     q = quotes.select(F.col("id").alias("quote_id"), comparable_quote("text").alias("_quote")).where("_quote <> ''")
     s = sources.select(F.col("id").alias("source_id"), comparable_quote("text").alias("_source"))
     # The words are a column of their own: inside a lambda, an expression would be worked out for each of its elements.
-    runs = lambda df, keep, text: df.select(keep, F.split(text, " ").alias("_words")).select(keep, F.explode(shingles(F.col("_words"), width)).alias("_run")).select(keep, F.xxhash64("_run").alias("_run"))
-    held = runs(q, "quote_id", "_quote")
-    found = runs(s, "source_id", "_source").join(held.select("_run").distinct(), "_run")
+    runs = lambda df, keep: df.select(keep, F.explode(shingles(F.col("_words"), width)).alias("_run")).select(keep, F.xxhash64("_run").alias("_run"))
+    is_brief = word_count("_quote") < width + 2
+    inner = q.where(~is_brief).select("quote_id", F.split("_quote", " ").alias("_words")).select("quote_id", F.slice("_words", F.lit(2), F.size("_words") - 2).alias("_words"))
+    held = runs(inner, "quote_id")
+    found = runs(s.select("source_id", F.split("_source", " ").alias("_words")), "source_id").join(held.select("_run").distinct(), "_run")
     counts = found.groupBy("_run").agg(F.count("*").alias("_n"))
     order = Window.partitionBy("quote_id").orderBy("_n", "_run")
     # A run that no source has leaves its quotation without a match.
     rarest = held.join(counts, "_run", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_at", F.row_number().over(order)).where("_at = 1")
     pairs = rarest.select("quote_id", "_run").join(found, "_run").select("quote_id", "source_id").distinct()
-    long_ = pairs.join(q, "quote_id").join(s, "source_id").where(F.contains(F.col("_source"), F.col("_quote")))
-    brief = q.where(word_count("_quote") < width)
-    short = s.join(F.broadcast(brief.limit(1000)), F.contains(F.col("_source"), F.col("_quote"))) if brief.limit(1).count() else None
-    out = long_.select("quote_id", "source_id")
-    return out if short is None else out.union(short.select("quote_id", "source_id"))
+    brief = q.where(is_brief)
+    if brief.limit(1).count():
+        pairs = pairs.union(brief_pairs(brief, s)).distinct()
+    return pairs.join(q, "quote_id").join(s, "source_id").where(F.contains(F.col("_source"), F.col("_quote"))).select("quote_id", "source_id")
 
 
 def content_terms(x: Column) -> Column:

@@ -1,5 +1,7 @@
 """Extraction and verdicts on single documents, from text and stored replies to findings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,23 @@ def test_quotes(spark):
     assert sorted((r.quote_id, r.source_id) for r in held.collect()) == [(1, 9), (5, 9)]
 
 
+def test_all_short_quotes_are_searched(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 7))) for _ in range(60)]
+    sources = [(i, " ".join(r.choice(words) for _ in range(80))) for i in range(25)]
+    quotes = []
+    for i in range(3200):
+        text, n = r.choice(sources)[1].split(), 1 + i % 8
+        at = r.randrange(len(text) - n)
+        run = " ".join(text[at : at + n])
+        # As it stands, cut within its first and last word, or with a word of another place.
+        cut = run[r.randrange(2) : len(run) - r.randrange(2)].strip() or run
+        quotes.append((i, (run, cut, f"{run} {r.choice(words)}")[i % 3]))
+    found = contained_quotes(spark.createDataFrame(quotes, "id int, text string"), spark.createDataFrame(sources, "id int, text string")).collect()
+    expected = [(i, j) for i, q in quotes for j, text in sources if q in text]
+    assert sorted((x.quote_id, x.source_id) for x in found) == sorted(expected)
+
+
 def test_streamed_audit(spark, tmp_path):
     from docketry.streaming.audits import audit_stream, first_requests, progress_status, read_arrivals, request_counts
 
