@@ -206,7 +206,7 @@ def quote_variant(spark, sf_dir):
 
 def passage_top3(spark, sf_dir):
     """Lines of documents that share most terms with a document's first line, scored and ranked."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.split("text", "\n").alias("_lines"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("_lines"))
     rows = docs.select("doc_id", Q.content_terms(F.get("_lines", F.lit(0))).alias("_terms"), F.posexplode("_lines").alias("at", "line"))
     rows = rows.where((F.length("line") >= fixed.SHORTEST_PARAGRAPH) & (F.size("_terms") > 0) & (F.col("at") > 0)).withColumn("overlap", F.size(F.array_intersect(Q.content_terms(F.col("line")), F.col("_terms")))).where("overlap > 0")
     top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "at"))

@@ -9,6 +9,7 @@ from docketry.functions.schemas import RAW_RECORD
 from docketry.operators.extract import attribute_short_forms, citation_mentions, extract_citations, extraction_notes, scan_citations, scan_documents, sentence_ends
 from docketry.operators.quotes import check_quotes, contained_quotes
 from docketry.operators.reports import to_json, to_markdown
+from docketry.plans import queries
 from docketry.plans.audit import audit
 
 TEXTS = {
@@ -152,6 +153,13 @@ def test_all_short_quotes_are_searched(spark):
     assert sorted((x.quote_id, x.source_id) for x in found) == sorted(expected)
 
 
+def test_passages_of_all_languages(spark, tmp_path):
+    body = "The carrier pays damages.\nNothing.\n" + "Every carrier is bound to pay the damages that a passenger shows." + " So it is." * 3
+    rows = [(1, body, "en"), (2, body, "es"), (3, body, None), (4, None, "de"), (5, "The carrier.", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, queries.passage_top3(spark, str(tmp_path)).collect())) == [(i, 1, 2, 2) for i in (1, 2, 3)]
+
+
 def test_streamed_audit(spark, tmp_path):
     from docketry.streaming.audits import audit_stream, first_requests, progress_status, read_arrivals, request_counts
 
