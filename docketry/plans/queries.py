@@ -137,7 +137,7 @@ def extracted_citations(spark, sf_dir):
 
 def _repeating(spark, sf_dir):
     """Texts that cite an authority again, in full, short and by Id."""
-    rows = D.brief_citations(spark, sf_dir).where("way in (0, 1)").select("doc_id", "o_orderkey", "case_name", "volume", "reporter", "page", "written", "matched_text")
+    rows = D.brief_citations(spark, sf_dir).select("doc_id", "o_orderkey", "case_name", "volume", "reporter", "page", "written", "matched_text")
     again = F.concat(F.lit("As shown in "), F.col("volume"), F.lit(" "), F.col("reporter"), F.lit(", at "), F.col("page"), F.lit(", this holds. "), F.lit("Id. at 7. "), F.lit("Compare "), F.col("matched_text"), F.lit(". "))
     rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat("written", F.lit(" "), again).alias("t")))).alias("_all"))
     return rows.select("doc_id", F.array_join(F.transform("_all", lambda x: x["t"]), "").alias("text"))

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,19 @@ def test_passages_of_all_languages(spark, tmp_path):
     assert sorted(map(tuple, queries.passage_top3(spark, str(tmp_path)).collect())) == [(i, 1, 2, 2) for i in (1, 2, 3)]
 
 
+@pytest.mark.parametrize("name", ["merged_authorities", "short_form_targets"])
+def test_repeated_citations_of_all_ways(spark, name):
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    # The query's SQL without its filter of ways.
+    whole = queries.ORACLES[name].replace("WHERE way < 2", "")
+    got = queries.QUERIES[name](spark, sf)
+    expected = db.execute(f"SELECT {', '.join(got.columns)} FROM ({whole})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
 def test_streamed_audit(spark, tmp_path):
     from docketry.streaming.audits import audit_stream, first_requests, progress_status, read_arrivals, request_counts
 
