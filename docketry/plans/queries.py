@@ -18,6 +18,7 @@ from docketry.operators.verdicts import findings, slot_note
 from docketry.plans import derived as D
 from docketry.plans.audit import audit
 from docketry.plans.derived import table
+from docketry.sources.files import admitted
 from docketry.sources.shared import stage
 
 ASCII_SPACE = "[ \\t\\n\\x0B\\f\\r]"
@@ -48,9 +49,8 @@ def normalize_documents(spark, sf_dir):
 
 def admitted_documents(spark, sf_dir):
     """Texts by the reason to reject them."""
-    size = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")))
-    reason = F.when(size == 0, "empty").when(size > 20_000, "too long").otherwise("accepted")
-    return table(spark, sf_dir, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    accepted, rejected = admitted(table(spark, sf_dir, "documents").select("text"))
+    return accepted.withColumn("reason", F.lit("accepted")).union(rejected).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def cite_key_lookup(spark, sf_dir):

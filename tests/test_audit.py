@@ -161,6 +161,12 @@ def test_passages_of_all_languages(spark, tmp_path):
     assert sorted(map(tuple, queries.passage_top3(spark, str(tmp_path)).collect())) == [(i, 1, 2, 2) for i in (1, 2, 3)]
 
 
+def test_documents_are_too_long_beyond_the_limit(spark, tmp_path):
+    rows = [("x" * 20_001,), ("x" * 400_000,), (" \n" + "x" * 400_000 + " ",), ("x" * 400_001,), (" \t",), (None,)]
+    spark.createDataFrame(rows, "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(map(tuple, queries.admitted_documents(spark, str(tmp_path)).collect())) == {"accepted": 3, "too long": 1, "empty": 2}
+
+
 @pytest.mark.parametrize("name", ["merged_authorities", "short_form_targets"])
 def test_repeated_citations_of_all_ways(spark, name):
     sf = "/root/testdata/sf0.001"
