@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Rule(NamedTuple):
-    """``regex`` runs (search) over host + path. ``tokens``: those every match holds whole. Of the rules that match, the highest rank wins."""
+    """``regex`` runs (search) over host + path. ``tokens``: those every match holds whole; ``either``: tokens of which every match holds one. Of the rules that match, the highest rank wins."""
 
     name: str
     verdict: str
@@ -24,6 +24,7 @@ class Rule(NamedTuple):
     tokens: tuple[str, ...]
     rank: tuple[int, int, int]
     scoped: bool
+    either: tuple[str, ...] = ()
 
 
 def site_rule(verdict: str, host: str, path: str) -> Rule:
@@ -37,9 +38,9 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(f"{host}{path}", verdict, regex, tuple(tokens), (1, len(host) + len(path), len(host)), True)
 
 
-def pattern_rule(verdict: str, name: str, regex: str, tokens: tuple[str, ...] = ()) -> Rule:
-    """A rule by a regular expression over host + path; ``tokens`` as in Rule. Without tokens it runs on every URL."""
-    return Rule(name, verdict, regex, tokens, (0, len(name), 0), False)
+def pattern_rule(verdict: str, name: str, regex: str, tokens: tuple[str, ...] = (), either: tuple[str, ...] = ()) -> Rule:
+    """A rule by a regular expression over host + path; ``tokens`` and ``either`` as in Rule. Without them it runs on every URL."""
+    return Rule(name, verdict, regex, tokens, (0, len(name), 0), False, either)
 
 
 #: Rules of the filter's own, for URLs that no site rule fits. Literal words are whole where the pattern bounds them.
@@ -47,8 +48,8 @@ PATTERNS = (
     pattern_rule("block", "spam host", r"^(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)", ("spam",)),
     pattern_rule("block", "pills host", r"^(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)", ("pills",)),
     pattern_rule("block", "casino host", r"^(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)", ("casino",)),
-    pattern_rule("block", "adult host", r"^(?:[^/]*[.-])?(?:xxx|porn)(?:[.-][^/]*)?(?:/|$)"),
-    pattern_rule("block", "tracker path", r"/(?:track|tracker|pixel)(?:\.gif|/|$)"),
+    pattern_rule("block", "adult host", r"^(?:[^/]*[.-])?(?:xxx|porn)(?:[.-][^/]*)?(?:/|$)", either=("xxx", "porn")),
+    pattern_rule("block", "tracker path", r"/(?:track|tracker|pixel)(?:\.gif|/|$)", either=("track", "tracker", "pixel")),
     pattern_rule("block", "login page", r"/wp-login\.php$", ("wp", "login", "php")),
 )
 
@@ -74,10 +75,11 @@ def token_counts(urls: DataFrame, rules, host: str, path: str) -> dict[str, int]
 
 
 def rule_index(rules, counts: dict[str, int]) -> dict[str, list[Rule]]:
-    """Rarest token -> rules; the rules without a token are under ''."""
+    """Rarest token -> rules; those with a choice of tokens are under each of them, those without a token under ''."""
     index = defaultdict(list)
     for r in rules:
-        index[min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else ""].append(r)
+        for token in [min(r.tokens, key=lambda t: (counts.get(t, 0), t))] if r.tokens else r.either or [""]:
+            index[token].append(r)
     return dict(index)
 
 

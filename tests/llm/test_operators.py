@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -21,7 +22,7 @@ from docketry.llm.queries import SITE_RULES, tokenizer_path
 from docketry.llm.source_mixing import mix_sources
 from docketry.llm.topk_search import top_k
 from docketry.llm.toxicity import fit_toxicity
-from docketry.llm.url_filter import filter_urls, pattern_rule, rule_index
+from docketry.llm.url_filter import PATTERNS, filter_urls, pattern_rule, rule_index
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -461,6 +462,15 @@ def test_url_rules_are_indexed_by_their_rarest_token():
     assert rule_index([pattern_rule("block", "x", "x")], {})[""][0].name == "x"
 
 
+def test_url_patterns_run_on_urls_with_their_tokens_only(spark):
+    index = rule_index(PATTERNS, {})
+    assert "" not in index and {r.name for v in index.values() for r in v} == {r.name for r in PATTERNS}
+    urls = ["xxx.com/", "my-porn.net/a", "a.com/track/", "a.com/tracker", "a.com/b/pixel.gif", "a.com/track/pixel/", "xxxy.com/", "a.com/xxx", "a.com/tracks/", "pixel.com/a", "a.com/Track/"]
+    urls += [f"{a}{w}{b}.com/{c}{w}{d}" for w in ("xxx", "porn", "track", "tracker", "pixel") for a in ("", "x", "a-", "a_") for b in ("", "_b", "-b") for c in ("", "c/", "c.") for d in ("", "/", ".gif", ".gif/", "_")]
+    got = filter_urls(spark.createDataFrame([(f"http://{u}",) for u in urls], "url string"), []).collect()
+    assert [r.verdict for r in got] == ["block" if any(re.search(p.regex, u) for p in PATTERNS) else "allow" for u in urls]
+
+
 # -- the pipeline ----------------------------------------------------------------------------------------------------
 
 
