@@ -24,4 +24,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once for all that follows, and safe from the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/docketry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, once nothing that is still to be computed reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
