@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import as_lists, materialize, portions, small
+from docketry.llm.common import as_lists, discard, fresh, materialize, portions, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -18,7 +18,11 @@ BANDS, BAND_ROWS = 40, 6
 #: Bytes of texts or bags that a task works on at once.
 PORTION = 2 << 20
 #: Words of 64 bits in an odd sketch.
-SKETCH = 16
+SKETCH = 32
+#: How many of a bucket's texts outside its largest class meet the others in the first round, and how many times more in each after it.
+ASKED, MORE = 16, 8
+#: About how many texts of a bucket one task holds against those.
+SLICE = 1024
 
 _U = np.uint64
 
@@ -221,10 +225,22 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("other"), "class"), "other").groupBy("node").agg(F.min("class").alias("_near"))
         best = state.join(near, "node").select("node", "class", F.least("class", "_near").alias("_best"))
         jump = state.select(F.col("node").alias("_best"), F.col("class").alias("_far"))
+        before = state
         state = materialize(best.join(jump, "_best", "left").select("node", F.least("_best", F.coalesce("_far", "_best")).alias("class"), (F.col("class") > F.least("_best", F.coalesce("_far", "_best"))).alias("moved")), "classes")
+        discard(before)
         if not state.where("moved").limit(1).count():
+            discard(both)
             return state.select("node", "class")
-        state = state.drop("moved")
+
+
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (doc_id, class) after more ``links`` (a, b): the components of classes, not of all their texts again."""
+    of = lambda n: classes.select(F.col("doc_id").alias(n), F.col("class").alias(f"{n}_class"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a <> b")
+    found = components(ends).withColumnRenamed("class", "_into")
+    moved = classes.join(found, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("_into", "class").alias("class"))
+    new = found.withColumnRenamed("node", "doc_id").join(classes, "doc_id", "left_anti").select("doc_id", F.col("_into").alias("class"))
+    return materialize(moved.union(new), "joined")
 
 
 def own_shingles(bags: DataFrame) -> DataFrame:
@@ -248,6 +264,62 @@ def may_link(size: Column, room: Column, other_size: Column, other_room: Column,
     return common >= (size + other_size - common) * similarity
 
 
+def one_text_an_id(found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, text) with one row an id: of several texts the least, so that no order of rows matters."""
+    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return found
+    again = small(again)
+    least = found.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return found.join(again, "doc_id", "left_anti").union(least)
+
+
+def settled(open_: DataFrame, classes: DataFrame, tried: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """``classes`` (doc_id, class) after the links that are left within buckets.
+
+    ``open_`` has (bucket, doc_id, size, alone, within, beyond, odd, buckets) of
+    buckets with more than one class. Two texts of different classes are never both
+    in a bucket's largest class, so it is enough that each text outside it is once
+    held against the others. That goes in rounds: the first ``ASKED`` of a bucket's
+    outsiders, those that have least of their own, meet its texts of other classes;
+    what they are linked to joins their class, and the next round asks ``MORE``
+    times as many of those that are still outside, until none is left unasked. A pair
+    is made in the first bucket that both texts are in only, by the one that is asked
+    first, and not at all if the bounds rule a link out.
+    """
+    asked = open_.select("bucket", "doc_id", F.lit(0).alias("round")).limit(0)
+    count, turn = ASKED, 0
+    while True:
+        turn += 1
+        classed = open_.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")).join(asked, ["bucket", "doc_id"], "left")
+        sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+        whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
+        state = materialize(classed.join(whole.select("bucket", "largest", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "bucket"), "state")
+        waiting = state.where("round is null and class <> largest")
+        first = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "doc_id"))
+        now = waiting.select("bucket", "doc_id", "alone", first.alias("_n")).where(F.col("_n") <= count).select("bucket", "doc_id", F.lit(turn).alias("round"))
+        now = materialize(now, "asked")
+        last = now.count() == waiting.count()
+        asked = asked.union(now)
+        side = ("doc_id", "size", "class", "within", "beyond", "odd", "buckets")
+        left = state.drop("round").join(now, ["bucket", "doc_id"]).select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *side)
+        right = state.drop("round").join(asked, ["bucket", "doc_id"], "left").select("bucket", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), *(F.col(c).alias(f"other_{c}") for c in side), "round")
+        most = F.least("within", "other_within") + F.least("beyond", "other_beyond")
+        differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("other_odd")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("odd")[0].bitwiseXOR(F.col("other_odd")[0])))
+        enough = lambda common: common >= (F.col("size") + F.col("other_size") - common) * similarity
+        turn_ = F.col("round").isNull() | ((F.col("round") == turn) & (F.col("doc_id") < F.col("other_doc_id")))
+        here = F.array_min(F.array_intersect("buckets", "other_buckets")) == F.col("bucket")
+        met = left.join(right, ["bucket", "slice"]).where((F.col("class") != F.col("other_class")) & turn_ & enough(most) & enough((F.col("size") + F.col("other_size") - differ) / 2) & here)
+        pairs = met.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b"))
+        found = materialize(overlaps(pairs.join(tried, ["a", "b"], "left_anti"), bags, similarity).where("linked").select("a", "b"), "found")
+        if found.limit(1).count():
+            classes = joined(classes, found)
+        discard(state, found)
+        if last:
+            return classes
+        count *= MORE
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, copy_of, class_id): one row per row of ``docs`` with an id.
 
@@ -257,78 +329,74 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     reach. Texts of under five words have one shingle, all their words. Null texts
     and texts without words are copies of nothing and linked to nothing. Rows
     without an id are left out; equal ids are one document, whose rows come back
-    apiece. An empty table gives no rows.
+    apiece; if their texts differ, the least one counts. An empty table gives no rows.
 
     Equal texts collapse first. Each distinct text's bands put it in buckets. A
     text is dropped from a bucket if its shingles that other texts have, too, are
-    too few for a link with any text as long as the bucket's shortest or longer. In a bucket, each text then
-    meets the one that has the fewest shingles of its own, as the source of copies
-    has; the pairs' shingles are compared, and the links' components are the
-    classes. At last what is outside a bucket's largest class is compared with the
-    texts of other classes there that it may link to: two texts share at most the
-    less of what each has in common with the one they met, and the less of what each
-    shares with any texts beyond that; and they differ in as many shingles as their
-    odd sketches (parities of 1024 hashed places) have different bits, at least. So
-    a bucket of many copies costs about a pair a text, and no link between its texts
-    is lost.
+    too few for a link with any text as long as the bucket's shortest or longer. In
+    a bucket, each text then meets the one that has the fewest shingles of its own,
+    as the source of copies has; the pairs' shingles are compared, and the links'
+    components are the classes. What is outside a bucket's largest class is then
+    held against the bucket's other classes, see ``settled``: two texts share at
+    most the less of what each has in common with the one they met, and the less of
+    what each shares with any texts beyond that; and they differ in as many shingles
+    as their odd sketches (parities of 2048 hashed places) have different bits, at
+    least. So a bucket of many copies costs about a pair a text, and no link between
+    its texts is lost.
     """
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    found = one_text_an_id(rows)
     signed = materialize(sign(found, bands, band_rows), "signed")
     texts = signed.where("size > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("copy_of"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     placed = texts.select(F.col("copy_of").alias("doc_id"), "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).where("_min < _max").select("bucket")
     placed = materialize(placed.join(shared, "bucket"), "buckets")
-    members = small(materialize(placed.select("doc_id").distinct(), "members"), 500_000)
-    bags = materialize(bags_of(found.join(members, "doc_id").dropDuplicates(["doc_id"])), "bags")
+    members = materialize(placed.select("doc_id").distinct(), "members")
+    bags = materialize(bags_of(found.join(small(members, 500_000), "doc_id")), "bags")
 
-    rooms = placed.join(own_shingles(bags), "doc_id", "left").withColumn("room", F.col("size") - F.coalesce("own", F.lit(0))).where(F.col("room") >= F.col("size") * similarity)
-    rooms = materialize(rooms.select("bucket", "doc_id", "size", "room"), "rooms")
-    least = rooms.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "least")
+    every = placed.join(own_shingles(bags), "doc_id", "left").withColumn("room", F.col("size") - F.coalesce("own", F.lit(0))).where(F.col("room") >= F.col("size") * similarity)
+    every = materialize(every.select("bucket", "doc_id", "size", "room"), "rooms")
+    least = every.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "least")
     # The likeliest partner that a text may have there: of as many shingles as its room, or of the bucket's fewest if those are more.
-    possible = rooms.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.greatest("least", "room"), F.col("room"), similarity)).drop("least")
-    rooms = materialize(possible, "possible")
-    centre = rooms.groupBy("bucket").agg(F.min(F.struct((F.col("size") - F.col("room")) / F.col("size"), F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("room").alias("other_room"))).alias("c"))
+    rooms = materialize(every.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.greatest("least", "room"), F.col("room"), similarity)).drop("least"), "possible")
+    alone = ((F.col("size") - F.col("room")) / F.col("size")).alias("alone")
+    centre = rooms.groupBy("bucket").agg(F.min(F.struct(alone, F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("room").alias("other_room"))).alias("c"))
     fits = may_link(F.col("size"), F.col("room"), F.col("other_size"), F.col("other_room"), similarity)
     pair = [F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")]
     stars = materialize(rooms.join(centre.select("bucket", "c.other", "c.other_size", "c.other_room"), "bucket").withColumn("meets", (F.col("doc_id") != F.col("other")) & fits), "stars")
     tried = materialize(overlaps(stars.where("meets").select(*pair).distinct(), bags, similarity), "tried")
-    links = tried.where("linked").select("a", "b")
+    reached = components(tried.where("linked").select("a", "b")).withColumnRenamed("node", "doc_id")
 
-    reached = components(links).withColumnRenamed("node", "doc_id")
-    classed = materialize(stars.join(reached, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")), "classed")
-    sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "largest")
+    classed = stars.join(reached, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    several = classed.groupBy("bucket").agg(F.min("class").alias("_min"), F.max("class").alias("_max")).where("_min < _max").select("bucket")
     # What a text shares with its bucket's centre, and what it shares with others beyond that; upper bounds where they have not met.
-    met = classed.join(largest, "bucket").withColumns({"a": pair[0], "b": pair[1]}).join(tried.select("a", "b", "common"), ["a", "b"], "left")
-    met = met.join(bags.select("doc_id", "odd"), "doc_id").withColumns({"within": F.coalesce("common", "room"), "beyond": F.col("room") - F.coalesce("common", F.lit(0))})
-    open_ = materialize(met.select("bucket", "doc_id", "size", "class", "largest", "within", "beyond", "odd"), "open")
-    right = open_.select("bucket", *(F.col(c).alias(n) for c, n in (("doc_id", "other"), ("size", "other_size"), ("class", "other_class"), ("within", "other_within"), ("beyond", "other_beyond"), ("odd", "other_odd"))))
-    most = F.least("within", "other_within") + F.least("beyond", "other_beyond")
-    differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("other_odd")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("odd")[0].bitwiseXOR(F.col("other_odd")[0])))
-    enough = lambda common: common >= (F.col("size") + F.col("other_size") - common) * similarity
-    apart = (F.col("class") != F.col("other_class")) & ((F.col("other_class") == F.col("largest")) | (F.col("doc_id") < F.col("other")))
-    rest = open_.where("class <> largest").join(right, "bucket").where(apart & enough(most) & enough((F.col("size") + F.col("other_size") - differ) / 2))
-    pairs = materialize(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        more = materialize(overlaps(pairs, bags, similarity), "more")
-        links = links.union(more.where("linked").select("a", "b"))
-        reached = components(links).withColumnRenamed("node", "doc_id")
+    met = stars.join(several, "bucket").withColumns({"a": pair[0], "b": pair[1]}).join(tried.select("a", "b", "common"), ["a", "b"], "left")
+    met = materialize(met.select("bucket", "doc_id", "size", alone, F.coalesce("common", "room").alias("within"), (F.col("room") - F.coalesce("common", F.lit(0))).alias("beyond")), "met")
+    theirs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    open_ = materialize(met.join(theirs, "doc_id").join(bags.select("doc_id", "odd"), "doc_id"), "open")
+    reached = settled(open_, reached, tried.select("a", "b"), bags, similarity).withColumnRenamed("doc_id", "copy_of")
     copies = signed.join(texts.select("key_a", "key_b", "copy_of"), ["key_a", "key_b"], "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"))
-    reached = reached.withColumnRenamed("doc_id", "copy_of")
-    return copies.join(reached, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
+    out = copies.join(reached, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
+    if found is not rows:
+        out = rows.select("doc_id").join(out, "doc_id")
+    discard(members, bags, placed, every, rooms, stars, tried, met, open_)
+    return out
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of ``near_classes``: that of the smallest id. Rows without an id stay.
 
-    Where an id is repeated, one of its rows stays.
+    Where an id is repeated, its row with the least text stays, of those the first as JSON.
     """
-    found = materialize(near_classes(docs, doc_id=doc_id, **options), "classes")
+    found = materialize(near_classes(docs, doc_id=doc_id, text=text, **options), "classes")
     gone = small(materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     again = small(materialize(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "again"))
     kept = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
     if not again.limit(1).count():
         return kept
-    repeated = kept.join(again, kept[doc_id] == again["_again"], "left_semi").dropDuplicates([doc_id])
+    repeated = kept.join(again, kept[doc_id] == again["_again"], "left_semi")
+    (place,) = fresh(docs, "_place")
+    order = Window.partitionBy(doc_id).orderBy(F.asc_nulls_first(text), F.to_json(F.struct(*docs.columns)))
+    repeated = repeated.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return kept.join(again, kept[doc_id] == again["_again"], "left_anti").unionByName(repeated)

@@ -353,7 +353,10 @@ def test_near_classes_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
-def test_near_classes_of_copies_among_excerpts(spark):
+@pytest.mark.parametrize(("asked", "slice_"), [(near.ASKED, near.SLICE), (1, 16)])
+def test_near_classes_of_copies_among_excerpts(spark, monkeypatch, asked, slice_):
+    monkeypatch.setattr(near, "ASKED", asked)
+    monkeypatch.setattr(near, "SLICE", slice_)
     # Nearly all buckets that hold two of the copies hold an excerpt of under 0.8 of their size.
     r, words = random.Random(8), prose(77, 300).split()
     rows = [(k, edited(" ".join(words), 3 * k, k)) for k in range(3)]
@@ -396,6 +399,12 @@ def test_drop_near_duplicates_odd_rows(spark, odd):
     out = near.drop_near_duplicates(odd)
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7] and out.columns == odd.columns
     assert near.near_classes(odd.limit(0)).count() == 0
+    # An id with several texts goes by the least of them, in whatever order its rows come.
+    several = [(1, prose(9)), (1, prose(8)), (2, min(prose(8), prose(9))), (3, max(prose(8), prose(9))), (4, None), (4, prose(7)), (5, prose(7))]
+    for rows in (several, several[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r.doc_id, r.class_id) for r in near.near_classes(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4)]
+        assert sorted((r.doc_id, r.text) for r in near.drop_near_duplicates(df).where("doc_id < 4").collect()) == [(1, min(prose(8), prose(9))), (3, max(prose(8), prose(9)))]
     same = spark.createDataFrame([(i, prose(1)) for i in range(300)], "doc_id long, text string")
     assert near.drop_near_duplicates(same).collect()[0].doc_id == 0 and near.drop_near_duplicates(same).count() == 1
 
