@@ -16,7 +16,7 @@ SIMILARITY = 0.8
 #: 40 bands of 6 registers miss a pair of similarity 0.8 with probability (1 - 0.8^6)^40, five in a million.
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of texts or bags that a task works on at once.
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: Words of 64 bits in an odd sketch.
 SKETCH = 32
 #: How many of a bucket's texts outside its largest class meet the others in the first round, and how many times more in each after it.
@@ -54,7 +54,7 @@ class Hasher(dict):
 class Shingler:
     """Texts -> bags of shingles. Words lie between ASCII white space and are lower-cased."""
 
-    def __init__(self, width: int = SHINGLE, limit: int = 200_000):
+    def __init__(self, width: int = SHINGLE, limit: int = 20_000):
         self.width, self.limit, self.known = width, limit, Hasher()
 
     def words(self, text: str | None) -> list[bytes]:
