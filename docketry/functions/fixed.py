@@ -53,3 +53,12 @@ QUOTE_CHARS, QUOTE_WORDS = 40, 6
 
 # All that Python's \s matches, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+# What follows a citation: a parenthesis with court and year, one with a quotation, and all up to the year.
+YEAR_PARENTHESIS = r"^\s*(?:,\s*[0-9,\s\-–]+)?\s*\(\s*([^()]{0,80}?)\s*([0-9]{4})\s*\)"
+QUOTE_PARENTHESIS = r'^\s*\(\s*(["“][^"”]{0,600}["”])\s*\)'
+CITATION_END = r"^((?:,\s*[0-9,\s\-–]+)?\s*(?:\([^()]{0,80}?[0-9]{4}\))?)"
+
+# Months in a parenthesis with court and date, and tokens that a name writes with a full stop.
+MONTH = "(?i),?\\s*(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\\.?"
+ABBREVIATED_TOKEN = r"\b([A-Za-z][A-Za-z'\-]*)\.(?=\s|,|$)"

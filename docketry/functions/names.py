@@ -28,7 +28,7 @@ def identity_tokens(x) -> Column:
 
 def abbreviated(x) -> Column:
     """Tokens that a name writes with a full stop, in lower case."""
-    return F.coalesce(F.transform(F.regexp_extract_all(_c(x), F.lit(r"\b([A-Za-z][A-Za-z'\-]*)\.(?=\s|,|$)"), F.lit(1)), F.lower), _none())
+    return F.coalesce(F.transform(F.regexp_extract_all(_c(x), F.lit(fixed.ABBREVIATED_TOKEN), F.lit(1)), F.lower), _none())
 
 
 def sides(x) -> Column:

@@ -88,10 +88,9 @@ def without_markup(x) -> Column:
 
 def court_written(x) -> Column:
     """What a parenthesis says of the court: without a month, a day and commas at its end; null if nothing is left."""
-    month = "(?i),?\\s*(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\\.?"
     out = F.trim(F.regexp_replace(F.trim(_c(x)), ",+$", ""))
     for end in (r"\s+[0-9]{1,2}\s*,?\s*$", r"\s*,?\s*$"):
-        out = F.regexp_replace(out, month + end, "")
+        out = F.regexp_replace(out, fixed.MONTH + end, "")
     return blank_to_null(F.trim(F.regexp_replace(F.trim(out), ",+$", "")))
 
 

@@ -1,14 +1,15 @@
-"""Citations in documents: a scan finds the forms, windows over neighbours read what surrounds them.
+"""Citations in documents: a scan finds the forms and cuts out what stands around them; expressions read it, windows attribute short forms.
 
 Only the scan and the split into sentences are sequential; they run as one pass
-of Python over each document. All that needs neighbours is a DataFrame window or
-an expression on the row.
+of Python over each document, and its text goes no further.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,32 +40,43 @@ COURTS = {
     r"^D\.?D\.?C": "dcd", r"^S\.?D\.? Ga": "gasd", r"^S\.?D\.? Fla": "flsd", r"^N\.?D\.? Cal": "cand", r"^C\.?D\.? Cal": "cacd", r"^N\.?D\.? Ill": "ilnd",
 }
 
+
+# A volume and a reporter, then a page, or "at" and a page of a short form; "Id." and "supra". One pass over a text finds all.
+_BY_KIND = {kind: "|".join(p for p, (k, _) in REPORTERS.items() if k == kind) for kind in ("case", "statute", "journal")}
+_FORMS = re.compile(
+    "|".join(
+        [
+            rf"(?<![\w.])(?P<{k}_volume>\d{{1,4}})\s(?P<{k}_reporter>{_BY_KIND[k]})(?:,?\sat\s(?P<{k}_at>\d{{1,5}})(?!\w)|\s?{section}(?P<{k}_page>{page})(?!\w))"
+            for k, section, page in (("case", "", r"\d{1,8}(?:-U)?[a-z]?"), ("statute", r"§{0,2}\s?", r"\d{1,5}[a-z]{0,2}(?:[.-]\d+)?"), ("journal", "", r"\d{1,8}(?:-U)?[a-z]?"))
+        ]
+        + [r"(?<!\w)(?P<id>(?:[Ii]d\.|[Ii]bid\.)(?:,?\sat\s\d{1,5}(?:[-–]\d{1,5})?)?)", r"(?<!\w)(?P<supra>supra(?!\w)(?:,?\sat\s\d{1,5})?)"]
+    )
+)
+_PIN = re.compile(r",\s?(\d{1,5}(?:[-–]\d{1,5})?)(?=[\s,.;)(]|$)(?!\s[A-Z])")
+
+
+@lru_cache(maxsize=4096)
+def told_by(reporter: str, after: str) -> str | None:
+    """The court that a written reporter tells. ``after``: the text that follows it, which some forms exclude."""
+    return next((told for pattern, (_, told) in REPORTERS.items() if (m := re.match(pattern, reporter + after)) and m.end() == len(reporter)), None)
+
+
 def scan_citations(text: str | None) -> list[tuple]:
     """(start, end, form, text, volume, reporter, page, pin, kind, court told by the reporter) of each citation, in order.
 
-    ``form`` is full, short (``550 U.S., at 556``), id or supra. Of overlapping
-    matches the earliest and then the longest stays.
+    ``form`` is full, short (``550 U.S., at 556``), id or supra. Matches don't overlap: the earliest stays.
     """
-    found = []
-    body = text or ""
-    for pattern, (kind, told) in REPORTERS.items():
-        section = r"§{0,2}\s?" if kind == "statute" else ""
-        volume = r"(?<![\w.])(\d{1,4})\s"
-        for m in re.finditer(rf"{volume}({pattern}),?\sat\s(\d{{1,5}})(?!\w)", body):
-            found.append((m.start(), m.end(), "short", m[0], m[1], m[2], m[3], None, kind, told))
-        page = r"(\d{1,8}(?:-U)?[a-z]?)" if kind != "statute" else r"(\d{1,5}[a-z]{0,2}(?:[.-]\d+)?)"
-        for m in re.finditer(rf"{volume}({pattern})\s?{section}{page}(?![\w])", body):
-            pin = re.match(r",\s?(\d{1,5}(?:[-–]\d{1,5})?)(?=[\s,.;)(]|$)(?!\s[A-Z])", body[m.end() : m.end() + 20])
-            found.append((m.start(), m.end(), "full", m[0], m[1], m[2], m[3], pin and pin[1], kind, told))
-    for m in re.finditer(r"(?<!\w)(?:[Ii]d\.|[Ii]bid\.)(?:,?\sat\s\d{1,5}(?:[-–]\d{1,5})?)?", body):
-        found.append((m.start(), m.end(), "id", m[0], None, None, None, None, "other", None))
-    for m in re.finditer(r"(?<!\w)supra(?!\w)(?:,?\sat\s\d{1,5})?", body):
-        found.append((m.start(), m.end(), "supra", m[0], None, None, None, None, "other", None))
-    out, until = [], 0
-    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if x[0] >= until:
-            out.append(x)
-            until = x[1]
+    out, body = [], text or ""
+    for m in _FORMS.finditer(body):
+        found = m.groupdict()
+        if found["id"] or found["supra"]:
+            out.append((m.start(), m.end(), "id" if found["id"] else "supra", m[0], None, None, None, None, "other", None))
+            continue
+        kind = next(k for k in _BY_KIND if found[f"{k}_volume"])
+        volume, reporter, at, page = (found[f"{kind}_{x}"] for x in ("volume", "reporter", "at", "page"))
+        end = m.end(f"{kind}_reporter")
+        pin = None if at else _PIN.match(body[m.end() : m.end() + 20])
+        out.append((m.start(), m.end(), "short" if at else "full", m[0], volume, reporter, at or page, pin and pin[1], kind, told_by(reporter, body[end : end + 8])))
     return out
 
 
@@ -84,31 +96,42 @@ def sentence_ends(text: str | None) -> list[int]:
     return ends
 
 
+MENTION = "s:int,e:int,form:string,matched_text:string,volume:string,reporter:string,page:string,pin:string,kind:string,told:string,before:string,after:string,rest:string,context:string"
+
+
+def surroundings(text: str, found: list[tuple], ends: list[int]) -> list[tuple]:
+    """What stands around each citation: before it, as far as its neighbour, its sentence and LOOK_BEHIND allow; after it, as far as its neighbour and LOOK_AHEAD; 80 characters more; its sentence with the one before it."""
+    out = []
+    for k, (s, e, *_) in enumerate(found):
+        own, last = bisect_right(ends, s), bisect_left(ends, s)
+        floor = max(found[k - 1][1] if k else 0, s - fixed.LOOK_BEHIND, ends[last - 1] if last else 0)
+        limit = min(found[k + 1][0] if k + 1 < len(found) else len(text), e + fixed.LOOK_AHEAD)
+        begin, end = ends[own - 2] if own > 1 else 0, ends[own] if own < len(ends) else len(text)
+        out.append((text[floor:s], text[e : max(limit, e)], text[e : e + 80], text[begin:end].strip(" ")))
+    return out
+
+
 def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, mentions, ends): each document's normalised text, its mentions and the ends of its sentences.
+    """(doc_id, text, mentions, ends): each document's normalised text, its mentions with what stands around them, and the ends of its sentences.
 
     Null and blank texts have no mentions. Other columns are left behind.
     """
     known = docs.select(F.col(doc_id).cast("string").alias("doc_id"), normalized(text).alias("text"))
-    inner = "array<struct<s:int,e:int,form:string,matched_text:string,volume:string,reporter:string,page:string,pin:string,kind:string,told:string>>"
-    names = [x.split(":")[0] for x in inner[13:-2].split(",")]
+    names = [x.split(":")[0] for x in MENTION.split(",")]
 
-    @F.pandas_udf(f"mentions {inner}, ends array<int>")
+    @F.pandas_udf(f"mentions array<struct<{MENTION}>>, ends array<int>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for x in texts:
-                mentions = [dict(zip(names, m)) for m in scan_citations(x)]
-                rows.append((mentions, sentence_ends(x) if mentions else []))
+                found = scan_citations(x)
+                ends = sentence_ends(x) if found else []
+                rows.append(([dict(zip(names, m + around)) for m, around in zip(found, surroundings(x or "", found, ends))], ends))
             yield pd.DataFrame(rows, columns=["mentions", "ends"])
 
     return known.withColumn("_scan", scan("text")).select("doc_id", "text", "_scan.mentions", "_scan.ends")
 
 
-def _slice(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
-
-
 # Words before a name that are no part of it.
 SIGNALS = ["See", "Compare", "Accord", "But", "Cf.", "E.g.", "E.g.,", "Contra", "In", "Under", "The", "Citing", "Quoting", "And", "As", "Also", "also", "generally", "of", "the", "and", "in", "on", "for", "by", "as", "a", "an", "e.g.", "e.g.,", "cf."]
 
@@ -122,57 +145,36 @@ def name_before(window: Column) -> Column:
 
 
 def citation_mentions(scanned: DataFrame) -> DataFrame:
-    """One row per mention, with what surrounds it: bounded by its neighbours, never read from beyond them."""
-    rows = scanned.select("doc_id", "text", "ends", F.posexplode("mentions").alias("pos", "m")).select("doc_id", "text", "ends", "pos", "m.*")
-    order = Window.partitionBy("doc_id").orderBy("s", "pos")
+    """One row per mention, read from what stands around it: bounded by its neighbours, never from beyond them. No document's text leaves its row."""
+    rows = scanned.select("doc_id", F.posexplode("mentions").alias("pos", "m")).select("doc_id", "pos", "m.*")
     rows = rows.withColumns(
         {
-            "_floor": F.coalesce(F.lag("e").over(order), F.lit(0)),
-            "_limit": F.coalesce(F.lead("s").over(order), F.length("text")),
+            "_court": court_written(F.regexp_extract("after", fixed.YEAR_PARENTHESIS, 1)),
+            "year": blank_to_null(F.regexp_extract("after", fixed.YEAR_PARENTHESIS, 2)),
+            "_quote": F.regexp_extract(F.regexp_replace("after", fixed.YEAR_PARENTHESIS, ""), fixed.QUOTE_PARENTHESIS, 1),
         }
     )
-    window = _slice(F.col("text"), F.col("e"), F.least(F.col("_limit"), F.col("e") + fixed.LOOK_AHEAD))
-    after = r"^\s*(?:,\s*[0-9,\s\-–]+)?\s*\(\s*([^()]{0,80}?)\s*([0-9]{4})\s*\)"
-    rows = rows.withColumn("_after", window)
-    rows = rows.withColumns({"_court": court_written(F.regexp_extract("_after", after, 1)), "year": blank_to_null(F.regexp_extract("_after", after, 2)), "_rest": F.regexp_replace("_after", after, "")})
-    has_paren = F.col("year").isNotNull()
-    quote = F.regexp_extract("_rest", r'^\s*\(\s*(["“][^"”]{0,600}["”])\s*\)', 1)
-    rows = rows.withColumn("parenthetical", F.when(has_paren, blank_to_null(quote)))
-    start = F.greatest(F.col("_floor"), F.col("s") - fixed.LOOK_BEHIND)
-    # Nor does a name run over the end of a sentence.
-    last_end = F.array_max(F.filter("ends", lambda x: x < F.col("s")))
-    start = F.greatest(start, F.coalesce(last_end, F.lit(0)))
-    rows = rows.withColumn("_before", _slice(F.col("text"), start, F.col("s")))
-    rows = rows.withColumn("_name", name_before(F.col("_before")))
+    rows = rows.withColumns({"parenthetical": F.when(F.col("year").isNotNull(), blank_to_null("_quote")), "_name": name_before(F.col("before"))})
     fits = (F.length("_name") <= fixed.LONGEST_NAME) & sides("_name").isNotNull() & is_plausible_party("_name")
     rows = rows.withColumn("case_name", F.when((F.col("kind") == "case") & fits, one_line("_name")))
     # As written: from the name, if there is one, to the parenthesis with the year.
-    tail = r"^((?:,\s*[0-9,\s\-–]+)?\s*(?:\([^()]{0,80}?[0-9]{4}\))?)"
-    named = F.when(F.col("case_name").isNotNull(), F.concat(F.col("_name"), F.regexp_extract("_before", r"([\s,]*)$", 1)))
-    rest = F.regexp_extract(F.substring(F.col("text"), F.col("e") + 1, F.lit(80)), tail, 1)
+    named = F.when(F.col("case_name").isNotNull(), F.concat(F.col("_name"), F.regexp_extract("before", r"([\s,]*)$", 1)))
+    rest = F.regexp_extract("rest", fixed.CITATION_END, 1)
     rows = rows.withColumn("verbatim", F.trim(one_line(F.concat(F.coalesce(named, F.lit("")), F.col("matched_text"), rest))))
     told = F.col("told")
     for pattern, court in COURTS.items():
         told = F.when(F.col("_court").rlike(pattern), F.lit(court)).otherwise(told)
     circuit = F.regexp_extract("_court", r"^([0-9]{1,2})(?:st|nd|rd|th) Cir", 1)
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "court": F.coalesce("_court", "told"),
             "court_id": F.when(circuit != "", F.concat(F.lit("ca"), circuit)).otherwise(told),
             "court_source": F.when(F.col("_court").isNotNull(), "document").when(F.col("told").isNotNull(), "reporter"),
             "cite_key": cite_key("volume", "reporter", "page"),
-            "context": context_of(F.col("text"), F.col("ends"), F.col("s")),
+            "context": one_line("context"),
         }
     )
-
-
-def context_of(text: Column, ends: Column, position: Column) -> Column:
-    """The sentence that holds a position, with the one before it."""
-    starts = F.concat(F.array(F.lit(0)), ends)
-    own = F.size(F.filter(ends, lambda x: x <= position))
-    begin = F.get(starts, F.greatest(own - 1, F.lit(0)))
-    end = F.coalesce(F.get(ends, own), F.length(text))
-    return F.trim(one_line(_slice(text, begin, end)))
+    return rows.drop("before", "after", "rest", "_court", "_quote", "_name")
 
 
 def attribute_short_forms(mentions: DataFrame) -> DataFrame:

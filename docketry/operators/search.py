@@ -11,51 +11,64 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed
 from docketry.functions.names import name_parts, parts_similarity
-from docketry.functions.text import blank_to_null, court_token
+from docketry.functions.text import blank_to_null, court_token, lists_key, reporter_key, year_in
 from docketry.operators.records import case_citations, record_of
+from docketry.sources.shared import stage
 
 KEY = ["doc_id", "idx"]
-#: Results of one search that are read.
+#: Results of one search that are carried on: those that decide come first, and ``found`` counts all.
 PAGE = 20
 
 
-def name_tokens(cases: DataFrame) -> DataFrame:
-    """(token, cluster_id): each identity token of each case's name."""
-    return cases.where("cluster_id is not null").select("cluster_id", F.explode(name_parts(F.col("case_name"))["all"]).alias("token"))
+def name_index(cases: DataFrame) -> DataFrame:
+    """(found_name, parts): each distinct name of a case, taken apart once. Cases without an id give none."""
+    names = cases.where("cluster_id is not null").groupBy(F.coalesce("case_name", F.lit("")).alias("found_name")).agg(F.lit(1).alias("_n")).select("found_name")
+    return stage(names.withColumn("parts", name_parts(F.col("found_name"))), "name-index")
 
 
-def match_names(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH, page: int = PAGE) -> DataFrame:
-    """(doc_id, idx, cluster_id, sim): cases whose names fit the cited ones, best first, at most ``page`` a citation.
+def match_distinct_names(cited: DataFrame, index: DataFrame, threshold: float = fixed.NAME_MATCH) -> DataFrame:
+    """(case_name, found_name, sim): the names of ``index`` that fit those of ``cited``. Both have a name and its ``parts``.
 
-    Any match of at least ``threshold`` > 0 shares a token with the cited name, or
-    begins with one that it abbreviates. Each cited name looks its rarest token
-    up, which all but names with abbreviations have to share at a threshold of 1;
-    below it, the rarest tokens up to the number that a match may lack and one
-    more. Distinct names are matched once for all documents that cite them.
+    Of n tokens on a side a match has ceil(threshold n) at least, so a match that
+    may lack m tokens has one of any m + 1. Each cited name looks up the m + 1 that
+    fewest names hold. An abbreviated token stands for all that begin with it: those
+    come from the list of distinct tokens, and their names count as its own.
     """
-    names = citations.where(blank_to_null("case_name").isNotNull()).select("case_name").distinct().withColumn("_parts", name_parts(F.col("case_name")))
-    index = name_tokens(cases)
-    frequency = index.groupBy("token").agg(F.count("*").alias("_n"))
-    # Tokens looked up: with n tokens, a match has ceil(threshold * n) of them, so one of any n - ceil(threshold * n) + 1 is among its own.
-    tokens = names.select("case_name", F.size("_parts.all").alias("_size"), F.col("_parts.short").alias("_short"), F.explode("_parts.all").alias("token"))
-    ranked = tokens.join(frequency, "token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("case_name").orderBy("_n", "token"))
-    # The weaker side decides, and sides overlap by noise at most; so the bound on all tokens holds with a side's own rounding to spare.
-    lookups = ranked.withColumn("_place", place).where(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * threshold) + 2)
-    exact = lookups.where(~F.array_contains("_short", F.col("token"))).join(index, "token").select("case_name", "cluster_id")
-    # An abbreviated token finds the longer ones by their first three letters.
-    short = lookups.where(F.array_contains("_short", F.col("token"))).withColumnRenamed("token", "_begin").withColumn("_head", F.substring("_begin", 1, 3))
-    long_ = index.withColumn("_head", F.substring("token", 1, 3))
-    begun = short.where(F.length("_begin") >= 3).join(long_, "_head").where(F.col("token").startswith(F.col("_begin"))).select("case_name", "cluster_id")
-    brief = short.where(F.length("_begin") < 3).withColumn("_head", F.col("_begin"))
-    heads = index.select("cluster_id", "token", F.explode(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2))).alias("_head"))
-    begun = begun.union(brief.join(heads, "_head").where(F.col("token").startswith(F.col("_begin"))).select("case_name", "cluster_id"))
-    pairs = exact.union(begun).distinct()
-    scored = pairs.join(names, "case_name").join(cases.select("cluster_id", F.col("case_name").alias("_found")), "cluster_id")
-    scored = scored.withColumn("sim", parts_similarity(F.col("_parts"), name_parts(F.col("_found")))).where(F.col("sim") >= threshold)
-    best = F.row_number().over(Window.partitionBy("case_name").orderBy(F.desc("sim"), F.length("_found"), "cluster_id"))
-    scored = scored.withColumn("_best", best).where(F.col("_best") <= page).select("case_name", "cluster_id", "sim")
-    return citations.select(*KEY, "case_name").join(scored, "case_name").select(*KEY, "cluster_id", "sim")
+    lacks = lambda s: F.coalesce(F.size(f"parts.{s}") - F.ceil(F.size(f"parts.{s}") * threshold - 1e-9), F.lit(0))
+    may_lack = F.greatest(lacks("all"), lacks("left") + lacks("right"))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat("parts.all", F.coalesce("parts.left", none), F.coalesce("parts.right", none)))
+    held = stage(index.select("found_name", F.explode(every).alias("token")), "name-tokens")
+    vocabulary = stage(held.groupBy("token").agg(F.count("*").alias("n")), "vocabulary")
+    tokens = cited.select("case_name", may_lack.alias("_lack"), "parts.short", F.explode("parts.all").alias("asked")).withColumn("is_short", F.array_contains("short", F.col("asked"))).drop("short")
+    begun = tokens.where("is_short").select("asked").distinct()
+    beginnings = vocabulary.select("token", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring("token", F.lit(1), k))).alias("asked"))
+    stands_for = stage(beginnings.join(begun, "asked").select("asked", "token", "n", F.lit(True).alias("is_short")), "beginnings")
+    cost = vocabulary.select(F.col("token").alias("asked"), "n", F.lit(False).alias("is_short")).union(stands_for.groupBy("asked").agg(F.sum("n").alias("n")).select("asked", "n", F.lit(True)))
+    ranked = tokens.join(cost, ["asked", "is_short"], "left").withColumn("_n", F.coalesce("n", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("case_name").orderBy("_n", "asked"))
+    lookups = stage(ranked.withColumn("_at", place).where((F.col("_at") <= F.col("_lack") + 1) & (F.col("_n") > 0)).select("case_name", "asked", "is_short"), "lookups")
+    exact = lookups.where("not is_short").select("case_name", F.col("asked").alias("token"))
+    longer = lookups.where("is_short").join(stands_for.select("asked", "token"), "asked").select("case_name", "token")
+    pairs = exact.union(longer).join(held, "token").select("case_name", "found_name").distinct()
+    both = pairs.join(cited.select("case_name", F.col("parts").alias("cited")), "case_name").join(index.select("found_name", F.col("parts").alias("found")), "found_name")
+    return both.select("case_name", "found_name", parts_similarity(F.col("cited"), F.col("found")).alias("sim")).where(F.col("sim") >= threshold)
+
+
+def cited_names(citations: DataFrame) -> DataFrame:
+    """(case_name, parts): each distinct cited name, taken apart once."""
+    names = citations.where(blank_to_null("case_name").isNotNull()).select("case_name").distinct()
+    return stage(names.withColumn("parts", name_parts(F.col("case_name"))), "cited-names")
+
+
+def match_names(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH) -> DataFrame:
+    """(doc_id, idx, cluster_id, sim): all cases whose names fit the cited ones by ``threshold`` > 0.
+
+    Distinct names are matched once for all citations and cases that have them.
+    """
+    found = match_distinct_names(cited_names(citations), name_index(cases), threshold)
+    named = cases.where("cluster_id is not null").select("cluster_id", F.coalesce("case_name", F.lit("")).alias("found_name"))
+    return citations.select(*KEY, "case_name").join(found, "case_name").join(named, "found_name").select(*KEY, "cluster_id", "sim")
 
 
 def match_slots(citations: DataFrame, cases: DataFrame) -> DataFrame:
@@ -64,24 +77,71 @@ def match_slots(citations: DataFrame, cases: DataFrame) -> DataFrame:
     return asked.join(case_citations(cases), "cite_key").select(*KEY, "cluster_id")
 
 
-def _ranked(found: DataFrame, cases: DataFrame, strategy: str, order: list) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
-    record = F.struct("cluster_id", "case_name", "citations", "court", "date_filed", "absolute_url", "snippet")
-    rows = found.join(cases, "cluster_id")
-    return rows.select(*KEY, F.lit(strategy).alias("strategy"), rank.alias("rank"), record.alias("rec")).where(F.col("rank") <= PAGE)
+def with_scores(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (case_name, rec, cite_key ...) with ``sim``, how well the record's name fits, and ``lists``, whether it has the citation.
+
+    Each distinct pair of names is scored once; pairs without a name have 0.
+    """
+    names = pairs.select("case_name", F.col("rec.case_name").alias("found_name")).where(blank_to_null("case_name").isNotNull() & blank_to_null("found_name").isNotNull()).distinct()
+    apart = stage(names.select("*", name_parts(F.col("case_name")).alias("cited"), name_parts(F.col("found_name")).alias("found")), "names-apart")
+    scored = apart.select(F.col("case_name").alias("_cited"), "found_name", parts_similarity(F.col("cited"), F.col("found")).alias("sim"))
+    out = pairs.join(scored, (F.col("case_name") == F.col("_cited")) & (F.col("rec.case_name") == F.col("found_name")), "left").drop("_cited", "found_name")
+    return out.withColumns({"sim": F.coalesce("sim", F.lit(0.0)), "lists": lists_key("rec.citations", "cite_key")})
+
 
+def _page(rows: DataFrame, order: list, page: int) -> DataFrame:
+    """``rows`` with ``rank`` in their search by ``order``, as far as ``page``."""
+    by = Window.partitionBy(*KEY, "strategy").orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= page)
 
-def corpus_search(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH) -> tuple[DataFrame, None]:
+
+def named_records(asked: DataFrame, named: DataFrame, page: int) -> DataFrame:
+    """(doc_id, idx, strategy, rank, rec, sim, lists, found): the first ``page`` records of each cited name.
+
+    Records that list the citation come first, then those of the court and the year
+    that the document writes, then those that tell a court, each by name score and
+    id. So no verdict depends on what lies beyond the page. The best of a name, of a
+    name in a court, in a year and in both are found once for all citations of the
+    name: a name that many cases have costs each citation some pages, not all cases.
+
+    ``asked``: citations; ``named``: (case_name, rec, sim, court, year) of cases.
+    """
+    counts = named.groupBy("case_name").agg(F.count("*").cast("int").alias("found"))
+    wanted = asked.select(*KEY, "case_name", "cite_key", F.when((F.col("court_source") == "document") & blank_to_null("court").isNotNull(), court_token("court")).alias("court"), blank_to_null("year").alias("year"))
+    best = [F.desc(blank_to_null("rec.court").isNotNull()), F.desc("sim"), F.col("rec.cluster_id")]
+    listed = named.withColumn("cite_key", F.explode(F.array_distinct(F.transform("rec.citations", reporter_key))))
+    pages = [wanted.join(listed.select("case_name", "cite_key", "rec", "sim"), ["case_name", "cite_key"]).select(*KEY, "rec", "sim")]
+    for within in ([], ["court"], ["year"], ["court", "year"]):
+        first = F.row_number().over(Window.partitionBy("case_name", *within).orderBy(*best))
+        top = named.withColumn("_n", first).where(F.col("_n") <= page).select("case_name", *within, "rec", "sim")
+        pages.append(wanted.join(top, ["case_name", *within]).select(*KEY, "rec", "sim"))
+    some = pages[0]
+    for more in pages[1:]:
+        some = some.union(more)
+    rows = some.groupBy(*KEY, F.col("rec.cluster_id").alias("_id")).agg(F.min_by(F.struct("rec", "sim"), "sim").alias("_r")).select(*KEY, "_r.*")
+    rows = rows.join(wanted, KEY).join(counts, "case_name")
+    fits = F.when(F.coalesce(F.col("court") == court_token("rec.court"), F.lit(False)), 2).otherwise(0) + F.when(F.coalesce(F.col("year") == year_in("rec.date_filed"), F.lit(False)), 1).otherwise(0)
+    rows = rows.select(*KEY, F.lit("name").alias("strategy"), "rec", "sim", lists_key("rec.citations", "cite_key").alias("lists"), "found", fits.alias("_fits"))
+    return _page(rows, [F.desc("lists"), F.desc("_fits"), *best], page).select(*KEY, "strategy", "rank", "rec", "sim", "lists", "found")
+
+
+def corpus_search(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH, page: int = PAGE) -> tuple[DataFrame, None]:
     """Results of the three searches against ``cases`` (columns of a record and ``court_id``). No search fails.
 
-    The order within a search is ours: by name score, then by id.
+    The order within a search is ours: see ``named_records``; records that list the
+    citation go by name score and id. ``found`` counts all results, those beyond the page too.
     """
-    by_name = _ranked(match_names(citations, cases, threshold), cases, "name", [F.desc("sim"), "cluster_id"])
-    slots = match_slots(citations, cases)
-    by_cite = _ranked(slots, cases, "cite", ["cluster_id"])
-    in_court = slots.join(citations.select(*KEY, F.col("court_id").alias("_court_id")), KEY).where("_court_id is not null")
-    in_court = in_court.join(cases.select("cluster_id", F.coalesce("court_id", court_token("court")).alias("_of")), "cluster_id").where("_of = _court_id").select(*KEY, "cluster_id")
-    return by_name.unionByName(by_cite).unionByName(_ranked(in_court, cases, "court", ["cluster_id"])), None
+    asked = citations.select(*KEY, "case_name", "cite_key", "court", "court_id", "court_source", "year")
+    matches = stage(match_distinct_names(cited_names(citations), name_index(cases), threshold), "name-matches")
+    record = F.struct("cluster_id", "case_name", "citations", "court", "date_filed", "absolute_url", "snippet")
+    known = cases.where("cluster_id is not null").select("cluster_id", record.alias("rec"), F.coalesce("court_id", court_token("court")).alias("_of"))
+    named = matches.join(known, F.col("found_name") == F.coalesce("rec.case_name", F.lit(""))).select("case_name", "rec", "sim", court_token("rec.court").alias("court"), year_in("rec.date_filed").alias("year"))
+    by_name = named_records(asked, stage(named, "named"), page)
+    slots = with_scores(match_slots(citations, cases).join(known, "cluster_id").join(asked, KEY)).select(*KEY, "rec", "sim", F.lit(True).alias("lists"), (F.col("_of") == F.col("court_id")).alias("_here"))
+    slots = stage(slots, "slots")
+    by_cite = slots.withColumn("strategy", F.lit("cite")).unionByName(slots.where("_here").withColumn("strategy", F.lit("court")))
+    by_cite = _page(by_cite.withColumn("found", F.count("*").over(Window.partitionBy(*KEY, "strategy")).cast("int")), [F.desc("sim"), F.col("rec.cluster_id")], page)
+    return by_name.unionByName(by_cite.select(*by_name.columns)), None
 
 
 def replay_search(citations: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +170,9 @@ def replay_search(citations: DataFrame, replies: DataFrame) -> tuple[DataFrame,
     answered = answered.withColumn("_prefer", F.struct("_kind", F.col("_court").isNull(), -F.length("_query"), "_query"))
     best = F.min("_prefer").over(Window.partitionBy(*KEY, "strategy"))
     answered = answered.withColumn("_least", best).where("_prefer = _least")
-    rank = F.row_number().over(Window.partitionBy(*KEY, "strategy").orderBy("_rank"))
-    results = answered.where("record is not null and not coalesce(failing, false)").select(*KEY, "strategy", rank.alias("rank"), record_of(F.col("record")).alias("rec"))
+    some = answered.where("record is not null and not coalesce(failing, false)").select(*KEY, "strategy", "_rank", record_of(F.col("record")).alias("rec"))
+    known = with_scores(some.join(citations.select(*KEY, "case_name", "cite_key"), KEY))
+    by = Window.partitionBy(*KEY, "strategy")
+    ranked = known.withColumn("rank", F.row_number().over(by.orderBy("_rank"))).withColumn("found", F.count("*").over(by).cast("int"))
     status = answered.where("failing").select(*KEY, "strategy", F.lit("the search failed").alias("error")).distinct()
-    return results, status
+    return ranked.select(*KEY, "strategy", "rank", "rec", "sim", "lists", "found"), status

@@ -11,25 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed
-from docketry.functions.names import name_parts, parts_similarity
 from docketry.functions.schemas import EVIDENCE, RECORD
-from docketry.functions.text import blank_to_null, court_token, lists_key, year_in
+from docketry.functions.text import blank_to_null, court_token, year_in
+from docketry.sources.shared import stage
 
 KEY = ["doc_id", "idx"]
 STRATEGIES = ("name", "cite", "court")
 
 
 def attach_results(citations: DataFrame, results: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """``citations`` with ``name_results``, ``cite_results``, ``court_results`` (records by rank) and ``name_error`` etc.
+    """``citations`` with ``name_results``, ``cite_results``, ``court_results`` (struct of rec, sim, lists by rank), ``name_found`` (how many there are) and ``name_error`` etc.
 
     A citation without results has empty arrays; equal ranks go by cluster id.
     """
+    own = lambda s, x: F.when(F.col("strategy") == s, x)
+    scored = F.struct("rank", F.col("rec.cluster_id").alias("id"), F.struct("rec", "sim", "lists").alias("r"))
     rows = results.groupBy(*KEY).agg(
-        *(F.sort_array(F.collect_list(F.when(F.col("strategy") == s, F.struct("rank", F.col("rec.cluster_id").alias("id"), "rec")))).alias(f"_{s}") for s in STRATEGIES)
+        *(F.sort_array(F.collect_list(own(s, scored))).alias(f"_{s}") for s in STRATEGIES), *(F.max(own(s, F.col("found"))).alias(f"{s}_found") for s in STRATEGIES)
     )
     out = citations.join(rows, KEY, "left")
-    none = F.array().cast(f"array<{RECORD}>")
-    out = out.withColumns({f"{s}_results": F.coalesce(F.transform(f"_{s}", lambda x: x["rec"]), none) for s in STRATEGIES}).drop(*(f"_{s}" for s in STRATEGIES))
+    none = F.array().cast(f"array<struct<rec:{RECORD},sim:double,lists:boolean>>")
+    out = out.withColumns({f"{s}_results": F.coalesce(F.transform(f"_{s}", lambda x: x["r"]), none) for s in STRATEGIES} | {f"{s}_found": F.coalesce(f"{s}_found", F.lit(0)) for s in STRATEGIES})
+    out = out.drop(*(f"_{s}" for s in STRATEGIES))
     if status is None:
         return out.withColumns({f"{s}_error": F.lit(None).cast("string") for s in STRATEGIES})
     errors = status.groupBy(*KEY).agg(*(F.max(F.when(F.col("strategy") == s, F.col("error"))).alias(f"{s}_error") for s in STRATEGIES))
@@ -64,14 +67,7 @@ def _plain(scored: Column) -> Column:
 def gather_evidence(rows: DataFrame) -> DataFrame:
     """Add what the rules look at: scored results, slot owners, litigation records, the match by name, the confirming record."""
     named = blank_to_null("case_name").isNotNull()
-    out = rows.withColumn("_parts", name_parts(F.col("case_name")))
-
-    def scored(records: str) -> Column:
-        return F.transform(
-            records, lambda r: F.struct(r.alias("rec"), parts_similarity(F.col("_parts"), name_parts(r["case_name"])).alias("sim"), lists_key(r["citations"], F.col("cite_key")).alias("lists"))
-        )
-
-    out = out.withColumns({f"_{s}": scored(f"{s}_results") for s in STRATEGIES})
+    out = rows.withColumns({f"_{s}": F.col(f"{s}_results") for s in STRATEGIES})
     # Records of either search that list the citation; of equal ids the first.
     listing = F.filter(F.concat(F.when(named, F.col("_name")).otherwise(F.slice("_name", 1, 0)), F.when(blank_to_null("matched_text").isNotNull(), F.col("_cite")).otherwise(F.slice("_cite", 1, 0))), lambda r: r["lists"])
     out = out.withColumn("_listing", F.when(blank_to_null("cite_key").isNotNull(), listing).otherwise(F.slice(listing, 1, 0)))
@@ -194,7 +190,7 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
     advisories = F.concat(F.coalesce("extraction_notes", F.array().cast("array<string>")), F.array_compact(F.array(*notes)))
 
     best = _first_of_most(F.filter("_name", lambda r: r["sim"] > 0), lambda r: r["sim"])
-    count = lambda s: F.size(f"{s}_results")
+    count = lambda s: F.col(f"{s}_found")
     phrase = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     row = lambda strategy, query, n, matched, top, note: F.struct(F.lit(strategy), query, n, matched, top, note).cast(EVIDENCE)
     score = F.format_string("%.2f", F.coalesce(best["sim"], F.lit(0.0)))
@@ -218,5 +214,9 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
 
 
 def findings(citations: DataFrame, results: DataFrame, status: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Citations with their verdicts, given what the searches returned."""
-    return explain_verdicts(decide(gather_evidence(attach_results(citations, results, status)), strict))
+    """Citations with their verdicts, given what the searches returned (RESULTS and STATUS).
+
+    What is decided is staged, so that a filter on a verdict is one on a stored
+    column, and not copied into all that the verdict is made of.
+    """
+    return explain_verdicts(stage(decide(gather_evidence(attach_results(citations, results, status)), strict), "decided"))

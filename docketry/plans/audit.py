@@ -31,6 +31,6 @@ def audit(documents: DataFrame, cases: DataFrame | None = None, replies: DataFra
     citations = stage(merge_authorities(mentions), "citations")
     checked = citations.where("kind = 'case'")
     results, status = corpus_search(checked, cases) if cases is not None else replay_search(checked, replies)
-    found = stage(findings(checked, stage(results, "results"), status, strict), "findings")
+    found = findings(checked, stage(results, "results"), status, strict)
     reports = audit_reports(documents, found, citations.where("kind <> 'case'"), doc_id)
     return Audit(citations, found, report_notes(reports, extraction_notes(mentions)))
