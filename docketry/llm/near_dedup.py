@@ -284,37 +284,35 @@ def settled(open_: DataFrame, classes: DataFrame, tried: DataFrame, bags: DataFr
     outsiders, those that have least of their own, meet its texts of other classes;
     what they are linked to joins their class, and the next round asks ``MORE``
     times as many of those that are still outside, until none is left unasked. A pair
-    is made in the first bucket that both texts are in only, by the one that is asked
-    first, and not at all if the bounds rule a link out.
+    is made in the first bucket that both texts are in only, compared once, and not
+    made at all if the bounds rule a link out.
     """
-    asked = open_.select("bucket", "doc_id", F.lit(0).alias("round")).limit(0)
-    count, turn = ASKED, 0
+    asked, count = None, ASKED
     while True:
-        turn += 1
-        classed = open_.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")).join(asked, ["bucket", "doc_id"], "left")
+        classed = open_.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
         sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
         whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
         state = materialize(classed.join(whole.select("bucket", "largest", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "bucket"), "state")
-        waiting = state.where("round is null and class <> largest")
+        waiting = state.where("class <> largest").select("bucket", "doc_id", "alone")
+        waiting = materialize(waiting if asked is None else waiting.join(asked, ["bucket", "doc_id"], "left_anti"), "waiting")
         first = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "doc_id"))
-        now = waiting.select("bucket", "doc_id", "alone", first.alias("_n")).where(F.col("_n") <= count).select("bucket", "doc_id", F.lit(turn).alias("round"))
-        now = materialize(now, "asked")
+        now = materialize(waiting.withColumn("_n", first).where(F.col("_n") <= count).select("bucket", "doc_id"), "asked")
         last = now.count() == waiting.count()
-        asked = asked.union(now)
+        asked = now if asked is None else asked.union(now)
         side = ("doc_id", "size", "class", "within", "beyond", "odd", "buckets")
-        left = state.drop("round").join(now, ["bucket", "doc_id"]).select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *side)
-        right = state.drop("round").join(asked, ["bucket", "doc_id"], "left").select("bucket", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), *(F.col(c).alias(f"other_{c}") for c in side), "round")
+        left = state.join(now, ["bucket", "doc_id"]).select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *side)
+        right = state.select("bucket", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), *(F.col(c).alias(f"other_{c}") for c in side))
         most = F.least("within", "other_within") + F.least("beyond", "other_beyond")
         differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("other_odd")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("odd")[0].bitwiseXOR(F.col("other_odd")[0])))
         enough = lambda common: common >= (F.col("size") + F.col("other_size") - common) * similarity
-        turn_ = F.col("round").isNull() | ((F.col("round") == turn) & (F.col("doc_id") < F.col("other_doc_id")))
         here = F.array_min(F.array_intersect("buckets", "other_buckets")) == F.col("bucket")
-        met = left.join(right, ["bucket", "slice"]).where((F.col("class") != F.col("other_class")) & turn_ & enough(most) & enough((F.col("size") + F.col("other_size") - differ) / 2) & here)
-        pairs = met.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b"))
-        found = materialize(overlaps(pairs.join(tried, ["a", "b"], "left_anti"), bags, similarity).where("linked").select("a", "b"), "found")
+        met = left.join(right, ["bucket", "slice"]).where((F.col("class") != F.col("other_class")) & enough(most) & enough((F.col("size") + F.col("other_size") - differ) / 2) & here)
+        pairs = met.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")).distinct()
+        more = materialize(overlaps(pairs.join(tried, ["a", "b"], "left_anti"), bags, similarity), "more")
+        tried, found = tried.union(more.select("a", "b")), more.where("linked").select("a", "b")
         if found.limit(1).count():
             classes = joined(classes, found)
-        discard(state, found)
+        discard(state, waiting)
         if last:
             return classes
         count *= MORE
