@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh, materialize, small
+from docketry.llm.common import BROADCAST_ROWS, fresh, materialize, small
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,35 +16,64 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
-def line_hash(line: Column) -> Column:
-    """128 bits of the key as two differently seeded 64-bit hashes; null if the key is empty."""
-    key = line_key(line)
-    return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
+def key_hash(key: Column) -> Column:
+    """128 bits of a key as two differently seeded 64-bit hashes."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
+
+
+def repeated_ids(docs: DataFrame, doc_id: str) -> DataFrame:
+    """(_id): ids that more than one row has."""
+    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n"))
+    return materialize(ids.where("_n > 1").select("_id"), "repeated-ids")
+
+
+def common_keys(keys: DataFrame, again: DataFrame, min_docs: int) -> DataFrame:
+    """(_a, _b, _docs) of the keys that ``min_docs`` distinct documents have. ``keys``: (_id, _own, _a, _b), each key once a row.
+
+    Rows are summed before they are shuffled. Only those of ids that are repeated
+    (``again``) are made distinct first, so that a line in every document is a row a task.
+    """
+    if again.limit(1).count():
+        twice = keys.join(small(again), "_id").select("_id", "_own", "_a", "_b").distinct()
+        keys = keys.join(small(again), "_id", "left_anti").select("_id", "_own", "_a", "_b").unionByName(twice)
+    return keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
+
+
+def hits_of(keys: DataFrame, common: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` that are common. Beyond ``limit`` common keys, those found most often are still broadcast: at most ``limit`` keys can have one of ``limit`` parts of all rows."""
+    key = ["_a", "_b"]
+    held = lambda some: keys.join(some, key, "left_semi").select(keys.columns)
+    if common.count() <= limit:
+        return held(F.broadcast(common.select(key)))
+    often = F.col("_docs") * limit > keys.count()
+    return held(F.broadcast(common.where(often).select(key))).union(held(common.where(~often).select(key)))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines found in ``min_docs`` documents or more, plus ``n_lines`` and ``n_dropped``.
+    """``docs`` without the lines found in ``min_docs`` distinct documents or more, plus ``n_lines`` and ``n_dropped``.
 
-    Each row counts as one document, so repeated rows count apiece. A null or
-    empty text is one empty line and comes back as an empty text. Empty keys are
-    never dropped. Lines keep their order and their own form. Null ids are
-    allowed. An input column named ``n_lines`` or ``n_dropped`` is replaced.
+    Rows of one id are one document; each row without an id is a document of its
+    own. A null or empty text is one empty line and comes back as an empty text.
+    Empty keys are never dropped. Lines keep their order and their own form. An
+    input column named ``n_lines`` or ``n_dropped`` is replaced. An empty table
+    stays empty.
 
-    Only hashes are shuffled for counting, each once per document and summed
-    before the shuffle, so that a line in every document is one row per task.
-    The texts themselves move only in the last join, and stay where they are
-    when the documents with common lines are few.
+    Each line is hashed once, and the hashes are kept. Only they are shuffled for
+    counting, summed before. The texts themselves move only in the last join, and
+    stay where they are when the documents with common lines are few. There, rows
+    without an id go by a hash of their text, so they don't meet in one task.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    keys = docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(F.filter(F.transform(lines, line_hash), lambda x: x.isNotNull()))).alias("_key"))
-    keys = keys.select("_id", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"))
-    common = keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
-    common = small(materialize(common.select("_a", "_b"), "common-lines"))
+    own_hash = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    keys = docs.select(F.col(doc_id).alias("_id"), own_hash.alias("_own"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_key")).where("_key <> ''")
+    keys = materialize(keys.select("_id", "_own", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b")), "line-keys")
+    common = materialize(common_keys(keys, repeated_ids(docs, doc_id), min_docs), "common-lines")
     own = docs.drop("n_lines", "n_dropped")
-    key, drop, all_, left = fresh(docs, "_id", "_drop", "_lines", "_kept")
-    hits = keys.join(common, ["_a", "_b"]).groupBy(F.col("_id").alias(key)).agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias(drop))
-    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]), "left").withColumn(all_, lines)
-    kept = F.when(F.col(drop).isNull(), F.col(all_)).otherwise(F.filter(all_, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_hash(x)), F.lit(False))))
-    out = joined.withColumn(left, kept)
+    key, text_hash, drop, all_, left = fresh(docs, "_id", "_own", "_drop", "_lines", "_kept")
+    hits = hits_of(keys, common).groupBy(F.col("_id").alias(key), F.col("_own").alias(text_hash)).agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias(drop))
+    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]) & (F.when(own[doc_id].isNull(), F.xxhash64(own[text])).otherwise(F.lit(0)) == hits[text_hash]), "left").withColumn(all_, lines)
+    hashed = F.arrays_zip(F.col(all_).alias("line"), F.transform(F.transform(all_, line_key), key_hash).alias("hash"))
+    unlike = F.transform(F.filter(hashed, lambda x: ~F.array_contains(F.col(drop), x["hash"])), lambda x: x["line"])
+    out = joined.withColumn(left, F.when(F.col(drop).isNull(), F.col(all_)).otherwise(unlike))
     columns = [F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in own.columns]
     return out.select(*columns, F.size(all_).cast("long").alias("n_lines"), (F.size(all_) - F.size(left)).cast("long").alias("n_dropped"))

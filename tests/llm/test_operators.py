@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docketry.llm import chat_format as chat
 from docketry.llm import near_dedup as near
 from docketry.llm.compression_rules import compression_rules, repeated_words
-from docketry.llm.line_dedup import drop_common_lines
+from docketry.llm.line_dedup import common_keys, drop_common_lines, hits_of
 from docketry.llm.packing import Encoder, Packer, pack_documents
 from docketry.llm.quality_qda import fit_quality
 from docketry.llm.queries import SITE_RULES, tokenizer_path
@@ -435,6 +435,21 @@ def test_line_dedup(spark):
     assert drop_common_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_distinct_documents(spark):
+    # "seen" is in 12 rows of 3 ids, "wide" in 10 ids of which one has three rows, "bare" in ten rows without an id.
+    rows = [(i % 3, f"seen\nown {i}") for i in range(12)] + [(100 + i, "wide") for i in range(9)] + [(2, "wide"), (2, "wide\nmore"), (2, "more")] + [(None, f"bare\n{i % 2}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.text, x.n_dropped) for x in drop_common_lines(df).collect())
+    expected = Counter((i, "\n".join(x for x in t.split("\n") if x not in ("wide", "bare")), sum(x in ("wide", "bare") for x in t.split("\n"))) for i, t in rows)
+    assert got == expected
+
+
+def test_line_dedup_broadcasts_the_most_common_lines_only(spark):
+    keys = spark.createDataFrame([(i, 0, a, a) for i in range(40) for a in range(30) if i % (a + 1) == 0], "_id long, _own long, _a long, _b long")
+    common = common_keys(keys, keys.select("_id").limit(0), 3)
+    assert sorted(map(tuple, hits_of(keys, common, 4).collect())) == sorted(map(tuple, hits_of(keys, common).collect())) == sorted(map(tuple, keys.where("_a < 19").collect()))
+
+
 # -- 10: URLs --------------------------------------------------------------------------------------------------------
 
 
