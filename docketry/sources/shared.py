@@ -20,10 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once for all that follows, and safe from the loss of executors."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read again: computed once for all that follows, and safe from the loss of executors.
+
+    ``narrow``: rows of a few numbers, which are written as four files a core at most.
+    """
     path = f"{shared_dir(df.sparkSession)}/docketry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
