@@ -20,7 +20,7 @@ PORTION = 1 << 20
 #: Words of 64 bits in an odd sketch.
 SKETCH = 32
 #: How many of a bucket's texts outside its largest class meet the others in the first round, and how many times more in each after it.
-ASKED, MORE = 16, 8
+ASKED, MORE = 32, 16
 #: About how many texts of a bucket one task holds against those.
 SLICE = 1024
 
@@ -216,21 +216,27 @@ def overlaps(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that each linked node reaches. ``links`` has (a, b).
 
-    Each round takes the least class among a node's neighbours and then the class
-    of that class, until none changes. Nothing reaches the driver but a count.
+    Each step takes the least class among a node's neighbours and then the class of
+    that class; two steps are written at once, until nothing changes. Nothing
+    reaches the driver but a count.
     """
-    both = materialize(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
-    state = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("class")), "classes")
-    while True:
+    both = materialize(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "links", narrow=True)
+
+    def step(state: DataFrame) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("other"), "class"), "other").groupBy("node").agg(F.min("class").alias("_near"))
-        best = state.join(near, "node").select("node", "class", F.least("class", "_near").alias("_best"))
+        best = state.join(near, "node").select("node", "was", F.least("class", "_near").alias("_best"))
         jump = state.select(F.col("node").alias("_best"), F.col("class").alias("_far"))
-        before = state
-        state = materialize(best.join(jump, "_best", "left").select("node", F.least("_best", F.coalesce("_far", "_best")).alias("class"), (F.col("class") > F.least("_best", F.coalesce("_far", "_best"))).alias("moved")), "classes")
-        discard(before)
-        if not state.where("moved").limit(1).count():
+        return best.join(jump, "_best", "left").select("node", "was", F.least("_best", F.coalesce("_far", "_best")).alias("class"))
+
+    before, state = None, both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("class"))
+    while True:
+        state = materialize(step(step(state.withColumn("was", F.col("class")))), "classes", narrow=True)
+        if before is not None:
+            discard(before)
+        if not state.where("class < was").limit(1).count():
             discard(both)
             return state.select("node", "class")
+        before, state = state, state.select("node", "class")
 
 
 def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,7 +246,7 @@ def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     found = components(ends).withColumnRenamed("class", "_into")
     moved = classes.join(found, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("_into", "class").alias("class"))
     new = found.withColumnRenamed("node", "doc_id").join(classes, "doc_id", "left_anti").select("doc_id", F.col("_into").alias("class"))
-    return materialize(moved.union(new), "joined")
+    return materialize(moved.union(new), "joined", narrow=True)
 
 
 def own_shingles(bags: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def may_link(size: Column, room: Column, other_size: Column, other_room: Column,
 
 def one_text_an_id(found: DataFrame) -> DataFrame:
     """``found`` (doc_id, text) with one row an id: of several texts the least, so that no order of rows matters."""
-    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
+    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again", narrow=True)
     if not again.limit(1).count():
         return found
     again = small(again)
@@ -294,10 +300,12 @@ def settled(open_: DataFrame, classes: DataFrame, tried: DataFrame, bags: DataFr
         whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
         state = materialize(classed.join(whole.select("bucket", "largest", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "bucket"), "state")
         waiting = state.where("class <> largest").select("bucket", "doc_id", "alone")
-        waiting = materialize(waiting if asked is None else waiting.join(asked, ["bucket", "doc_id"], "left_anti"), "waiting")
+        waiting = waiting if asked is None else waiting.join(asked, ["bucket", "doc_id"], "left_anti")
         first = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "doc_id"))
-        now = materialize(waiting.withColumn("_n", first).where(F.col("_n") <= count).select("bucket", "doc_id"), "asked")
-        last = now.count() == waiting.count()
+        # One more than are asked, to know whether any are left.
+        ranked = materialize(waiting.withColumn("_n", first).where(F.col("_n") <= count + 1).select("bucket", "doc_id", "_n"), "asked", narrow=True)
+        now = ranked.where(F.col("_n") <= count).select("bucket", "doc_id")
+        last = not ranked.where(F.col("_n") > count).limit(1).count()
         asked = now if asked is None else asked.union(now)
         side = ("doc_id", "size", "class", "within", "beyond", "odd", "buckets")
         left = state.join(now, ["bucket", "doc_id"]).select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *side)
@@ -308,11 +316,11 @@ def settled(open_: DataFrame, classes: DataFrame, tried: DataFrame, bags: DataFr
         here = F.array_min(F.array_intersect("buckets", "other_buckets")) == F.col("bucket")
         met = left.join(right, ["bucket", "slice"]).where((F.col("class") != F.col("other_class")) & enough(most) & enough((F.col("size") + F.col("other_size") - differ) / 2) & here)
         pairs = met.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")).distinct()
-        more = materialize(overlaps(pairs.join(tried, ["a", "b"], "left_anti"), bags, similarity), "more")
+        more = materialize(overlaps(pairs.join(tried, ["a", "b"], "left_anti"), bags, similarity), "more", narrow=True)
         tried, found = tried.union(more.select("a", "b")), more.where("linked").select("a", "b")
         if found.limit(1).count():
             classes = joined(classes, found)
-        discard(state, waiting)
+        discard(state)
         if last:
             return classes
         count *= MORE
@@ -349,28 +357,28 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     texts = materialize(texts, "texts")
     placed = texts.select(F.col("copy_of").alias("doc_id"), "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).where("_min < _max").select("bucket")
-    placed = materialize(placed.join(shared, "bucket"), "buckets")
-    members = materialize(placed.select("doc_id").distinct(), "members")
+    placed = materialize(placed.join(shared, "bucket"), "buckets", narrow=True)
+    members = materialize(placed.select("doc_id").distinct(), "members", narrow=True)
     bags = materialize(bags_of(found.join(small(members, 500_000), "doc_id")), "bags")
 
     every = placed.join(own_shingles(bags), "doc_id", "left").withColumn("room", F.col("size") - F.coalesce("own", F.lit(0))).where(F.col("room") >= F.col("size") * similarity)
-    every = materialize(every.select("bucket", "doc_id", "size", "room"), "rooms")
+    every = materialize(every.select("bucket", "doc_id", "size", "room"), "rooms", narrow=True)
     least = every.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "least")
     # The likeliest partner that a text may have there: of as many shingles as its room, or of the bucket's fewest if those are more.
-    rooms = materialize(every.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.greatest("least", "room"), F.col("room"), similarity)).drop("least"), "possible")
+    rooms = materialize(every.join(least, "bucket").where(may_link(F.col("size"), F.col("room"), F.greatest("least", "room"), F.col("room"), similarity)).drop("least"), "possible", narrow=True)
     alone = ((F.col("size") - F.col("room")) / F.col("size")).alias("alone")
     centre = rooms.groupBy("bucket").agg(F.min(F.struct(alone, F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("room").alias("other_room"))).alias("c"))
     fits = may_link(F.col("size"), F.col("room"), F.col("other_size"), F.col("other_room"), similarity)
     pair = [F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")]
-    stars = materialize(rooms.join(centre.select("bucket", "c.other", "c.other_size", "c.other_room"), "bucket").withColumn("meets", (F.col("doc_id") != F.col("other")) & fits), "stars")
-    tried = materialize(overlaps(stars.where("meets").select(*pair).distinct(), bags, similarity), "tried")
+    stars = materialize(rooms.join(centre.select("bucket", "c.other", "c.other_size", "c.other_room"), "bucket").withColumn("meets", (F.col("doc_id") != F.col("other")) & fits), "stars", narrow=True)
+    tried = materialize(overlaps(stars.where("meets").select(*pair).distinct(), bags, similarity), "tried", narrow=True)
     reached = components(tried.where("linked").select("a", "b")).withColumnRenamed("node", "doc_id")
 
     classed = stars.join(reached, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     several = classed.groupBy("bucket").agg(F.min("class").alias("_min"), F.max("class").alias("_max")).where("_min < _max").select("bucket")
     # What a text shares with its bucket's centre, and what it shares with others beyond that; upper bounds where they have not met.
     met = stars.join(several, "bucket").withColumns({"a": pair[0], "b": pair[1]}).join(tried.select("a", "b", "common"), ["a", "b"], "left")
-    met = materialize(met.select("bucket", "doc_id", "size", alone, F.coalesce("common", "room").alias("within"), (F.col("room") - F.coalesce("common", F.lit(0))).alias("beyond")), "met")
+    met = materialize(met.select("bucket", "doc_id", "size", alone, F.coalesce("common", "room").alias("within"), (F.col("room") - F.coalesce("common", F.lit(0))).alias("beyond")), "met", narrow=True)
     theirs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
     open_ = materialize(met.join(theirs, "doc_id").join(bags.select("doc_id", "odd"), "doc_id"), "open")
     reached = settled(open_, reached, tried.select("a", "b"), bags, similarity).withColumnRenamed("doc_id", "copy_of")
@@ -389,7 +397,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = materialize(near_classes(docs, doc_id=doc_id, text=text, **options), "classes")
     gone = small(materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    again = small(materialize(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "again"))
+    again = small(materialize(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "again", narrow=True))
     kept = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
     if not again.limit(1).count():
         return kept
