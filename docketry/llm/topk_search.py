@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry.llm.common import materialize
 
 QUERY_TILE = 8192
-ROW_TILE = 65536
+ROW_TILE = 32768
 #: How many lists of one query a merging step takes.
 FAN_IN = 16
 FOUND = "query_id long, tile long, vec_id long, score long"
@@ -19,21 +19,35 @@ _BLOCK = 1024, 8192
 
 
 def quantized(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x). Rows with a null vector, an empty one, or a null or non-finite component are left out, null ids too."""
+    """(vec_id, v): components as floor(scale * x). Rows with a null vector or a null or non-finite component are left out, null ids too.
+
+    A component that is no 64-bit integer then ends the job with an error.
+    """
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    clean = df.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(~F.coalesce(bad, F.lit(True)))
-    return clean.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    clean = df.where(F.col(vec_id).isNotNull() & x.isNotNull()).where(~F.coalesce(bad, F.lit(True)))
+    whole = lambda c: F.when(F.abs(c * scale) < F.lit(float(1 << 63)), F.floor(c * scale)).otherwise(F.raise_error("a vector's component is beyond 64 bits").cast("long"))
+    return clean.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
 
 
 def _number(q: np.ndarray, s: np.ndarray):
-    """The fastest number kind in which every product and partial sum is exact."""
-    most = q.shape[1] * max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(s).max(initial=0)))
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    """The fastest number kind in which every product and partial sum is exact: floats, 64-bit integers, or Python's integers."""
+    size = lambda x: max(1, int(x.max(initial=0)), -int(x.min(initial=0)))
+    most = max(1, q.shape[1]) * size(q) * size(s)
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+
+
+def _as_scores(products: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Products as 64-bit integers, _NONE where ``same``; an error if another one is none, or is _NONE itself."""
+    if products.dtype == object:
+        products[same] = 0
+        if products.size and not (_NONE < products.min() and products.max() < 1 << 63):
+            raise OverflowError("an inner product is beyond 64 bits")
+    return np.where(same, _NONE, products.astype(np.int64))
 
 
 def tile_top(k: int):
@@ -56,9 +70,9 @@ def tile_top(k: int):
                 held_at = np.empty((len(ids), 0), dtype=np.int64)
                 for b in range(0, len(s_ids), _BLOCK[1]):
                     own = s_ids[b : b + _BLOCK[1]]
-                    score = (q[a : a + _BLOCK[0]] @ s[:, b : b + _BLOCK[1]]).astype(np.int64)
+                    same = ids[:, None] == own[None, :]
+                    score = _as_scores(q[a : a + _BLOCK[0]] @ s[:, b : b + _BLOCK[1]], same)
                     at = np.broadcast_to(np.arange(b, b + len(own)), score.shape)
-                    score = np.where(ids[:, None] == own[None, :], _NONE, score)
                     held_score, held_at = _best(np.hstack([held_score, score]), np.hstack([held_at, at]), k)
                 good = held_score != _NONE
                 out[0].append(np.repeat(ids, good.sum(axis=1)))
@@ -109,7 +123,9 @@ def top_k(
     rows that share an id but not the vector each counts as a candidate. A query
     id with several vectors is asked with the smallest one. Vectors left out by
     ``quantized`` neither ask nor answer; vectors of another length than the
-    query's do not answer it; an empty table gives no rows.
+    query's do not answer it, so empty ones (score 0) answer empty ones only; an
+    empty table gives no rows. Scores are exact: where products may be beyond 64 bits
+    they are worked out in unbounded integers, and one that is ends the job with an error.
 
     Tiles are even, as rows go to them by a hash, and a task holds one tile of
     rows and one of queries. Each row is sent once for every ``query_tile``
@@ -124,6 +140,9 @@ def top_k(
     queries = asked.withColumn("q_tile", spread(query_tiles)).withColumn("r_tile", every(row_tiles))
     queries = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), "q_tile", "r_tile")
     tiles = data.withColumn("r_tile", spread(row_tiles)).withColumn("q_tile", every(query_tiles))
-    pairs = queries.groupBy("q_tile", "r_tile").cogroup(tiles.groupBy("q_tile", "r_tile"))
+    # A pair of tiles costs much time for few bytes, so pairs are not gathered in tasks by their size.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_tiles * query_tiles)
+    dealt = lambda df: df.repartition(parts, "q_tile", "r_tile").groupBy("q_tile", "r_tile")
+    pairs = dealt(queries).cogroup(dealt(tiles))
     found = pairs.applyInArrow(tile_top(k), FOUND)
     return merge_lists(found, row_tiles, k, fan_in).select("query_id", "rank", "vec_id", "score")

@@ -196,11 +196,11 @@ def test_packer_is_best_fit_and_bounded():
 
 
 def brute_top(rows, k, step=50):
-    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)]
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
     for i, q in v:
         if i % step == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v if j != i and len(c) == len(q))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -208,7 +208,7 @@ def brute_top(rows, k, step=50):
 def test_top_k_against_brute_force(spark):
     r = random.Random(5)
     rows = [(i, [r.choice((-0.5, 0.0, 0.25, 0.7)) for _ in range(6)]) for i in range(400)]
-    rows += [(400, None), (401, []), (450, [float("nan")] * 6), (500, [None] + [0.1] * 5), (550, [float("inf")] * 6)]
+    rows += [(400, None), (401, []), (1000, []), (402, [0.1]), (450, [float("nan")] * 6), (500, [None] + [0.1] * 5), (550, [float("inf")] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rows = [(x.vec_id, x.embedding) for x in df.collect()]
     for options in ({}, {"query_tile": 3, "row_tile": 7, "fan_in": 2}):
@@ -221,6 +221,19 @@ def test_top_k_few_rows_and_repeats(spark):
     got = top_k(df.withColumns({"rank": F.lit(1), "v": F.lit(2), "tile": F.lit(0)}), lambda v: v % 50 == 0).collect()
     assert [(x.query_id, x.rank, x.vec_id) for x in got] == [(0, 1, 1)]
     assert top_k(df.limit(0), lambda v: v % 50 == 0).count() == 0
+    own = df.withColumns({"query_id": F.lit("own"), "score": F.lit("own"), "q_tile": F.lit(1)})
+    assert [tuple(x) for x in top_k(own, lambda v: v % 50 == 0).collect()] == [tuple(x) for x in got]
+
+
+def test_top_k_of_large_components(spark):
+    # Products beyond what floats and partial sums beyond what 64 bits hold, whose scores are within them.
+    rows = [(0, [3e7, 3e15, -3e15]), (1, [1.0, 3e15, 3e15]), (2, [-1.0, 3e15, 3e15]), (3, [2.0, 0.0, 0.0]), (4, [3e6, 3e2, 3e2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, lambda v: v % 50 == 0).collect()
+    assert [(x.query_id, x.rank, x.vec_id, x.score) for x in got] == brute_top(rows, 5)
+    for bad in ([(0, [3e15]), (1, [3e15])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            top_k(spark.createDataFrame(bad, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()
 
 
 # -- 5: chats --------------------------------------------------------------------------------------------------------
