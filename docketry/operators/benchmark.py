@@ -46,14 +46,16 @@ def detection_metrics(matches: DataFrame, expected: str = "expected", predicted:
     """(label, true_positive, false_positive, false_negative, precision, recall, f1) of each label against the rest.
 
     Ratios to four digits, null without a denominator; F1 is of the rounded
-    ratios, 0 if either is 0, null if either is null. Rows without a prediction don't count.
+    ratios, 0 if either is 0, null if either is null. Rows without a prediction don't count;
+    without any row each label has zeros.
     """
+    base = matches.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")
     labels = F.explode(F.array(*map(F.lit, LABELS))).alias("label")
     rows = matches.where(F.col(predicted).isNotNull()).groupBy(F.col(expected).alias("_e"), F.col(predicted).alias("_p")).count().select("*", labels)
     is_e, is_p = F.col("_e") == F.col("label"), F.col("_p") == F.col("label")
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0)).cast("bigint")
+    total = lambda c: F.sum(F.when(c, F.col("count"))).cast("bigint")
     out = rows.groupBy("label").agg(total(is_e & is_p).alias("true_positive"), total(~is_e & is_p).alias("false_positive"), total(is_e & ~is_p).alias("false_negative"))
-    return with_rates(out)
+    return with_rates(base.join(F.broadcast(out), "label", "left").na.fill(0))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -81,6 +83,6 @@ def summary(matches: DataFrame, expected: str = "expected", predicted: str = "pr
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The newest row of each key: what an upsert leaves. Ties by all columns."""
-    order = Window.partitionBy(key).orderBy(F.desc(at), *(F.col(c) for c in rows.columns if c not in (key, at)))
+    """The newest row of each key: what an upsert leaves. Of equally new ones that of the greatest other columns."""
+    order = Window.partitionBy(key).orderBy(F.desc(at), *(F.desc(c) for c in rows.columns if c not in (key, at)))
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed
 from docketry.functions.text import blank_to_null, comparable_quote, is_distinctive, word_count
+from docketry.sources.shared import stage
 
 KEY = ["doc_id", "idx"]
 
@@ -70,11 +71,12 @@ def check_quotes(findings: DataFrame, texts: DataFrame | None, phrase_hits: Data
     return out.drop(*(c for c in out.columns if c.startswith("_")))
 
 
-def shingles(words: Column, width: int) -> Column:
-    """Distinct runs of ``width`` words."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(n >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def word_runs(texts: DataFrame, words: str, width: int) -> DataFrame:
+    """One row for each run of ``width`` words of the array column ``words``, hashed as ``run``, with the other columns."""
+    names = [f"_w{k}" for k in range(width)]
+    shifted = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(n) for k, n in enumerate(names)))
+    rows = texts.select(*(c for c in texts.columns if c != words), F.explode(shifted).alias("_run")).where(F.col(f"_run.{names[-1]}").isNotNull())
+    return rows.select(*(c for c in texts.columns if c != words), F.xxhash64(*(f"_run.{n}" for n in names)).alias("run"))
 
 
 def brief_key(words: Column, at: Column | int) -> Column:
@@ -104,32 +106,36 @@ def brief_pairs(q: DataFrame, s: DataFrame) -> DataFrame:
     return found.join(looked.select("quote_id", "_key"), "_key").select("quote_id", "source_id").distinct()
 
 
-def contained_quotes(quotes: DataFrame, sources: DataFrame, width: int = 4) -> DataFrame:
+def contained_quotes(quotes: DataFrame, sources: DataFrame, width: int = 4, most_runs: int = 200_000) -> DataFrame:
     """(quote_id, source_id) of the comparable quotations that a source holds.
 
     ``quotes`` and ``sources`` have (id, text). A quotation looks up its rarest run
     of ``width`` words among the sources' runs, hashed; only sources that have it
     are searched. Its first and last word may be parts of a source's words, so they
     are in no such run; quotations too short to have one look up ``brief_pairs``.
-    Null and empty ones are in nothing.
+    Null and empty ones are in nothing. Sources are cut into runs once; runs of
+    quotations are broadcast if they are at most ``most_runs``, else both are shuffled.
     """
-    q = quotes.select(F.col("id").alias("quote_id"), comparable_quote("text").alias("_quote")).where("_quote <> ''")
-    s = sources.select(F.col("id").alias("source_id"), comparable_quote("text").alias("_source"))
-    # The words are a column of their own: inside a lambda, an expression would be worked out for each of its elements.
-    runs = lambda df, keep: df.select(keep, F.explode(shingles(F.col("_words"), width)).alias("_run")).select(keep, F.xxhash64("_run").alias("_run"))
+    q = stage(quotes.select(F.col("id").alias("quote_id"), comparable_quote("text").alias("_quote")).where("_quote <> ''"), "quotes")
+    read = sources.select(F.col("id").alias("source_id"), "text").where("text is not null")
     is_brief = word_count("_quote") < width + 2
     inner = q.where(~is_brief).select("quote_id", F.split("_quote", " ").alias("_words")).select("quote_id", F.slice("_words", F.lit(2), F.size("_words") - 2).alias("_words"))
-    held = runs(inner, "quote_id")
-    found = runs(s.select("source_id", F.split("_source", " ").alias("_words")), "source_id").join(held.select("_run").distinct(), "_run")
-    counts = found.groupBy("_run").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("quote_id").orderBy("_n", "_run")
+    held = stage(word_runs(inner, "_words", width).distinct(), "quote-runs")
+    wanted = stage(held.select("run").distinct(), "runs-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= most_runs else wanted
+    words = read.select("source_id", F.split(comparable_quote("text"), " ").alias("_words"))
+    found = stage(word_runs(words, "_words", width).join(wanted, "run").select("source_id", "run").distinct(), "runs-found")
+    counts = found.groupBy("run").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("quote_id").orderBy("_n", "run")
     # A run that no source has leaves its quotation without a match.
-    rarest = held.join(counts, "_run", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_at", F.row_number().over(order)).where("_at = 1")
-    pairs = rarest.select("quote_id", "_run").join(found, "_run").select("quote_id", "source_id").distinct()
+    rarest = held.join(counts, "run", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_at", F.row_number().over(order)).where("_at = 1")
+    pairs = rarest.select("quote_id", "run").join(found, "run").select("quote_id", "source_id").distinct()
     brief = q.where(is_brief)
     if brief.limit(1).count():
-        pairs = pairs.union(brief_pairs(brief, s)).distinct()
-    return pairs.join(q, "quote_id").join(s, "source_id").where(F.contains(F.col("_source"), F.col("_quote"))).select("quote_id", "source_id")
+        pairs = pairs.union(brief_pairs(brief, read.select("source_id", comparable_quote("text").alias("_source")))).distinct()
+    # Sources are read again, but made comparable only where a quotation may be in them.
+    both = pairs.join(q, "quote_id").join(read, "source_id")
+    return both.where(F.contains(comparable_quote("text"), F.col("_quote"))).select("quote_id", "source_id")
 
 
 def content_terms(x: Column) -> Column:
@@ -156,6 +162,17 @@ def best_passage(full_text: Column, sentence: Column, longest: int = fixed.LONGE
     return F.substring(blank_to_null(chosen), 1, longest)
 
 
+def rank_passages(parts: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, rank, at, overlap): the ``most`` passages of a text that share most terms with a sentence, the earlier first.
+
+    ``parts``: (doc_id, at, passage, sentence). Short passages and those without a shared term don't count.
+    """
+    rows = parts.where(F.length("passage") >= fixed.SHORTEST_PARAGRAPH).withColumn("_terms", content_terms(F.col("sentence"))).where(F.size("_terms") > 0)
+    rows = rows.withColumn("overlap", F.size(F.array_intersect(content_terms(F.col("passage")), F.col("_terms")))).where("overlap > 0")
+    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "at"))
+    return rows.withColumn("rank", top).where(F.col("rank") <= most).select("doc_id", "rank", "at", "overlap")
+
+
 def snippet_passage(findings: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, idx, passage): the snippet of the first result that is the resolved case itself. ``hits``: (doc_id, idx, rank, rec)."""
     own = findings.select(*KEY, F.col("resolved.cluster_id").alias("_cluster")).where("_cluster is not null")

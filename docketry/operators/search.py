@@ -77,6 +77,11 @@ def match_slots(citations: DataFrame, cases: DataFrame) -> DataFrame:
     return asked.join(case_citations(cases), "cite_key").select(*KEY, "cluster_id")
 
 
+def fetch_cases(asked: DataFrame, cases: DataFrame) -> DataFrame:
+    """The cases whose ``cluster_id`` is asked for, each once; ids that no case has give no row."""
+    return cases.join(asked.select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+
 def with_scores(pairs: DataFrame) -> DataFrame:
     """``pairs`` (case_name, rec, cite_key ...) with ``sim``, how well the record's name fits, and ``lists``, whether it has the citation.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed
@@ -12,36 +12,21 @@ from docketry.operators import benchmark as B
 from docketry.operators import quotes as Q
 from docketry.operators import reports as R
 from docketry.operators.extract import attribute_short_forms, citation_mentions, extract_citations, scan_documents
-from docketry.operators.search import corpus_search, match_names, match_slots
+from docketry.operators.search import match_names, match_slots
 from docketry.operators.support import clean_reply, parse_reply
-from docketry.operators.verdicts import findings, slot_note
+from docketry.operators.verdicts import slot_note
 from docketry.plans import derived as D
 from docketry.plans.audit import audit
+from docketry.plans.checks import ORACLES as CHECKED
+from docketry.plans.checks import QUERIES as CHECKS
 from docketry.plans.derived import table
+from docketry.plans.stated import JUDGED, stated_citations, verdict_rows
 from docketry.sources.files import admitted
 from docketry.sources.shared import stage
 
 ASCII_SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
-def stated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation rows as the briefs' sentences state them, without reading the sentences."""
-    rows = D.brief_citations(spark, sf_dir)
-    ids = F.map_from_arrays(F.array(*(F.lit(w) for w, _ in D.COURTS)), F.array(*(F.lit(i) for _, i in D.COURTS)))
-    told = F.when(F.col("reporter") == "U.S.", "scotus")
-    return rows.select(
-        "doc_id", F.col("o_orderkey").cast("int").alias("idx"), "way", "matched_text", "volume", "reporter", "page", F.coalesce("court", told).alias("court"),
-        F.coalesce(F.when(F.col("court").isNotNull(), F.element_at(ids, F.col("court"))), told).alias("court_id"), F.when(F.col("court").isNotNull(), "document").when(told.isNotNull(), "reporter").alias("court_source"),
-        "year", "case_name", "cite_key", F.lit(None).cast("array<string>").alias("extraction_notes"),
-    )
-
-
-def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = stage(stated_citations(spark, sf_dir), "stated")
-    results, status = corpus_search(cited, stage(D.cases(spark, sf_dir), "cases"))
-    return findings(cited, stage(results, "results"), status)
-
-
 def normalize_documents(spark, sf_dir):
     """White space."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalized("text")).alias("text_md5"), F.length(X.normalized("text")).alias("n"))
@@ -197,24 +182,21 @@ def distinctive_quotes(spark, sf_dir):
 
 def quote_variant(spark, sf_dir):
     """the words that a document has where a passage begins."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.comparable_quote("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.comparable_quote("text").alias("source"))
-    held = Q.contained_quotes(items.select(F.col("item_id").alias("id"), F.col("quote").alias("text")), docs.select(F.col("doc_id").alias("id"), F.col("source").alias("text")))
-    rows = held.join(items, F.col("quote_id") == F.col("item_id")).join(docs, F.col("source_id") == F.col("doc_id"))
-    return rows.select("item_id", "doc_id", F.md5(Q.closest_words(F.col("source"), F.col("quote"))).alias("words_md5"))
+    items, docs = table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = Q.contained_quotes(items.select(F.col("item_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
+    rows = held.join(items.withColumnRenamed("text", "quote"), F.col("quote_id") == F.col("item_id")).join(docs, F.col("source_id") == F.col("doc_id"))
+    return rows.select("item_id", "doc_id", F.md5(Q.closest_words(X.comparable_quote("text"), X.comparable_quote("quote"))).alias("words_md5"))
 
 
 def passage_top3(spark, sf_dir):
     """Lines of documents that share most terms with a document's first line, scored and ranked."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("_lines"))
-    rows = docs.select("doc_id", Q.content_terms(F.get("_lines", F.lit(0))).alias("_terms"), F.posexplode("_lines").alias("at", "line"))
-    rows = rows.where((F.length("line") >= fixed.SHORTEST_PARAGRAPH) & (F.size("_terms") > 0) & (F.col("at") > 0)).withColumn("overlap", F.size(F.array_intersect(Q.content_terms(F.col("line")), F.col("_terms")))).where("overlap > 0")
-    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "at"))
-    return rows.withColumn("rank", top).where("rank <= 3").select("doc_id", "rank", "at", "overlap")
+    parts = docs.select("doc_id", F.get("_lines", F.lit(0)).alias("sentence"), F.posexplode("_lines").alias("at", "passage"))
+    return Q.rank_passages(parts.where("at > 0"))
 
 
 def best_passages(spark, sf_dir):
-    """F30 as an expression: the passage of a page for its own title (rows only; RE2 has no lookbehind)."""
+    """F30 as an expression: the passage of a page for its own title."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), X.without_markup("html").alias("body"))
     return pages.select("page_id", F.md5(Q.best_passage(F.col("body"), F.col("title"))).alias("passage_md5"))
 
@@ -225,9 +207,10 @@ def strip_html(spark, sf_dir):
 
 
 def sentence_context(spark, sf_dir):
-    """Sentences of briefs, and the context of each citation (rows only)."""
-    rows = citation_mentions(scan_documents(D.briefs(spark, sf_dir)))
-    return rows.select("doc_id", "pos", F.size("ends").alias("sentences"), F.length("context").alias("n"))
+    """Sentences of briefs, and the context of each citation."""
+    scanned = scan_documents(D.briefs(spark, sf_dir))
+    rows = citation_mentions(scanned).join(scanned.select("doc_id", F.size("ends").alias("sentences")), "doc_id")
+    return rows.select("doc_id", "pos", "sentences", F.length("context").alias("n"))
 
 
 def severity_order(spark, sf_dir):
@@ -238,7 +221,7 @@ def severity_order(spark, sf_dir):
 
 
 def span_segments(spark, sf_dir):
-    """Briefs cut at their citations (rows only)."""
+    """Briefs cut at their citations."""
     mentions = scan_documents(D.briefs(spark, sf_dir)).select("doc_id", "text", F.transform("mentions", lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), i.alias("id"))).alias("spans"))
     cut = mentions.select("doc_id", F.length("text").alias("n"), R.span_segments(F.col("text"), F.col("spans")).alias("seg"))
     return cut.select("doc_id", "n", F.size("seg").alias("segments"), F.size(F.filter("seg", lambda s: s["id"].isNotNull())).alias("highlighted"))
@@ -252,10 +235,8 @@ def request_cache_stats(spark, sf_dir):
 
 
 def latest_replies(spark, sf_dir):
-    """K4: the newest event of each user."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("user_id", "event_id")
+    """The newest event of each user."""
+    return B.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts").select("user_id", "event_id")
 
 
 def report_markdown(spark, sf_dir):
@@ -271,7 +252,7 @@ def report_exit_codes(spark, sf_dir):
 
 
 def model_reply_parse(spark, sf_dir):
-    """replies in several forms, made from part rows (rows only)."""
+    """replies in several forms, made from part rows."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     body = F.format_string('{"support": "%s", "confidence": %d.5, "rationale": "r", "passage": "%s"}', F.element_at(F.array(F.lit("Not Supported"), F.lit("partial"), F.lit("maybe")), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_size") % 3 - 1, F.col("p_name"))
     reply = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Sure: "), body, F.lit(" Done."))).when(F.col("p_partkey") % 4 == 2, body).otherwise("no")
@@ -294,20 +275,8 @@ QUERIES = {
         quote_variant, passage_top3, best_passages, strip_html, sentence_context, severity_order, span_segments, request_cache_stats, latest_replies, report_markdown, report_exit_codes, model_reply_parse, label_metrics,
     )
 }
+QUERIES |= CHECKS
 
-#: What the way that a citation is made means for it, by rules of its own.
-_JUDGED = f"""WITH {D.CASES_SQL},
-  j AS (
-    SELECT b.*, {D.KEY_SQL.format('b.')} AS cite_key, concat_ws(' ', b.volume, b.reporter, b.page) AS matched_text, o.case_name AS own_name, o.court AS own_court, concat_ws(' ', o.volume, o.reporter, o.page) AS own_cite,
-      CASE WHEN b.way < 2 THEN 'D3' WHEN b.way = 2 THEN 'D10' WHEN b.way = 3 THEN 'D8' WHEN b.way = 4 THEN 'D4' WHEN b.way = 5 AND b.court_id LIKE 'ca%' THEN 'D5' WHEN b.way = 5 THEN 'D6' WHEN b.way = 6 THEN 'D1' ELSE 'D7' END AS rule
-    FROM bc b JOIN oc o USING (o_orderkey)),
-  v AS (
-    SELECT *, CASE WHEN rule IN ('D1', 'D3') THEN 'verified' WHEN rule IN ('D4', 'D6') THEN 'miscited' WHEN rule = 'D7' THEN 'unverifiable' ELSE 'fabricated' END AS verdict,
-      CASE rule WHEN 'D1' THEN 'none' WHEN 'D3' THEN 'none' WHEN 'D4' THEN 'wrong_slot' WHEN 'D6' THEN 'wrong_court' WHEN 'D7' THEN 'not_checked' WHEN 'D8' THEN 'fabricated_case_name' ELSE 'fabricated_cite' END AS error_class,
-      CASE rule WHEN 'D1' THEN 0.75 WHEN 'D3' THEN 0.95 WHEN 'D4' THEN 0.85 WHEN 'D6' THEN 0.8 WHEN 'D7' THEN 0.0 WHEN 'D10' THEN CASE WHEN reporter = 'WL' THEN 0.7 ELSE 0.9 END ELSE 0.9 END::DOUBLE AS confidence,
-      CASE WHEN rule IN ('D8', 'D10') THEN NULL ELSE o_orderkey END AS resolved, CASE rule WHEN 'D4' THEN partner WHEN 'D8' THEN o_orderkey END AS owner,
-      CASE WHEN rule IN ('D4', 'D6') THEN own_name || ', ' || own_cite END AS suggestion
-    FROM j)"""
 _PREDICTED = "CASE verdict WHEN 'verified' THEN 'real' ELSE verdict END"
 _WAYS = "CASE WHEN way IN (0, 1, 6, 7) THEN 'real' WHEN way IN (2, 3) THEN 'fabricated' ELSE 'miscited' END"
 _METRICS = """, labels3 AS (SELECT unnest(['real', 'fabricated', 'miscited']) AS label),
@@ -317,37 +286,39 @@ _METRICS = """, labels3 AS (SELECT unnest(['real', 'fabricated', 'miscited']) AS
 _WS = "'[ \\t\\n\\x0B\\f\\r]+'"
 _QUOTE = "lower(trim(regexp_replace(regexp_replace(replace(translate(coalesce({0}, ''), '“”‘’\"''…', '       '), '...', ' '), '\\[[^\\]]*\\]', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')))"
 _TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z''\\-]{{2,}}'), lambda w: lower(w)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "], w)))"
-_REPEATING = f"""WITH {D.CASES_SQL}, r AS (SELECT *, {D.KEY_SQL.format('')} AS cite_key FROM bc WHERE way < 2)"""
+_STRIPPED = """trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+      '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
+_REPEATING = f"""WITH {D.CASES_SQL}, r AS (SELECT *, {D.KEY_SQL.format('')} AS cite_key FROM bc)"""
 
 ORACLES = {
-    "verdict_counts": f"{_JUDGED} SELECT rule, verdict, error_class, count(*) AS n, round_even(avg(confidence), 4) AS confidence FROM v GROUP BY ALL",
+    "verdict_counts": f"{JUDGED} SELECT rule, verdict, error_class, count(*) AS n, round_even(avg(confidence), 4) AS confidence FROM v GROUP BY ALL",
     "normalize_documents": f"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), {_WS}, ' ', 'g'))) AS text_md5, length(trim(regexp_replace(coalesce(text, ''), {_WS}, ' ', 'g')))::INT AS n FROM documents",
-    "admitted_documents": """SELECT CASE WHEN n = 0 THEN 'empty' WHEN n > 20000 THEN 'too long' ELSE 'accepted' END AS reason, count(*) AS n
+    "admitted_documents": """SELECT CASE WHEN n = 0 THEN 'empty' WHEN n > 400000 THEN 'too long' ELSE 'accepted' END AS reason, count(*) AS n
       FROM (SELECT length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n FROM documents) GROUP BY 1""",
-    "cite_key_lookup": f"{_JUDGED} SELECT j.doc_id, j.o_orderkey::INT AS idx, o.o_orderkey AS cluster_id FROM j JOIN oc o ON {D.KEY_SQL.format('o.')} = j.cite_key",
+    "cite_key_lookup": f"{JUDGED} SELECT j.doc_id, j.o_orderkey::INT AS idx, o.o_orderkey AS cluster_id FROM j JOIN oc o ON {D.KEY_SQL.format('o.')} = j.cite_key",
     "case_name_similarity": """
       SELECT a.c_custkey, CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 0.5 ELSE 0.0 END::DOUBLE AS sim, lower(concat('the ', replace(a.c_name, '#', ' '), ' co v ', a.c_mktsegment)) AS plain
       FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 1""",
-    "name_match_top1": f"{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, o_orderkey AS cluster_id, 1.0::DOUBLE AS sim FROM j WHERE way NOT IN (2, 3, 6)",
-    "slot_owner_unrelated": f"{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, error_class, owner FROM v WHERE owner IS NOT NULL",
-    "verdict_findings": f"{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, rule, verdict, error_class, confidence, resolved, owner, suggestion FROM v",
-    "audit_report": f"""{_JUDGED}, c AS (
+    "name_match_top1": f"{JUDGED} SELECT doc_id, o_orderkey::INT AS idx, o_orderkey AS cluster_id, 1.0::DOUBLE AS sim FROM j WHERE way NOT IN (2, 3, 6)",
+    "slot_owner_unrelated": f"{JUDGED} SELECT doc_id, o_orderkey::INT AS idx, error_class, owner FROM v WHERE owner IS NOT NULL",
+    "verdict_findings": f"{JUDGED} SELECT doc_id, o_orderkey::INT AS idx, rule, verdict, error_class, confidence, resolved, owner, suggestion FROM v",
+    "audit_report": f"""{JUDGED}, c AS (
       SELECT doc_id, count(*) FILTER (verdict = 'verified') AS verified, count(*) FILTER (verdict = 'fabricated') AS fabricated, count(*) FILTER (verdict = 'miscited') AS miscited,
              count(*) FILTER (verdict = 'unverifiable') AS unverifiable FROM v GROUP BY doc_id)
       SELECT *, verified + fabricated + miscited AS checkable, verified + fabricated + miscited + unverifiable AS total, round_even(100.0::DOUBLE * verified / nullif(verified + fabricated + miscited, 0), 1) AS integrity_score,
              round_even(100.0::DOUBLE * (verified + fabricated + miscited) / (verified + fabricated + miscited + unverifiable), 1) AS check_coverage, 0::BIGINT AS other_citations FROM c""",
-    "benchmark_metrics": f"{_JUDGED}, m AS (SELECT {_WAYS} AS e, {_PREDICTED} AS p FROM v) {_METRICS}",
-    "benchmark_summary": f"""{_JUDGED}, m AS (SELECT {_WAYS} AS e, {_PREDICTED} AS p FROM v)
+    "benchmark_metrics": f"{JUDGED}, m AS (SELECT {_WAYS} AS e, {_PREDICTED} AS p FROM v) {_METRICS}",
+    "benchmark_summary": f"""{JUDGED}, m AS (SELECT {_WAYS} AS e, {_PREDICTED} AS p FROM v)
       SELECT count(*) AS citations_expected, count(*) AS citations_found, 0::BIGINT AS citations_missed, count(*) FILTER (e = p) AS correct_verdicts, count(*) FILTER (p <> 'unverifiable') AS citations_decided,
              count(*) FILTER (p = 'unverifiable') AS citations_unverifiable, round_even(count(*) FILTER (e = p) / count(*), 4) AS verdict_accuracy,
              round_even(count(*) FILTER (e = p) / count(*) FILTER (p <> 'unverifiable'), 4) AS verdict_accuracy_of_decided FROM m""",
-    "confusion_matrix": f"""{_JUDGED}, m AS (SELECT {_WAYS} AS label, {_PREDICTED} AS p FROM v)
+    "confusion_matrix": f"""{JUDGED}, m AS (SELECT {_WAYS} AS label, {_PREDICTED} AS p FROM v)
       SELECT label, count(*) FILTER (p = 'real') AS real, count(*) FILTER (p = 'fabricated') AS fabricated, count(*) FILTER (p = 'miscited') AS miscited, 0::BIGINT AS undecided, count(*) FILTER (p = 'unverifiable') AS unverifiable FROM m GROUP BY label""",
-    "expected_matching": f"""{_JUDGED}, f AS (SELECT * FROM v WHERE way <> 6), b AS (SELECT e.doc_id, e.o_orderkey, min(f.o_orderkey) AS x FROM v e JOIN f ON e.doc_id = f.doc_id AND e.o_orderkey % 3 <> 0 AND e.cite_key = f.cite_key GROUP BY ALL),
+    "expected_matching": f"""{JUDGED}, f AS (SELECT * FROM v WHERE way <> 6), b AS (SELECT e.doc_id, e.o_orderkey, min(f.o_orderkey) AS x FROM v e JOIN f ON e.doc_id = f.doc_id AND e.o_orderkey % 3 <> 0 AND e.cite_key = f.cite_key GROUP BY ALL),
       n AS (SELECT e.doc_id, e.o_orderkey, min(f.o_orderkey) AS x FROM v e JOIN f ON e.doc_id = f.doc_id AND e.case_name = f.case_name GROUP BY ALL)
       SELECT e.doc_id, e.o_orderkey::INT AS entry, coalesce(b.x, n.x)::INT AS met, CASE f.verdict WHEN 'verified' THEN 'real' ELSE f.verdict END AS predicted
       FROM v e LEFT JOIN b USING (doc_id, o_orderkey) LEFT JOIN n USING (doc_id, o_orderkey) LEFT JOIN f ON f.o_orderkey = coalesce(b.x, n.x)""",
-    "extracted_citations": f"""{_JUDGED}, w AS (
+    "extracted_citations": f"""{JUDGED}, w AS (
         SELECT *, coalesce(case_name || ', ', 'See ') AS lead, matched_text || ' (' || concat_ws(' ', court, year) || ')' AS tail FROM j),
       p AS (SELECT *, coalesce(sum(length(lead) + length(tail) + 2) OVER (PARTITION BY doc_id ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey) - 1)::INT AS idx, matched_text, cite_key, case_name, split_part(case_name, ' v. ', 1) AS plaintiff, split_part(case_name, ' v. ', 2) AS defendant,
@@ -357,13 +328,13 @@ ORACLES = {
     "short_form_targets": f"""{_REPEATING}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey) - 1 AS k FROM r)
       SELECT doc_id, (4 * k + f.i)::INT AS pos, f.form, (4 * k + f.t)::INT AS target FROM n, (VALUES (0, 'full', 0), (1, 'short', 0), (2, 'id', 0), (3, 'full', 3)) f(i, form, t)""",
     "turn_carry": "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn FROM conversations",
-    "court_normalize": f"""{_JUDGED}, t AS (
+    "court_normalize": f"""{JUDGED}, t AS (
         SELECT *, coalesce(court, CASE reporter WHEN 'U.S.' THEN 'scotus' END, '') AS g, CASE WHEN resolved IS NULL THEN '' ELSE own_court END AS r FROM v),
       n AS (SELECT *, replace(replace(lower(g), '.', ''), ' ', '') AS g1, replace(replace(lower(r), '.', ''), ' ', '') AS r1 FROM t),
       k AS (SELECT *, CASE WHEN regexp_matches(g1, '^[0-9]+(st|th)cir') THEN 'ca' || regexp_extract(g1, '^([0-9]+)', 1) ELSE g1 END AS given, CASE WHEN regexp_matches(r1, '^[0-9]+(st|th)cir') THEN 'ca' || regexp_extract(r1, '^([0-9]+)', 1) ELSE r1 END AS recorded FROM n)
       SELECT doc_id, o_orderkey::INT AS idx, given, recorded, court IS NOT NULL AND verdict <> 'unverifiable' AND recorded <> '' AND given <> recorded AS differs FROM k""",
     "year_advisory": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y') END AS year, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y') END <> (o_orderkey % 7 + 1992)::VARCHAR AS differs FROM orders""",
-    "slot_reliability": f"""{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, o_orderkey % 13 <> 0 AND reporter <> 'WL' AND o_orderkey % 11 <> 0 AS reliable,
+    "slot_reliability": f"""{JUDGED} SELECT doc_id, o_orderkey::INT AS idx, o_orderkey % 13 <> 0 AND reporter <> 'WL' AND o_orderkey % 11 <> 0 AS reliable,
       CASE WHEN o_orderkey % 13 = 0 THEN 'no reporter ' WHEN reporter = 'WL' THEN 'WL citations' WHEN o_orderkey % 11 = 0 THEN left('''' || matched_text || ''' is a public', 12) END AS why FROM j""",
     "quote_containment": f"""WITH q AS (SELECT item_id, {_QUOTE.format('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_QUOTE.format('text')} AS s FROM documents)
       SELECT item_id, doc_id FROM q JOIN s ON q <> '' AND contains(s, q)""",
@@ -373,19 +344,33 @@ ORACLES = {
     "quote_variant": f"""WITH q AS (SELECT item_id, {_QUOTE.format('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_QUOTE.format('text')} AS s FROM documents),
       h AS (SELECT *, string_split(q, ' ') AS qw, instr(s, array_to_string(list_slice(string_split(q, ' '), 1, 6), ' ')) AS pos FROM q JOIN s ON q <> '' AND contains(s, q))
       SELECT item_id, doc_id, CASE WHEN len(qw) >= 5 THEN md5(array_to_string(list_slice(string_split(ltrim(substr(s, pos)), ' '), 1, len(qw)), ' ')) END AS words_md5 FROM h""",
-    "passage_top3": f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en'),
+    "passage_top3": f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
       x AS (SELECT doc_id, {_TERMS.format('ls[1]')} AS terms, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS "at" FROM d),
       o AS (SELECT doc_id, "at", len(list_intersect({_TERMS.format('line')}, terms)) AS overlap FROM x WHERE length(line) >= 60 AND "at" > 0 AND len(terms) > 0)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, "at")::INT AS rank, "at"::INT AS "at", overlap::INT AS overlap FROM o WHERE overlap > 0
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, "at") <= 3""",
-    "strip_html": """SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
-      '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM pages""",
-    "severity_order": f"""{_JUDGED} SELECT doc_id, o_orderkey::INT AS idx, verdict FROM v
+    "strip_html": f"SELECT page_id, md5({_STRIPPED}) AS text_md5 FROM pages",
+    "severity_order": f"""{JUDGED} SELECT doc_id, o_orderkey::INT AS idx, verdict FROM v
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE verdict WHEN 'fabricated' THEN 0 WHEN 'miscited' THEN 1 WHEN 'unverifiable' THEN 2 ELSE 3 END, o_orderkey) = 1""",
     "request_cache_stats": """WITH e AS (SELECT event_id, ts, sha256('GET' || chr(10) || '/u/' || user_id || chr(10) || coalesce(event_type, '')) AS key FROM events),
       h AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) > 1 AS hit FROM e)
       SELECT left(key, 1) AS shard, count(*) AS requests, count(*) FILTER (hit) AS hits, count(DISTINCT key) AS stored FROM h GROUP BY 1""",
     "latest_replies": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "report_exit_codes": f"{_JUDGED} SELECT doc_id, bool_or(verdict IN ('fabricated', 'miscited'))::INT AS exit_code FROM v GROUP BY doc_id",
+    "report_exit_codes": f"{JUDGED} SELECT doc_id, bool_or(verdict IN ('fabricated', 'miscited'))::INT AS exit_code FROM v GROUP BY doc_id",
     "label_metrics": f"""WITH m AS (SELECT CASE quality WHEN 1 THEN 'real' ELSE 'fabricated' END AS e, CASE WHEN n_chars >= 800 THEN 'real' ELSE 'fabricated' END AS p FROM labels JOIN documents USING (doc_id)) {_METRICS}""",
+    "best_passages": f"""WITH b AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, {_STRIPPED} AS body FROM pages),
+      p AS (SELECT *, list_filter(regexp_split_to_array(body, '\\n{{2,}}'), lambda x: trim(x, ' ') <> '') AS ps, {_TERMS.format('title')} AS terms FROM b),
+      s AS (SELECT *, CASE WHEN len(ps) >= 2 THEN ps ELSE list_filter(string_split(regexp_replace(body, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') END AS parts FROM p),
+      u AS (SELECT page_id, terms, unnest(parts) AS part, generate_subscripts(parts, 1) AS "at" FROM s),
+      o AS (SELECT page_id, "at", part, len(list_intersect({_TERMS.format('part')}, terms)) AS overlap FROM u WHERE length(part) >= 60),
+      r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY overlap DESC, "at") AS n FROM o WHERE overlap > 0),
+      c AS (SELECT page_id, string_agg(trim(part, ' '), chr(10) || chr(10) ORDER BY "at") AS chosen FROM r WHERE n <= 3 GROUP BY page_id)
+      SELECT page_id, md5(left(nullif(coalesce(chosen, body), ''), 3500)) AS passage_md5 FROM s LEFT JOIN c USING (page_id)""",
+    "sentence_context": f"""{JUDGED}, w AS (SELECT doc_id, o_orderkey, length(coalesce(case_name || ', ', 'See ') || matched_text || ' (' || concat_ws(' ', court, year) || ').') AS n FROM j)
+      SELECT doc_id, (row_number() OVER d - 1)::INT AS pos, (count(*) OVER (PARTITION BY doc_id))::INT AS sentences, (n + coalesce(lag(n) OVER d + 1, 0))::INT AS n FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY o_orderkey)""",
+    "span_segments": f"""{JUDGED}, w AS (SELECT doc_id, length(coalesce(case_name || ', ', 'See ') || matched_text || ' (' || concat_ws(' ', court, year) || ').') AS n FROM j)
+      SELECT doc_id, (sum(n) + count(*) - 1)::INT AS n, (2 * count(*) + 1)::INT AS segments, count(*)::INT AS highlighted FROM w GROUP BY doc_id""",
+    "model_reply_parse": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'not_supported' WHEN p_partkey % 3 = 1 THEN 'partial' ELSE 'unknown' END AS support,
+      CASE WHEN p_partkey % 4 <> 3 THEN CASE p_size % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END END::DOUBLE AS confidence, CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS passage FROM part""",
 }
+ORACLES |= CHECKED
