@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, small
+from docketry.llm.common import fresh, materialize, small
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of an epoch's order that make a bucket: 4096 buckets a leaf and epoch.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of an epoch's order by which buckets are parted, and how often: 256 buckets of a leaf, of its last bucket, and of that one's last.
+DIGITS, DEPTH = 2, 3
 DOMAINS = ("web", "forum", "reference", "books")
 
 
@@ -86,43 +86,47 @@ def mix_sources(
     documents that begin before the budget ends. So a leaf is over its budget by
     a part of one document at most, and never under it.
 
-    The place where a prefix ends is found from sums over 4096 buckets of the
-    order; only the one bucket that holds it is sorted, so a leaf with most of all
-    rows is never in one task. Null languages and sources are leaves named by an
-    empty string; rows without tokens belong to no leaf's budget and are left out;
-    null ids are ordered by their text's md5; repeated rows count apiece. Input
-    columns ``epoch`` and ``domain`` are replaced.
+    The place where a prefix ends is found from sums over 256 buckets of the order,
+    then over 256 parts of the bucket that holds it, and again; only a 16-millionth
+    of a leaf is sorted at last, so a leaf with most of all rows is never in one
+    task. Null languages and sources are leaves named by an empty string; rows
+    without tokens belong to no leaf's budget and are left out; null ids are ordered
+    by their text's md5; repeated rows count apiece, those of one id by their text's
+    md5. Input columns ``epoch`` and ``domain`` are replaced, all others stay.
     """
+    some = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")) != "" if tokens is None else tokens > 0
     domain = domain_of(F.col(source)) if domain is None else domain
     tokens = word_tokens(F.col(text)) if tokens is None else tokens
-    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    leaf = {"_domain": F.coalesce(domain, F.lit("")), "_lang": F.coalesce(F.col(lang), F.lit("")), "_source": F.coalesce(F.col(source), F.lit("")), "_name": name}
-    rows = docs.drop(*({"epoch", "domain"} - {doc_id, lang, source, text})).withColumns(leaf)
-    known = materialize(rows.select("_domain", "_lang", "_source", "_name", tokens.alias("_tokens")).where("_tokens > 0"), "mix-tokens")
-    sums = known.groupBy(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens"))
-    plan = budgets(materialize(sums, "mix-leaves"), share_percent, max_epochs, weights or {}, default_weight)
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), (F.expr("budget div tokens")).alias("_full"), (F.expr("budget % tokens")).alias("_part"))
-    plan = materialize(plan, "mix-plan")
-    key = [f"_{c}" for c in LEVELS]
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    *key, name, full, part, last, before, place, inside, held, spent = fresh(docs, "_domain", "_lang", "_source", "_name", "_full", "_part", "_last", "_before", "_place", "_in", "_tokens", "_spent")
+    leaf = dict(zip(key, (F.coalesce(domain, F.lit("")), F.coalesce(F.col(lang), F.lit("")), F.coalesce(F.col(source), F.lit("")))))
+    rows = docs.withColumns(leaf | {name: F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), digest))})
+    kept = [c for c in docs.columns if c.lower() not in {"epoch", "domain"} - {x.lower() for x in (doc_id, lang, source, text)}]
+    known = materialize(rows.select(*key, name, tokens.alias(held)).where(F.col(held) > 0), "mix-tokens")
+    sums = known.groupBy(*(F.col(k).alias(c) for k, c in zip(key, LEVELS))).agg(F.sum(held).alias("tokens"))
+    plan = budgets(materialize(sums, "mix-leaves", narrow=True), share_percent, max_epochs, weights or {}, default_weight)
+    plan = plan.select(*(F.col(c).alias(k) for k, c in zip(key, LEVELS)), F.expr("budget div tokens").alias(full), F.expr("budget % tokens").alias(part), F.lit("").alias(last), F.lit(0).cast("long").alias(before))
+    plan = materialize(plan, "mix-plan", narrow=True)
 
     def ordered(df: DataFrame) -> DataFrame:
-        place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.col("_name")))
-        return df.withColumn("_place", place).withColumn("_bucket", F.substring("_place", 1, BUCKET_DIGITS))
-
-    parts = ordered(known.join(small(plan), key)).groupBy(*key, "_part", "_bucket").agg(F.sum("_tokens").alias("_tokens"))
-    run = Window.partitionBy(*key).orderBy("_bucket")
-    parts = parts.withColumn("_until", F.sum("_tokens").over(run)).where(F.col("_until") >= F.col("_part")).where("_part > 0")
-    ends = parts.groupBy(*key).agg(F.min(F.struct("_bucket", (F.col("_until") - F.col("_tokens")).alias("_before"))).alias("_end"))
-    plan = small(materialize(plan.join(ends, key, "left").select(*key, "_full", "_part", F.col("_end._bucket").alias("_last"), F.col("_end._before").alias("_before")), "mix-ends"))
-
-    laid = ordered(rows.join(plan, key))
-    edge = F.coalesce(F.col("_bucket") == F.col("_last"), F.lit(False))
-    inner = laid.where(~edge).withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(False)))
-    outer = laid.where(edge).withColumn("_tokens", tokens).where("_tokens > 0")
-    spent = F.sum("_tokens").over(Window.partitionBy(*key).orderBy("_place", "_name", "_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    outer = outer.withColumn("_in", F.col("_before") + F.coalesce(spent, F.lit(0)) < F.col("_part")).drop("_tokens")
-    both = inner.where("_full > 0 or _in").where(tokens > 0).unionByName(outer)
-    whole = F.when(F.col("_full") > 0, F.sequence(F.lit(0), (F.col("_full") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    epochs = F.concat(whole, F.when(F.col("_in"), F.array(F.col("_full").cast("int"))).otherwise(F.array().cast("array<int>")))
-    keep = [c for c in rows.columns if not c.startswith("_") or c in docs.columns]
-    return both.select(*(F.col(c) for c in keep), F.col("_domain").alias("domain"), F.explode(epochs).alias("epoch"))
+        return df.withColumn(place, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(full).cast("string"), F.col(name))))
+
+    for depth in range(1, DEPTH + 1):
+        edge = ordered(known.join(small(plan), key)).where((F.col(part) > 0) & F.col(place).startswith(F.col(last)))
+        parts = edge.groupBy(*key, part, before, F.substring(place, 1, DIGITS * depth).alias("bucket")).agg(F.sum(held).alias("tokens"))
+        until = F.col(before) + F.sum("tokens").over(Window.partitionBy(*key).orderBy("bucket"))
+        parts = parts.withColumn("until", until).where(F.col("until") >= F.col(part))
+        ends = parts.groupBy(*key).agg(F.min(F.struct("bucket", (F.col("until") - F.col("tokens")).alias("before"))).alias("end"))
+        plan = materialize(plan.drop(last, before).join(ends, key, "left").select(*key, full, part, F.col("end.bucket").alias(last), F.col("end.before").alias(before)), "mix-ends", narrow=True)
+
+    laid = ordered(rows.join(small(plan), key))
+    at = F.substring(place, 1, DIGITS * DEPTH)
+    is_edge = F.coalesce(at == F.col(last), F.lit(False))
+    inner = laid.where(~is_edge & some).withColumn(inside, F.coalesce(at < F.col(last), F.lit(False)))
+    outer = laid.where(is_edge).withColumn(held, tokens).where(F.col(held) > 0)
+    order = Window.partitionBy(*key).orderBy(place, name, held, digest).rowsBetween(Window.unboundedPreceding, -1)
+    outer = outer.withColumn(spent, F.sum(held).over(order)).withColumn(inside, F.col(before) + F.coalesce(spent, F.lit(0)) < F.col(part)).drop(held, spent)
+    both = inner.where((F.col(full) > 0) | F.col(inside)).unionByName(outer)
+    whole = F.when(F.col(full) > 0, F.sequence(F.lit(0), (F.col(full) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    epochs = F.concat(whole, F.when(F.col(inside), F.array(F.col(full).cast("int"))).otherwise(F.array().cast("array<int>")))
+    return both.select(*kept, F.col(key[0]).alias("domain"), F.explode(epochs).alias("epoch"))
