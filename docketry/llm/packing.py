@@ -47,9 +47,11 @@ class Packer:
         self.count = 0
 
     def add(self, doc_id, start: int, ids: bytes, total: int) -> None:
-        while len(ids) >= 4 * self.size:
-            self.emit([(doc_id, start, ids[: 4 * self.size], total)], False)
-            start, ids = start + self.size, ids[4 * self.size :]
+        step = 4 * self.size
+        whole = len(ids) // step * step
+        for at in range(0, whole, step):
+            self.emit([(doc_id, start + at // 4, ids[at : at + step], total)], False)
+        start, ids = start + whole // 4, ids[whole:]
         while ids:
             n = len(ids) // 4
             at = bisect_right(self.order, (self.size - n, 1 << 62)) - 1
