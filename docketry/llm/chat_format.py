@@ -83,9 +83,9 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def turns_of(layout: Layout, field) -> Column:
-    """The canonical turns of one record; ``field(path)`` gives a column of it."""
+    """The canonical turns of one record; ``field(path)`` gives a column of it. A record that is one turn keeps its role as it stands; other layouts' roles are renamed by ROLES."""
     if layout.array == "":
-        return F.array(_turn(field(layout.role), field(layout.text)))
+        return F.array(F.struct(*(F.coalesce(field(x), F.lit("")).alias(n) for x, n in ((layout.role, "role"), (layout.text, "text")))))
     if layout.array:
         return F.transform(F.coalesce(field(layout.array), F.array()), lambda x: _turn(x[layout.role], x[layout.text]))
     turns = [_turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(field(p), F.lit("")) for p in paths))) for role, *paths in layout.parts]
