@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -12,15 +11,13 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, as_lists, labelled_sample, materialize, split_words, sums
+from docketry.llm.common import WordTable, as_lists, fresh, labelled_sample, materialize, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
-#: Most terms of the lexicon, the most telling ones.
-MAX_TERMS = 5_000
 STRONG, MILD = 3.5, 2.0
 STEMS = (4, 5, 6)
 #: Words that address a reader, in the languages of the texts. Fixed values.
@@ -51,38 +48,36 @@ def terms_of(word: str) -> list[str]:
     return [w, *(f"{w[:n]}~" for n in STEMS if len(w) > n)] if w else []
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(term, ones, zeros): how many texts of each label hold each term."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: dict[tuple[str, int], int] = {}
+            for text, label in zip(batch["text"], batch["label"]):
+                for t in {t for w in set(text.split()) for t in terms_of(w)}:
+                    counts[t, label] = counts.get((t, label), 0) + 1
+            yield pd.DataFrame({"term": [t for t, _ in counts], "label": [x for _, x in counts], "n": list(counts.values())})
+
+    rows = sample.select("text", "label").mapInPandas(run, "term string, label int, n long")
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+    return rows.groupBy("term").agg(of(1).alias("ones"), of(0).alias("zeros"))
+
+
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms and their log-odds of being in a text labelled 1 rather than in one labelled 0, by documents.
 
-    First the terms that enough texts labelled 1 hold, then how many texts
-    labelled 0 hold those. At most ``max_terms`` of them, the most telling, come
-    to the driver.
+    All terms count that 1 in 200 of the texts labelled 1 hold, and 3 at least, if
+    their odds are MILD or more. What reaches the driver is bounded by the sample:
+    each such term is in many of its texts.
     """
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
         return {}
-    least = max(3, round(0.005 * ones))
-
-    def explode(wanted: frozenset | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                counts: dict[str, int] = {}
-                for text in batch["text"]:
-                    found = {t for w in set(text.split()) for t in terms_of(w)}
-                    for t in found if wanted is None else found & wanted:
-                        counts[t] = counts.get(t, 0) + 1
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
-
-        return run
-
-    count = lambda label, wanted: sample.where(F.col("label") == label).select("text").mapInPandas(explode(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    # Of terms, those that most texts hold; a telling term is in many of the ones and in few of the zeros.
-    held = {r["term"]: r["n"] for r in count(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20 * max_terms).collect()}
-    against = {r["term"]: r["n"] for r in count(0, frozenset(held)).collect()}
-    odds = {t: math.log((n + 0.5) / (ones + 1)) - math.log((against.get(t, 0) + 0.5) / (zeros + 1)) for t, n in held.items()}
-    best = sorted((t for t, x in odds.items() if x >= MILD), key=lambda t: (-odds[t] * math.log1p(held[t]), t))
-    return {t: odds[t] for t in best[:max_terms]}
+    odds = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("zeros") + 0.5) / (zeros + 1))
+    rows = term_counts(sample).where(F.col("ones") >= max(3, round(0.005 * ones))).select("term", odds.alias("odds")).where(F.col("odds") >= MILD)
+    return {r["term"]: r["odds"] for r in rows.collect()}
 
 
 def toxicity_features(lexicon: dict[str, float]):
@@ -142,35 +137,42 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.prior = lexicon, trees, calibration, prior
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``score`` and ``predicted``. Each text is judged whole and alone; columns with these names are replaced."""
+        """``docs`` with ``score`` and ``predicted``. Each text is judged whole and alone; columns with these names are replaced, others stay."""
         if self.trees is None:
             out = docs.withColumn("score", F.lit(float(self.prior)))
-        else:
-            out = docs.withColumn("__features", array_to_vector(toxicity_features(self.lexicon)(F.col(text))))
-            out = self.trees.transform(out).withColumn("__margin", vector_to_array("__raw")[1])
-            out = self.calibration.transform(out)
-            # Isotonic steps give many texts equal scores; a thousandth of the margin's own order parts them.
-            out = out.withColumn("score", 0.999 * F.col("__calm") + 0.001 / (1 + F.exp(-2 * F.col("__margin"))))
-        out = out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        return out.drop("__features", "__margin", "__raw", "__p", "__pp", "__calm")
+            return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        features, raw, chance, guess, margin, calm = helpers = fresh(docs, "_features", "_raw", "_chance", "_guess", "_margin", "_calm")
+        out = docs.withColumn(features, array_to_vector(toxicity_features(self.lexicon)(F.col(text))))
+        trees = self.trees.copy().setFeaturesCol(features).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(guess)
+        out = trees.transform(out).withColumn(margin, vector_to_array(raw)[1])
+        out = self.calibration.copy().setFeaturesCol(margin).setPredictionCol(calm).transform(out)
+        # Isotonic steps give many texts equal scores; a thousandth of the margin's own order parts them.
+        out = out.withColumn("score", 0.999 * F.col(calm) + 0.001 / (1 + F.exp(-2 * F.col(margin))))
+        return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*helpers)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", seed: int = 7) -> ToxicityModel:
     """Learn from at most about ``max_train_rows`` labelled documents that are not held out.
 
-    A quarter of them, by a hash of the text, is kept from the trees and fits the
-    calibration. With no labels, or labels of one kind, the model gives every text
-    the labels' mean (0 without labels).
+    A hash of the text deals them out. A quarter is for the calibration alone: neither
+    the lexicon nor the trees see it. Of the rest, the trees see each half through a
+    lexicon learned from the other one, so that no row's features know its own label;
+    texts are scored with the lexicon of both. With no labels, or labels of one kind,
+    the model gives every text the labels' mean (0 without labels).
     """
     sample = labelled_sample(docs, labels, label, max_train_rows, doc_id, text)
     known = sample.agg(F.avg("label").alias("mean"), F.min("label").alias("least"), F.max("label").alias("most")).first()
     if known["mean"] is None or known["least"] == known["most"]:
         return ToxicityModel({}, None, None, known["mean"] or 0.0)
-    lexicon = learn_lexicon(sample)
-    rows = sample.select(array_to_vector(toxicity_features(lexicon)(F.col("text"))).alias("__features"), F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("later"))
-    rows = materialize(rows, "toxic-features")
-    trees = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__p", maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=seed)
-    trees = trees.setProbabilityCol("__pp").setRawPredictionCol("__raw").fit(rows.where("not later").coalesce(4))
-    later = trees.transform(rows.where("later")).select(vector_to_array("__raw")[1].alias("__margin"), "label")
-    calibration = IsotonicRegression(featuresCol="__margin", labelCol="label", predictionCol="__calm").fit(materialize(later, "toxic-margins").coalesce(4))
+    part = F.pmod(F.xxhash64("text"), F.lit(8))
+    halves = [sample.where(part < 3), sample.where((part >= 3) & (part < 6))]
+    lexicon = learn_lexicon(halves[0].union(halves[1]))
+    seen = lambda rows, words: rows.select(array_to_vector(toxicity_features(words)(F.col("text"))).alias("features"), F.col("label").cast("double").alias("label"))
+    crossed = seen(halves[0], learn_lexicon(halves[1])).union(seen(halves[1], learn_lexicon(halves[0])))
+    rows = materialize(crossed, "toxic-features")
+    if rows.select("label").distinct().count() < 2:
+        return ToxicityModel({}, None, None, known["mean"])
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=seed).fit(rows.coalesce(4))
+    later = trees.transform(seen(sample.where(part >= 6), lexicon)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
+    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(materialize(later, "toxic-margins").coalesce(4))
     return ToxicityModel(lexicon, trees, calibration, known["mean"])
