@@ -91,7 +91,9 @@ class Gauss(NamedTuple):
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """Of rows, up to a constant: half the squared Mahalanobis distance and the log-determinant, both negative."""
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        z = (x - self.mean).T
+        for i, row in enumerate(self.factor):  # forward substitution: the factor is triangular
+            z[i] = (z[i] - row[:i] @ z[:i]) / row[i]
         return -0.5 * np.sum(z * z, axis=0) - self.log_det
 
 
@@ -171,14 +173,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, label: str = "quality", doc_id: str = "doc_id", text: str = "text", pool: float = POOL, ridge: float = RIDGE) -> QualityModel:
     """Learn from at most about ``max_train_rows`` labelled documents that are not held out.
 
-    Spark adds up each class's moments; the two covariances, shrunk to the pooled
-    one and to a sphere, are factored once. A logistic curve over the log-density
-    differences of the same rows turns them into probabilities. With no labels, or
-    labels of one kind, every text gets the labels' smoothed mean.
+    A hash of the text keeps a quarter of them for the calibration. From the rest
+    Spark adds up each class's moments; the two covariances, shrunk to the pooled one
+    and to a sphere, are factored once. A logistic curve over the log-density
+    differences of the other rows turns them into probabilities. With no labels, or
+    labels of one kind, every text gets the labels' smoothed mean; rows too few to be
+    split serve both ends.
     """
     sample = labelled_sample(docs, labels, label, max_train_rows, doc_id, text)
-    rows = materialize(sample.select("label", statistics_udf()(F.col("text")).alias("x")), "quality-statistics")
-    raw = _moments(rows)
+    rows = materialize(sample.select("label", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("later"), statistics_udf()(F.col("text")).alias("x")), "quality-statistics")
+    first, later = rows.where("not later"), rows.where("later")
+    raw = _moments(first)
+    if len(raw) < 2 or min(m[0] for m in raw.values()) < 2:
+        first = later = rows
+        raw = _moments(rows)
     n = sum(m[0] for m in raw.values())
     d = len(STATISTICS)
     if len(raw) < 2 or min(m[0] for m in raw.values()) < 2:
@@ -190,11 +198,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TR
     model = QualityModel(center, scale, None, None, 0.0, 0.0)
     limits = [(float(center[i]), float(scale[i])) for i in range(d)]
     held = F.array(*(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col("x")[i] - c) / s)) for i, (c, s) in enumerate(limits)))
-    moments = _moments(rows.select("label", held.alias("x")))
+    moments = _moments(first.select("label", held.alias("x")))
     covariances = {k: _covariance(*m) for k, m in moments.items()}
     pooled = sum(m[0] * covariances[k] for k, m in moments.items()) / n
     gauss = {k: _gauss(m[1] / m[0], covariances[k], pooled, pool, ridge) for k, m in moments.items()}
     model = model._replace(good=gauss[1], bad=gauss[0])
-    known = rows.collect()  # at most about max_train_rows rows of numbers
+    known = later.collect()  # a part of at most about max_train_rows rows of numbers
+    if len({r["label"] for r in known}) < 2:
+        known = rows.collect()
     slope, offset = _logistic(model.difference(np.array([r["x"] for r in known])), np.array([r["label"] for r in known], dtype=float))
     return model._replace(slope=slope, offset=offset)
