@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import fresh
+
 TOKEN = re.compile(r"[a-z0-9]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,13 +66,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def rules_of(rows: DataFrame) -> list[Rule]:
+    """Rules from a table: (verdict, host, path) for a site, or (verdict, name, regex, tokens, either) for a pattern, whose ``host`` is null.
+
+    Columns that are missing are null. The rules, not the URLs, come to the driver.
+    """
+    out = []
+    for r in rows.distinct().collect():
+        get = r.asDict().get
+        if get("host") is not None:
+            out.append(site_rule(get("verdict"), get("host"), get("path") or ""))
+        else:
+            out.append(pattern_rule(get("verdict"), get("name") or get("regex"), get("regex"), tuple(get("tokens") or ()), tuple(get("either") or ())))
+    return sorted(out)
+
+
 def token_counts(urls: DataFrame, rules, host: str, path: str) -> dict[str, int]:
     """In how many of all URLs each token of the rules is found. As many rows as the rules have tokens reach the driver."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    found = F.array_intersect(F.split(F.translate(F.concat(host, F.lit("/"), path), UPPER, LOWER), "[^a-z0-9]+"), F.array(*map(F.lit, wanted)))
-    rows = urls.select(F.explode(found).alias("token")).groupBy("token").count().collect()
+    asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    tokens = F.array_distinct(F.split(F.translate(F.concat(host, F.lit("/"), path), UPPER, LOWER), "[^a-z0-9]+"))
+    rows = urls.select(F.explode(tokens).alias("token")).join(F.broadcast(asked), "token", "left_semi").groupBy("token").count().collect()
     return dict.fromkeys(wanted, 0) | {r["token"]: r["count"] for r in rows}
 
 
@@ -121,7 +139,8 @@ def filter_urls(pages: DataFrame, rules, patterns=PATTERNS, url: str = "url", ru
     ``rule`` is the longest site rule that fits, else null; the verdict is that
     rule's, else that of the first-ranked pattern, else allow. Null URLs and those
     without ``://`` have an empty host and path, which no rule fits: allowed. Equal
-    rows get equal results. Input columns with a result's name are replaced.
+    rows get equal results. Input columns with a result's name are replaced, all
+    others stay. A table of rules becomes ``rules`` and ``patterns`` by ``rules_of``.
     Nothing is shuffled but the counts of the rules' tokens over all URLs.
     """
     known = [*rules, *patterns]
@@ -129,11 +148,12 @@ def filter_urls(pages: DataFrame, rules, patterns=PATTERNS, url: str = "url", ru
     out = pages.drop(*(c for c in pages.columns if c.lower() in clash)).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     counts = token_counts(out, known, "host", "path")
     fields = ["rank0", "rank1", "rank2", "name", "verdict", "scoped"]
+    starts = range(0, max(1, len(known)), rules_per_pass)
+    best, *passes = helpers = fresh(out, "_best", *(f"_best{k}" for k in starts))
     found = []
-    for k in range(0, max(1, len(known)), rules_per_pass):
-        out = out.withColumn(f"__best{k}", match_rules(rule_index(known[k : k + rules_per_pass], counts))("host", "path"))
-        found.append(F.when(F.col(f"__best{k}.name").isNotNull(), F.struct(*(F.col(f"__best{k}.{f}").alias(f) for f in fields))))
-    best = F.greatest(*found) if len(found) > 1 else found[0]
-    out = out.withColumn("__best", best)
-    out = out.withColumn("rule", F.when(F.col("__best.scoped"), F.col("__best.name"))).withColumn("verdict", F.coalesce("__best.verdict", F.lit("allow")))
-    return out.drop("__best", *(c for c in out.columns if c.startswith("__best")))
+    for k, name in zip(starts, passes):
+        out = out.withColumn(name, match_rules(rule_index(known[k : k + rules_per_pass], counts))("host", "path"))
+        found.append(F.when(F.col(f"{name}.name").isNotNull(), F.struct(*(F.col(f"{name}.{f}").alias(f) for f in fields))))
+    out = out.withColumn(best, F.greatest(*found) if len(found) > 1 else found[0])
+    out = out.withColumn("rule", F.when(F.col(f"{best}.scoped"), F.col(f"{best}.name"))).withColumn("verdict", F.coalesce(f"{best}.verdict", F.lit("allow")))
+    return out.drop(*helpers)
