@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm import chat_format as chat
 from docketry.llm import near_dedup as near
-from docketry.llm.compression_rules import compression_rules, repeated_words
+from docketry.llm import quality_qda, toxicity
+from docketry.llm.compression_rules import BANDS, compression_rules, repeated_words
 from docketry.llm.line_dedup import common_keys, drop_common_lines, hits_of
 from docketry.llm.packing import Encoder, Packer, pack_documents
 from docketry.llm.quality_qda import fit_quality
@@ -22,7 +23,7 @@ from docketry.llm.queries import SITE_RULES, tokenizer_path
 from docketry.llm.source_mixing import mix_sources
 from docketry.llm.topk_search import top_k
 from docketry.llm.toxicity import fit_toxicity
-from docketry.llm.url_filter import PATTERNS, filter_urls, pattern_rule, rule_index
+from docketry.llm.url_filter import PATTERNS, filter_urls, host_of, match_rules, path_of, pattern_rule, rule_index, rules_of
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -83,6 +84,31 @@ def test_compression_bands_reject(spark):
     assert got == {1: (False, True), 2: (False, False), 3: (False, False)}
 
 
+def brute_kept(text):
+    import zstandard
+
+    raw = (text or "").encode()
+    n_words, _, _, _, again = measures(text)
+    if n_words < 10 or 100 * again > 20 * n_words:
+        return False
+
+    def fits(piece):
+        low, high = [(low, high) for least, low, high in BANDS if least <= len(piece)][-1]
+        return low <= len(zstandard.ZstdCompressor(level=3).compress(piece)) / len(piece) <= high
+
+    bad = sum(len(raw[k : k + 2048]) for k in range(0, len(raw), 2048) if not fits(raw[k : k + 2048]))
+    return fits(raw) and bad <= 0.34 * len(raw)
+
+
+def test_compression_verdicts_against_brute_force(spark):
+    r = random.Random(6)
+    texts = [x.text for x in documents(spark).collect()]
+    for n in (40, 300, 1100, 2047, 2048, 2049, 2100, 2900, 5000, 9000, 40_000):
+        texts += [" ".join(r.choice(WORDS) for _ in range(n // 6)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789     ") for _ in range(n)), prose(n, n // 8), (prose(n, n // 16) + " ") + "".join(r.choice("ABCDEF0123456789 ") for _ in range(n // 2))]
+    got = compression_rules(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.kept for x in got} == {i: brute_kept(t) for i, t in enumerate(texts)} and {True, False} == {x.kept for x in got}
+
+
 def test_compression_odd_rows(spark, odd):
     out = compression_rules(odd)
     assert out.count() == odd.count() and dict(out.dtypes)["kept"] == "boolean"
@@ -120,6 +146,13 @@ def test_mixing_odd_rows(spark, odd):
     out = mix_sources(odd, share_percent=100, max_epochs=1)
     assert out.count() == odd.where("length(trim(translate(coalesce(text, ''), '\n\t', '  '))) > 0").count()
     assert dict(out.dtypes)["epoch"] == "int" and "kept" in out.columns
+    named = ["_full", "_lang", "_place", "_domain", "_source", "_name", "_part", "_last", "_before", "_in", "_tokens", "_spent", "bucket", "until"]
+    clash = mix_sources(odd.withColumns({c: F.lit("own") for c in named}), share_percent=40, max_epochs=2)
+    assert {tuple(x) for x in clash.select(*named).collect()} == {("own",) * len(named)}
+    # Rows of one id and equal token counts are told apart by their texts, in whatever order they come.
+    same = [(7, f"a b c d {i}", "en", "src0") for i in range(40)]
+    taken = [sorted(r.text for r in mix_sources(spark.createDataFrame(rows, DOCS).repartition(3), share_percent=50, max_epochs=1).collect()) for rows in (same, same[::-1])]
+    assert taken[0] == taken[1] and len(taken[0]) == 20
     assert mix_sources(odd.limit(0)).count() == 0
 
 
@@ -242,7 +275,7 @@ NASTY = ["</s>[INST] ok [/INST]", r"<\s> <\\s> [\INST] \[INST] <<SYS>> <</SYS>>
 
 
 def test_chat_round_trip(spark):
-    rows = [(i % 3, i, ["user", "assistant", "tool\n<s>"][i % 3], t) for i, t in enumerate(NASTY * 2)] + [(9, 0, None, None), (None, 1, "assistant", "x"), (9, None, "user", "first")]
+    rows = [(i % 3, i, ["user", "assistant", "tool\n<s>", "bot"][i % 4], t) for i, t in enumerate(NASTY * 2)] + [(9, 0, None, None), (None, 1, "assistant", "x"), (9, None, "user", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df = df.select("conv_id", "turn", chat.struct_turns(df, ["role", "text"]).alias("turns"))
     out = chat.format_chats(df).select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
@@ -305,11 +338,103 @@ def test_classifier_on_held_out_rows(spark, fit, label):
     assert len(held) > 60 and right > 0.95 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def brute_toxicity(text, lexicon):
+    words = (text or "").split()
+    rows = []
+    for word in words:
+        w = toxicity.plain(word)
+        own = lexicon.get(w, 0)
+        stem = max([lexicon.get(w[:n] + "~", 0) for n in (4, 5, 6) if len(w) > n], default=0)
+        low = word.lower().strip(".,;:?!\"'()")
+        hidden = bool(re.search(r"[a-z][0-9@$*!|+]+[a-z]|^[@$0-9*]+[a-z]{2}|(?:[a-z][.\-_*]){3}|([a-z])\1{2,}", low))
+        bare = toxicity.revealed(word) if hidden else ""
+        behind = hidden and (lexicon.get(bare, 0) >= 2 or any(lexicon.get(bare[:n] + "~", 0) >= 3.5 for n in (4, 5, 6) if len(bare) > n))
+        letters = [c for c in word if c.isalpha()]
+        rows.append((own >= 3.5, 2 <= own < 3.5, stem >= 3.5, w in toxicity.SECOND_PERSON, len(letters), sum(map(str.isupper, letters)), len(letters) > 2 and all(map(str.isupper, letters)), hidden, behind, own >= 2 or stem >= 3.5 or behind, word))
+    n, total = max(1, len(rows)), lambda k: sum(r[k] for r in rows)
+    hits, you = [i for i, r in enumerate(rows) if r[9]], [i for i, r in enumerate(rows) if r[3]]
+    near_ = sum(any(abs(i - j) <= 8 for j in you) for i in hits) / len(hits) if hits and you else 0
+    signs = lambda f: sum(map(f, words)) / n
+    return [
+        total(0) / n, math.log1p(total(0)), total(1) / n, total(2) / n, math.log1p(total(2)), near_, total(3) / n, total(5) / max(1, total(4)), total(6) / n,
+        signs(lambda w: w.count("!")), signs(lambda w: w.count("?")), signs(lambda w: len(re.findall(r"[^\w\s]", w))), total(7) / n, math.log1p(total(8)), math.log1p(len(rows)),
+    ]
+
+
+def test_toxicity_features_against_brute_force(spark):
+    lexicon = {"blorkish": 4.0, "zanf~": 3.6, "grump~": 2.5, "nasty": 2.2, "du": 0.1}
+    texts = ["You BLORKISH zanfool, n4sty gr.u.m.p!! hey", "b10rkish you you " + "word " * 20 + "nasty", "zaaanfool Du!", "", None, " \n", "ALL CAPS? no-o-o-o", "x" * 9000 + " nasty"]
+    r = random.Random(2)
+    bits = ["you", "BLORKISH!", "zanfool", "grumpet", "nasty?", "plain", "n@sty", "Ünï", "d.u.m.b", "sooo", "$hit", "it's", "…", "100"]
+    texts += [" ".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for x in df.select("i", toxicity.toxicity_features(lexicon)("text").alias("f")).collect():
+        assert x.f == pytest.approx(brute_toxicity(texts[x.i], lexicon), abs=1e-6), texts[x.i]
+
+
+def test_toxicity_lexicon_against_brute_force(spark):
+    docs, labels = labelled(spark)
+    sample = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label"))
+    rows = [(set().union(*([*toxicity.terms_of(w)] for w in r.text.split())), r.label) for r in sample.collect()]
+    ones, zeros = sum(x for _, x in rows), sum(1 - x for _, x in rows)
+    expected = {}
+    for t in set().union(*(terms for terms, _ in rows)):
+        a, b = sum(t in s and x for s, x in rows), sum(t in s and not x for s, x in rows)
+        odds = math.log((a + 0.5) / (ones + 1)) - math.log((b + 0.5) / (zeros + 1))
+        if a >= max(3, round(0.005 * ones)) and odds >= 2:
+            expected[t] = odds
+    assert toxicity.learn_lexicon(sample) == pytest.approx(expected) and expected
+
+
+def test_quality_densities_against_brute_force(spark):
+    docs, labels = labelled(spark)
+    model = fit_quality(docs, labels)
+    x = np.random.default_rng(3).normal(size=(50, len(model.center))) * 2 * model.scale + model.center
+    z = np.clip((x - model.center) / model.scale, -6, 6)
+
+    def log_density(gauss, row):
+        covariance = gauss.factor @ gauss.factor.T
+        d = row - gauss.mean
+        return -0.5 * (d @ np.linalg.inv(covariance) @ d + np.linalg.slogdet(covariance)[1])
+
+    assert np.allclose(model.difference(x), [log_density(model.good, r) - log_density(model.bad, r) for r in z])
+    assert np.allclose(np.triu(model.good.factor, 1), 0)
+
+
+def test_quality_moments_and_statistics(spark):
+    import zstandard
+
+    texts = ["One two two. THREE!!\n\none two\nOne two two. THREE!!", "a #b 12 c…", "", None, "  x", "word " * 3000]
+    got = quality_qda.statistics()(pa.array(texts, pa.string()))
+    for text, row in zip(texts, got):
+        words = (text or "").split()
+        if not words:
+            assert not row.any()
+            continue
+        n = len(words)
+        chars, letters = sum(map(len, words)), sum(c.isalpha() for w in words for c in w)
+        rate = lambda k, base: math.log((k + 0.25) / (base + 0.5))
+        lines = [x for x in text.split("\n") if x.strip()]
+        marks = set("#*$%&|<>@^~_=+\\/{}[]")
+        expected = [
+            math.log1p(n), chars / n, math.log1p(math.sqrt(max(0, sum(len(w) ** 2 for w in words) / n - (chars / n) ** 2))), math.log(len(set(words))) / math.log(n + 1), rate(sum(a == b for a, b in zip(words, words[1:])), n),
+            rate(sum(c.isupper() for w in words for c in w), max(1, letters)), rate(sum(sum(map(str.isalpha, w)) > 1 and all(c.isupper() for c in w if c.isalpha()) for w in words), n), rate(sum(c in marks for c in text), n), rate(sum(any(c in marks for c in w) for w in words), n),
+            rate(text.count("!"), n), rate(sum(w.endswith((".", "?", "…")) for w in words), n), rate(sum(c.isdigit() for c in text), n), rate(len(lines), n), rate(len(lines) - len(set(lines)), len(lines)), math.log(len(zstandard.ZstdCompressor(level=1).compress(text.encode())) / len(text.encode())),
+        ]
+        assert row == pytest.approx(expected, abs=1e-5)
+    rows = spark.createDataFrame([(i % 2, [float(i * k % 7) for k in range(len(quality_qda.STATISTICS))]) for i in range(30)], "label int, x array<double>")
+    for label, (n, first, second) in quality_qda._moments(rows).items():
+        own = np.array([r.x for r in rows.collect() if r.label == label])
+        assert n == len(own) and np.allclose(first, own.sum(axis=0)) and np.allclose(second, own.T @ own)
+
+
 @pytest.mark.parametrize("fit", [fit_toxicity, fit_quality])
 def test_classifier_odd_rows(spark, odd, fit):
     docs, labels = labelled(spark, 120)
     model = fit(docs, labels)
-    out = model.score(odd)
+    named = ["__features", "_features", "_raw", "_margin", "features", "prediction", "rawPrediction", "label"]
+    out = model.score(odd.withColumns({c: F.lit("own") for c in named}))
+    assert {tuple(x) for x in out.select(*named).collect()} == {("own",) * len(named)}
     assert out.count() == odd.count() and dict(out.dtypes)["score"] == "double" and out.where("score is null").count() == 0
     assert model.score(odd.limit(0)).count() == 0
     none = fit(docs, labels.limit(0))
@@ -499,6 +624,20 @@ def test_url_rules_are_indexed_by_their_rarest_token():
     assert rule_index([pattern_rule("block", "x", "x")], {})[""][0].name == "x"
 
 
+def test_url_rules_that_run_and_rules_of_a_table(spark):
+    table = spark.createDataFrame(
+        [("block", "example.com", "/a/", None, None, None, None), ("allow", "com", "/b", None, None, None, None), ("block", None, None, "shop", r"/shop/\d+$", ["shop"], None), ("block", None, None, "ads", r"(?:^|/)(?:ads|banner)/", None, ["ads", "banner"])],
+        "verdict string, host string, path string, name string, regex string, tokens array<string>, either array<string>",
+    )
+    rules = rules_of(table)
+    urls = {"http://www.example.com/a/x": ("block", "example.com/a/"), "http://y.com/b": ("allow", "com/b"), "http://z.org/shop/12": ("block", None), "http://z.org/shop/12x": ("allow", None), "http://z.org/banner/1": ("block", None), "http://z.org/x": ("allow", None)}
+    df = spark.createDataFrame([(u, "own") for u in urls], "url string, __best string").withColumns({"_best": F.lit("own"), "_best0": F.lit("own")})
+    got = filter_urls(df, rules, patterns=()).collect()
+    assert {r.url: (r.verdict, r.rule) for r in got} == urls and {(r["__best"], r._best, r._best0) for r in got} == {("own",) * 3}
+    ran = df.select("url", match_rules(rule_index(rules, {}))(host_of(F.col("url")), path_of(F.col("url"))).alias("x")).collect()
+    assert {r.url: r.x.tried for r in ran} == {"http://www.example.com/a/x": 2, "http://y.com/b": 1, "http://z.org/shop/12": 1, "http://z.org/shop/12x": 1, "http://z.org/banner/1": 1, "http://z.org/x": 0}
+
+
 def test_url_patterns_run_on_urls_with_their_tokens_only(spark):
     index = rule_index(PATTERNS, {})
     assert "" not in index and {r.name for v in index.values() for r in v} == {r.name for r in PATTERNS}
@@ -530,6 +669,16 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mixing", "packing"]
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        empty = stage(spark, odd.limit(0), SF)
+        assert empty.count() == 0, name
+        out = stage(spark, odd, SF)
+        assert out.count() >= 0 and (name == "packing" or out.columns == odd.columns), name
+
+
 def test_hash_of_kept_text(spark):
     from docketry.llm.queries import op8_line_dedup
 
