@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -81,6 +84,23 @@ def worker_memory(name: str) -> dict:
     return kept.__dict__.setdefault(name, {})
 
 
+def tidy(run):
+    """A task's generator of batches that gives the memory it has freed back to the system at its end, as Python workers live on for other tasks."""
+
+    @functools.wraps(run)
+    def own(*args):
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return own
+
+
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, each word's place among them, each text's first word) of texts, by ASCII white space; null texts have none.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh
+from docketry.llm.common import fresh, tidy
 
 
 class Band(NamedTuple):
@@ -58,6 +58,7 @@ def compression_measures(chunk_bytes: int = CHUNK_BYTES, bands=BANDS, level: int
     """
 
     @F.pandas_udf(MEASURES)
+    @tidy
     def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard
 

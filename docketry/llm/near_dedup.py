@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import as_lists, discard, fresh, materialize, portions, small
+from docketry.llm.common import as_lists, discard, fresh, materialize, portions, small, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -145,6 +145,7 @@ SIGNED = "doc_id long, key_a long, key_b long, size long, bands array<long>"
 def sign(docs: DataFrame, bands: int, band_rows: int) -> DataFrame:
     """For each document: its id, 128 bits that equal bags of ordered words share, the number of shingles, band hashes (null without words)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -178,6 +179,7 @@ def odd_sketch(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def bags_of(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles, counts, odd): sorted distinct shingles as bytes of 8, how often each occurs as bytes of 4, and the odd sketch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
@@ -202,6 +204,7 @@ def overlap(a_shingles: bytes, a_counts: bytes, b_shingles: bytes, b_counts: byt
 def overlaps(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """(a, b, common, linked) of the pairs: how many shingles both have, and whether that is enough."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [overlap(*x) for part in portions(batch.column(2), 512, PORTION) for x in zip(*(batch.column(k)[part].to_pylist() for k in range(2, 6)))]
@@ -252,6 +255,7 @@ def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
 def own_shingles(bags: DataFrame) -> DataFrame:
     """(doc_id, own): how many of a document's shingles no other of these documents has."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in ((b, part) for b in batches for part in portions(b.column(1), 512, PORTION)):
             shingles, counts = ([np.frombuffer(x, kind) for x in batch.column(k)[part].to_pylist()] for k, kind in ((1, np.int64), (2, np.uint32)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, ranges, split_words, worker_memory
+from docketry.llm.common import materialize, ranges, split_words, tidy, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -143,9 +143,10 @@ class Encoder:
         self.ends[[i for x, i in vocabulary.items() if x.endswith(word_end)]] = True
         # Latin letters up to U+024F but U+0130, whose lower case has a combining dot.
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.]?").fullmatch
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the words that are remembered; the tokenizer stays."""
         self.known, self.used = {}, 0
         self.first, self.length, self.pool = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32))
 
@@ -183,7 +184,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's first id and the end)."""
         if len(self.known) > self.limit:
-            self._reset()
+            self.forget()
         words, at, bounds = split_words(texts)
         known = self.known
         if new := [w for w in words if w and w not in known]:
@@ -213,6 +214,7 @@ def pack_documents(
     an id) is filled where ``keep_ids``.
     """
 
+    @tidy
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -220,9 +222,9 @@ def pack_documents(
         rows = _Rows(part << 32, part, keep_ids)
         packer = Packer(rows.emit, window, open_windows, min_cut)
         end = end_id.to_bytes(4, "little")
+        memory = worker_memory("encoders")
+        encoder = memory.get(tokenizer_path) or memory.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
-            memory = worker_memory("encoders")
-            encoder = memory.get(tokenizer_path) or memory.setdefault(tokenizer_path, Encoder(tokenizer_path))
             names = batch.column(0).to_pylist()
             for k in range(0, len(names), TEXTS):
                 ids, bounds = encoder.encode(batch.column(1).slice(k, TEXTS))
@@ -230,6 +232,7 @@ def pack_documents(
                     packer.add(i, 0, ids[a:b].tobytes() + end, int(b - a) + 1)
             yield rows.take()
         packer.leave()
+        encoder.forget()
         yield rows.take()
 
     def merge(depth: int, last: bool):
