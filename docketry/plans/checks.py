@@ -281,19 +281,23 @@ def _party_sql(x: str) -> str:
 
 _MET = f"{JUDGED}, f AS (SELECT *, o_orderkey::INT AS idx FROM v WHERE way <> 6), e AS (SELECT *, o_orderkey::INT AS entry FROM j WHERE o_orderkey % 5 <> 0)"
 
-ORACLES = {
-    "evidence_rows": f"""{JUDGED}, e AS (
+#: Rows of JUDGED's citations: what each search was asked and found, and what is noted.
+EVIDENCE_SQL = f"""
         SELECT doc_id, o_orderkey, 0 AS place, 'case_name_search' AS strategy, '"' || case_name || '"' AS query, ({_NAMED})::INT AS result_count, {_NAMED} AS matched, CASE WHEN {_NAMED} THEN o_orderkey END AS top,
                CASE WHEN {_NAMED} THEN 'best name score 1.00' ELSE 'no results' END AS note FROM v WHERE case_name IS NOT NULL
         UNION ALL SELECT doc_id, o_orderkey, 1, 'reporter_citation_search', '"' || matched_text || '"', ({_SLOT})::INT, {_SLOT}, CASE WHEN way = 4 THEN partner WHEN {_SLOT} THEN o_orderkey END,
                CASE WHEN {_SLOT} THEN '1 record(s) list this citation' ELSE 'no record of either search lists this citation' END FROM v
         UNION ALL SELECT v.doc_id, v.o_orderkey, 2, 'reporter_citation_search_in_court', '"' || matched_text || '" court=' || cid, (p.o_orderkey IS NOT NULL)::INT, false, p.o_orderkey, 'not found in this court'
-          FROM (SELECT *, coalesce(court_id, CASE reporter WHEN 'U.S.' THEN 'scotus' END) AS cid FROM v) v LEFT JOIN oc p ON way = 4 AND p.o_orderkey = partner AND p.court_id = cid WHERE way IN (4, 5, 7) AND cid IS NOT NULL)
-      SELECT doc_id, o_orderkey::INT AS idx, (row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1)::INT AS "at", strategy, query, result_count, matched, top, note FROM e""",
-    "advisory_rows": f"""{JUDGED}, a AS (
+          FROM (SELECT *, coalesce(court_id, CASE reporter WHEN 'U.S.' THEN 'scotus' END) AS cid FROM v) v LEFT JOIN oc p ON way = 4 AND p.o_orderkey = partner AND p.court_id = cid WHERE way IN (4, 5, 7) AND cid IS NOT NULL"""
+ADVISORY_SQL = """
         SELECT doc_id, o_orderkey, 0 AS place, 'WL citations are indexed only in part; the case name is the main evidence' AS advisory FROM v WHERE reporter = 'WL'
         UNION ALL SELECT doc_id, o_orderkey, 1, 'no case name is given, so only the reporter citation was checked' FROM v WHERE case_name IS NULL
-        UNION ALL SELECT doc_id, o_orderkey, 2, 'court given ' || court || ', recorded ' || rtrim(own_court, '.') FROM v WHERE way = 5)
+        UNION ALL SELECT doc_id, o_orderkey, 2, 'court given ' || court || ', recorded ' || rtrim(own_court, '.') FROM v WHERE way = 5"""
+
+ORACLES = {
+    "evidence_rows": f"""{JUDGED}, e AS ({EVIDENCE_SQL})
+      SELECT doc_id, o_orderkey::INT AS idx, (row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1)::INT AS "at", strategy, query, result_count, matched, top, note FROM e""",
+    "advisory_rows": f"""{JUDGED}, a AS ({ADVISORY_SQL})
       SELECT doc_id, o_orderkey::INT AS idx, (row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1)::INT AS "at", advisory FROM a""",
     "expected_missed": f"{_MET} SELECT e.doc_id, entry, matched_text AS citation, 'real' AS expected FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = e.doc_id AND (f.cite_key = e.cite_key OR f.case_name = e.case_name))",
     "findings_unmatched": f"{_MET} SELECT doc_id, idx, verdict FROM f WHERE idx % 5 = 0",

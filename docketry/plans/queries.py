@@ -17,6 +17,7 @@ from docketry.operators.support import clean_reply, parse_reply
 from docketry.operators.verdicts import slot_note
 from docketry.plans import derived as D
 from docketry.plans.audit import audit
+from docketry.plans.checks import ADVISORY_SQL, EVIDENCE_SQL
 from docketry.plans.checks import ORACLES as CHECKED
 from docketry.plans.checks import QUERIES as CHECKS
 from docketry.plans.derived import table
@@ -240,7 +241,7 @@ def latest_replies(spark, sf_dir):
 
 
 def report_markdown(spark, sf_dir):
-    """Reports as Markdown (rows only; the texts are ours)."""
+    """Reports as Markdown."""
     done = audit(D.briefs(spark, sf_dir), stage(D.cases(spark, sf_dir), "cases"))
     out = R.to_markdown(done.reports, done.findings, D.briefs(spark, sf_dir).select("doc_id", "title"))
     return out.select("doc_id", F.length("markdown").alias("n"), F.md5("markdown").alias("markdown_md5"))
@@ -370,6 +371,35 @@ ORACLES = {
       SELECT doc_id, (row_number() OVER d - 1)::INT AS pos, (count(*) OVER (PARTITION BY doc_id))::INT AS sentences, (n + coalesce(lag(n) OVER d + 1, 0))::INT AS n FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY o_orderkey)""",
     "span_segments": f"""{JUDGED}, w AS (SELECT doc_id, length(coalesce(case_name || ', ', 'See ') || matched_text || ' (' || concat_ws(' ', court, year) || ').') AS n FROM j)
       SELECT doc_id, (sum(n) + count(*) - 1)::INT AS n, (2 * count(*) + 1)::INT AS segments, count(*)::INT AS highlighted FROM w GROUP BY doc_id""",
+    "report_markdown": f"""{JUDGED}, evidence AS ({EVIDENCE_SQL}), advisory AS ({ADVISORY_SQL}),
+      asked AS (SELECT o_orderkey, string_agg('`' || query || '`: ' || result_count || ' (' || note || ')', '; ' ORDER BY place) AS asked FROM evidence GROUP BY o_orderkey),
+      noted AS (SELECT o_orderkey, string_agg(advisory, '; ' ORDER BY place) AS noted FROM advisory GROUP BY o_orderkey),
+      t AS (
+        SELECT v.*, coalesce(v.case_name || ', ', '') || v.matched_text || ' (' || concat_ws(' ', v.court, v.year) || ')' AS verbatim, p.case_name AS partner_name, asked, noted,
+          own_name || '; ' || own_cite || '; ' || own_court || '; ' || o.date_filed || '; /opinion/' || o_orderkey || '/' AS record, array_to_string(list_sort(list_distinct([own_cite, v.matched_text])), ', ') AS both_cites,
+          CASE verdict WHEN 'verified' THEN 'Verified' WHEN 'fabricated' THEN 'Not found' WHEN 'miscited' THEN 'Miscited' ELSE 'Not checked' END AS shown,
+          CASE error_class WHEN 'none' THEN 'none' WHEN 'fabricated_cite' THEN 'the reporter citation does not exist' WHEN 'fabricated_case_name' THEN 'the case name does not exist' WHEN 'wrong_slot' THEN 'the reporter citation belongs to another case'
+            WHEN 'wrong_court' THEN 'court does not match the record' ELSE 'not checked' END AS reason, printf('%.2f', confidence) AS conf,
+          CASE verdict WHEN 'fabricated' THEN 0 WHEN 'miscited' THEN 1 WHEN 'unverifiable' THEN 2 ELSE 3 END AS grave
+        FROM v JOIN oc o USING (o_orderkey) LEFT JOIN oc p ON p.o_orderkey = partner AND way = 4 LEFT JOIN asked USING (o_orderkey) LEFT JOIN noted USING (o_orderkey)),
+      x AS (
+        SELECT *, coalesce(case_name, verbatim) AS title, CASE rule
+          WHEN 'D1' THEN matched_text || ' belongs to ' || own_name || '; without a case name only the citation was checked.' WHEN 'D3' THEN 'A record of this case lists ' || matched_text || '.'
+          WHEN 'D4' THEN 'This case exists, but ' || matched_text || ' belongs to ' || partner_name || '; the case is recorded under ' || both_cites || '.' WHEN 'D5' THEN 'This case exists in another court, and ' || matched_text || ' was not found in the court given.'
+          WHEN 'D6' THEN 'All records of this case are of other courts (' || own_court || '), not of ' || court || '; it is recorded under ' || own_cite || '.' WHEN 'D7' THEN 'This case exists; its records (1) list ' || own_cite || ' and neither confirm nor rule out ' || matched_text || '.'
+          WHEN 'D8' THEN 'No case is named ' || chr(39) || case_name || chr(39) || ', and ' || matched_text || ' belongs to ' || own_name || '.' ELSE 'No case is named ' || chr(39) || case_name || chr(39) || ', and none holds ' || matched_text || '.' END AS said FROM t),
+      l AS (
+        SELECT doc_id, grave, o_orderkey, verdict, '| ' || shown || ' | ' || title || ' | ' || matched_text || ' | ' || reason || ' | ' || conf || ' |' AS line,
+          concat_ws(chr(10), '### ' || title || ': ' || matched_text, '', '**' || shown || '** (' || reason || '), confidence ' || conf || '. ' || said, 'Written as `' || verbatim || '`.', CASE WHEN rule NOT IN ('D8', 'D10') THEN 'Record: ' || record END,
+            CASE rule WHEN 'D4' THEN 'The citation is that of ' || partner_name || '.' WHEN 'D8' THEN 'The citation is that of ' || own_name || '.' END, 'Perhaps meant: ' || suggestion || '.', 'Noted: ' || noted || '.', 'Asked: ' || asked || '.', '') AS paragraph FROM x),
+      g AS (
+        SELECT doc_id, count(*) AS n, count(*) FILTER (verdict = 'verified') AS v, count(*) FILTER (verdict = 'miscited') AS m, count(*) FILTER (verdict = 'fabricated') AS f, count(*) FILTER (verdict = 'unverifiable') AS u,
+          string_agg(line, chr(10) ORDER BY grave, o_orderkey) AS lines, string_agg(paragraph, chr(10) ORDER BY grave, o_orderkey) AS paragraphs FROM l GROUP BY doc_id),
+      w AS (
+        SELECT doc_id, concat_ws(chr(10), '# Brief ' || doc_id || ': citations checked', '', n || ' case citations: ' || v || ' verified, ' || m || ' miscited, ' || f || ' not found, ' || u || ' not checked.',
+          'Of ' || (v + m + f) || ' decided ones ' || round_even(100.0::DOUBLE * v / nullif(v + m + f, 0), 1) || ' % are right.', round_even(100.0::DOUBLE * (v + m + f) / n, 1) || ' % could be decided.', '', '## By gravity', '',
+          '| Verdict | Case | Citation | Reason | Confidence |', '|-|-|-|-|-|', lines, '', '## One by one', '', paragraphs, '## Limits', '', '- A citation that was not found need not be invented: the corpus does not hold every opinion.') || chr(10) AS markdown FROM g)
+      SELECT doc_id, length(markdown)::INT AS n, md5(markdown) AS markdown_md5 FROM w""",
     "model_reply_parse": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'not_supported' WHEN p_partkey % 3 = 1 THEN 'partial' ELSE 'unknown' END AS support,
       CASE WHEN p_partkey % 4 <> 3 THEN CASE p_size % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END END::DOUBLE AS confidence, CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS passage FROM part""",
 }

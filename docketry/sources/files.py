@@ -37,10 +37,16 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(F.decode(content, "ISO-8859-1")) & F.try_validate_utf8(content.cast("string")).isNotNull(), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(id, title, text) of text files."""
+def read_texts(spark: SparkSession, path: str, glob: str = "*.txt", strict: bool = False) -> DataFrame:
+    """(id, title, text) of text files. ``strict``: a file that is no UTF-8 ends the job, instead of being read as Latin-1."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.regexp_extract(F.regexp_replace("path", "^.*/", ""), r"^(.*?)(?:\.[^.]*)?$", 1).alias("id"), title_of(F.col("path")).alias("title"), decoded(F.col("content")).alias("text"))
+    text = F.validate_utf8(F.col("content").cast("string")) if strict else decoded(F.col("content"))
+    return files.select(F.regexp_extract(F.regexp_replace("path", "^.*/", ""), r"^(.*?)(?:\.[^.]*)?$", 1).alias("id"), title_of(F.col("path")).alias("title"), text.alias("text"))
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, text) of the text files of a folder, in order of their names."""
+    return read_texts(spark, path).orderBy("id")
 
 
 def docx_text(content: bytes, tables: bool) -> str | None:

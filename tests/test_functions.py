@@ -31,18 +31,18 @@ def test_white_space_is_pythons(spark):
 
 
 def test_keys(spark):
-    assert each(spark, ["905 F. Supp. 2d 121", "905 F.Supp.2d 121", "905 f supp 2d, 121", None, ""], X.reporter_key) == ["905fsupp2d121"] * 3 + ["", ""]
+    assert each(spark, ["733 F. Supp. 2d 64", "905 F.Supp.2d 121", "905 f supp 2d, 121", None, ""], X.reporter_key) == ["905fsupp2d121"] * 3 + ["", ""]
     lit = F.lit
-    assert one(spark, a=X.cite_key(lit("516"), lit("U.S."), lit("217")), b=X.cite_key(lit("516"), lit(None), lit("217")), c=X.cite_key(lit(""), lit("U.S."), lit("1")))[:] == ("516us217", None, None)
+    assert one(spark, a=X.cite_key(lit("431"), lit("U.S."), lit("118")), b=X.cite_key(lit("431"), lit(None), lit("118")), c=X.cite_key(lit(""), lit("U.S."), lit("1")))[:] == ("431us118", None, None)
 
 
 @pytest.mark.parametrize(
     ("cited", "candidate", "score"),
     [
-        ("Zicherman v. Korean Air Lines Co.", "Zicherman Ex Rel. Estate of Kole v. Korean Air Lines Co.", 1.0),
-        ("Martinez v. Delta Air Lines", "Lorme v. Delta Air Lines", 0.0),
-        ("Bell Atl. Corp. v. Twombly", "BELL ATLANTIC CORPORATION v. Twombly", 1.0),
-        ("Bell Atl v. Twombly", "Bell Atlantic v. Twombly", 0.5),
+        ("Marlowe v. Harbor Freight Lines Co.", "Marlowe Ex Rel. Estate of Finch v. Harbor Freight Lines Co.", 1.0),
+        ("Okafor v. Summit Ferry Lines", "Lind v. Summit Ferry Lines", 0.0),
+        ("Norr Atl. Corp. v. Quine", "NORR ATLANTIC CORPORATION v. Quine", 1.0),
+        ("Norr Atl v. Quine", "Norr Atlantic v. Quine", 0.5),
         ("In re Smith", "Smith v. Jones", 1.0),
         (None, "Smith v. Jones", 0.0),
         ("The Co. v. Estate", "The Co. v. Estate", 1.0),
@@ -55,7 +55,7 @@ def test_name_similarity(spark, cited, candidate, score):
 
 def test_party_names(spark):
     assert each(spark, ["Smith v. Jones", "Smith v Jones", "Smith V. Jones v. Doe", "Smith", None], N.sides) == [["Smith", "Jones"], ["Smith", "Jones"], ["Smith", "Jones v. Doe"], None, None]
-    names = ["Miller v. United Airlines, Inc.", "See also Smith", "court held", "El Al Israel", "A " * 21, "", "(In re) Smith & Co."]
+    names = ["Castellan v. Union Tramways, Inc.", "See also Smith", "court held", "El Rio Norte", "A " * 21, "", "(In re) Smith & Co."]
     assert each(spark, names, N.is_plausible_party) == [True, False, False, True, False, False, True]
 
 
@@ -72,7 +72,7 @@ def test_quotes(spark):
 def test_courts_years_markup(spark):
     assert each(spark, ["11th Cir.", "2d Cir.", "Supreme Court", "U.S.", "ca9", None, "S.D.N.Y."], X.court_token) == ["ca11", "2dcir", "scotus", "scotus", "ca9", "", "sdny"]
     assert each(spark, ["2d Cir."], lambda c: X.court_token(c, strict=True)) == ["ca2"]
-    assert each(spark, ["1996-01-16", "16/01/2003", "1850", None], X.year_in) == ["1996", "2003", None, None]
+    assert each(spark, ["1977-01-16", "16/01/2003", "1850", None], X.year_in) == ["1977", "2003", None, None]
     assert each(spark, ["Tex. App. Apr. 11,", "2d Cir.,", "Jan.", "D.C. Cir. May 3", ""], X.court_written) == ["Tex. App.", "2d Cir.", None, "D.C. Cir.", None]
     assert each(spark, ["<p>a  b</p>\r\n\r\n\r\n<p>c\td</p>"], X.without_markup) == ["a b\n\nc d"]
 
