@@ -57,13 +57,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).where(~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.avg(label).alias("_mean"))
-    known = materialize(known.select("_id", (F.col("_mean") >= 0.5).cast("int").alias("label")), "labels")
+    held = known = materialize(known.select("_id", (F.col("_mean") >= 0.5).cast("int").alias("label")), "labels")
     rows = known.count()
     if rows > max_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / rows))
     known = F.broadcast(known) if max_rows <= BROADCAST_ROWS else known
     body = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialize(body.join(known, "_id").select("text", "label"), "labelled")
+    out = materialize(body.join(known, "_id").select("text", "label"), "labelled")
+    discard(held)
+    return out
 
 
 def portions(column: pa.Array, rows: int, size: int) -> Iterator[slice]:

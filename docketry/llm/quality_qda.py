@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, as_lists, labelled_sample, materialize, split_words, sums
+from docketry.llm.common import WordTable, as_lists, discard, labelled_sample, materialize, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -206,5 +206,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TR
     known = later.collect()  # a part of at most about max_train_rows rows of numbers
     if len({r["label"] for r in known}) < 2:
         known = rows.collect()
+    discard(sample, rows)
     slope, offset = _logistic(model.difference(np.array([r["x"] for r in known])), np.array([r["label"] for r in known], dtype=float))
     return model._replace(slope=slope, offset=offset)

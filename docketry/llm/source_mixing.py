@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh, materialize, small
+from docketry.llm.common import discard, fresh, materialize, small
 
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of an epoch's order by which buckets are parted, and how often: 256 buckets of a leaf, of its last bucket, and of that one's last.
@@ -119,6 +119,8 @@ def mix_sources(
         ends = parts.groupBy(*key).agg(F.min(F.struct("bucket", (F.col("until") - F.col("tokens")).alias("before"))).alias("end"))
         plan = materialize(plan.drop(last, before).join(ends, key, "left").select(*key, full, part, F.col("end.bucket").alias(last), F.col("end.before").alias(before)), "mix-ends", narrow=True)
 
+    discard(known)
+
     laid = ordered(rows.join(small(plan), key))
     at = F.substring(place, 1, DIGITS * DEPTH)
     is_edge = F.coalesce(at == F.col(last), F.lit(False))

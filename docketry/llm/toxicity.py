@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, as_lists, fresh, labelled_sample, materialize, split_words, sums
+from docketry.llm.common import WordTable, as_lists, discard, fresh, labelled_sample, materialize, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -173,6 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_T
     if rows.select("label").distinct().count() < 2:
         return ToxicityModel({}, None, None, known["mean"])
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=seed).fit(rows.coalesce(4))
-    later = trees.transform(seen(sample.where(part >= 6), lexicon)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
-    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(materialize(later, "toxic-margins").coalesce(4))
+    later = materialize(trees.transform(seen(sample.where(part >= 6), lexicon)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"), "toxic-margins")
+    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(later.coalesce(4))
+    discard(sample, rows, later)
     return ToxicityModel(lexicon, trees, calibration, known["mean"])
