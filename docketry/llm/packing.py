@@ -143,10 +143,9 @@ class Encoder:
         self.ends[[i for x, i in vocabulary.items() if x.endswith(word_end)]] = True
         # Latin letters up to U+024F but U+0130, whose lower case has a combining dot.
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.]?").fullmatch
-        self.forget()
+        self._reset()
 
-    def forget(self) -> None:
-        """Drop the words that are remembered; the tokenizer stays."""
+    def _reset(self) -> None:
         self.known, self.used = {}, 0
         self.first, self.length, self.pool = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32))
 
@@ -184,7 +183,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's first id and the end)."""
         if len(self.known) > self.limit:
-            self.forget()
+            self._reset()
         words, at, bounds = split_words(texts)
         known = self.known
         if new := [w for w in words if w and w not in known]:
@@ -232,7 +231,6 @@ def pack_documents(
                     packer.add(i, 0, ids[a:b].tobytes() + end, int(b - a) + 1)
             yield rows.take()
         packer.leave()
-        encoder.forget()
         yield rows.take()
 
     def merge(depth: int, last: bool):
