@@ -116,6 +116,13 @@ def test_verdicts(spark, name):
     assert (f.verdict, f.error_class) == (verdict, error) and check(f)
 
 
+def test_strict_takes_circuits_for_circuits_only(spark):
+    """The id of a district of California begins like a circuit's."""
+    docs = spark.createDataFrame([("d", f"{E}, 412 F. Supp. 2d 905 (N.D. Cal. 2006).")], "doc_id string, text string")
+    stored = spark.createDataFrame([(f'"{E}"', None, 0, False, case(1, E, ["318 F.3d 277"], "2d Cir."))], f"query string, court string, rank int, failing boolean, record {RAW_RECORD}")
+    assert [audit(docs, replies=stored, strict=s).findings.first().rule for s in (False, True)] == ["D5", "D6"]
+
+
 def test_reports(spark):
     docs = spark.createDataFrame([("a", CASES["agrees"][0] + " " + TEXTS["kinds"]), ("b", "No citation."), ("c", CASES["nowhere"][0])], "doc_id string, text string")
     cases = spark.createDataFrame([(1, Z, ["431 U.S. 118"], "Supreme Court", "scotus", "1977-01-16", None, None)], "cluster_id long, case_name string, citations array<string>, court string, court_id string, date_filed string, absolute_url string, snippet string")
