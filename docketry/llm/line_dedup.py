@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import BROADCAST_ROWS, fresh, materialize, small
+from docketry.llm.common import BROADCAST_ROWS, discard, fresh, materialize
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,24 +21,6 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
 
 
-def repeated_ids(docs: DataFrame, doc_id: str) -> DataFrame:
-    """(_id): ids that more than one row has."""
-    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n"))
-    return materialize(ids.where("_n > 1").select("_id"), "repeated-ids")
-
-
-def common_keys(keys: DataFrame, again: DataFrame, min_docs: int) -> DataFrame:
-    """(_a, _b, _docs) of the keys that ``min_docs`` distinct documents have. ``keys``: (_id, _own, _a, _b), each key once a row.
-
-    Rows are summed before they are shuffled. Only those of ids that are repeated
-    (``again``) are made distinct first, so that a line in every document is a row a task.
-    """
-    if again.limit(1).count():
-        twice = keys.join(small(again), "_id").select("_id", "_own", "_a", "_b").distinct()
-        keys = keys.join(small(again), "_id", "left_anti").select("_id", "_own", "_a", "_b").unionByName(twice)
-    return keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
-
-
 def hits_of(keys: DataFrame, common: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``keys`` that are common. Beyond ``limit`` common keys, those found most often are still broadcast: at most ``limit`` keys can have one of ``limit`` parts of all rows."""
     key = ["_a", "_b"]
@@ -49,6 +31,33 @@ def hits_of(keys: DataFrame, common: DataFrame, limit: int = BROADCAST_ROWS) ->
     return held(F.broadcast(common.where(often).select(key))).union(held(common.where(~often).select(key)))
 
 
+def line_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_id, _text, _row, _at, _a, _b): each line with a key, at its place from 0.
+
+    ``_text`` is a hash of the whole text, so that rows of one id are told apart;
+    ``_row`` counts as part of the id where that is null.
+    """
+    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(0).alias("_row"), F.col(text).alias("_whole"))
+    lines = rows.select("_id", "_text", "_row", F.posexplode(F.split("_whole", "\n", -1)).alias("_at", "_line"))
+    keyed = lines.select("_id", "_text", "_row", "_at", line_key(F.col("_line")).alias("_key")).where("_key <> ''")
+    return keyed.select("_id", "_text", "_row", "_at", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b"))
+
+
+def common_lines(keys: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of ``keys`` (staged) whose key ``min_docs`` distinct documents have.
+
+    Most keys are found in fewer rows than that and go at once. Rows of the others
+    are made distinct by document, so a line in every document is spread by
+    document, and summed before they meet by key.
+    """
+    often = materialize(keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs), "often-found")
+    some = materialize(hits_of(keys, often), "often-found-lines")
+    common = some.groupBy("_a", "_b", "_id", "_row").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("*").alias("_docs"))
+    common = materialize(common.where(F.col("_docs") >= min_docs), "common-lines")
+    discard(often)
+    return hits_of(some, common)
+
+
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines found in ``min_docs`` distinct documents or more, plus ``n_lines`` and ``n_dropped``.
 
@@ -58,22 +67,22 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     input column named ``n_lines`` or ``n_dropped`` is replaced. An empty table
     stays empty.
 
-    Each line is hashed once, and the hashes are kept. Only they are shuffled for
-    counting, summed before. The texts themselves move only in the last join, and
-    stay where they are when the documents with common lines are few. There, rows
-    without an id go by a hash of their text, so they don't meet in one task.
+    Each line is hashed once, and the hashes are kept with the line's place. The
+    places of common lines come back to their document, which is put together from
+    its other places in order: time and memory grow with a document's lines. The
+    texts themselves move only in that last join, and stay where they are when the
+    documents with common lines are few.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    own_hash = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0))
-    keys = docs.select(F.col(doc_id).alias("_id"), own_hash.alias("_own"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_key")).where("_key <> ''")
-    keys = materialize(keys.select("_id", "_own", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b")), "line-keys")
-    common = materialize(common_keys(keys, repeated_ids(docs, doc_id), min_docs), "common-lines")
+    keys = materialize(line_keys(docs, doc_id, text), "line-keys")
     own = docs.drop("n_lines", "n_dropped")
-    key, text_hash, drop, all_, left = fresh(docs, "_id", "_own", "_drop", "_lines", "_kept")
-    hits = hits_of(keys, common).groupBy(F.col("_id").alias(key), F.col("_own").alias(text_hash)).agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias(drop))
-    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]) & (F.when(own[doc_id].isNull(), F.xxhash64(own[text])).otherwise(F.lit(0)) == hits[text_hash]), "left").withColumn(all_, lines)
-    hashed = F.arrays_zip(F.col(all_).alias("line"), F.transform(F.transform(all_, line_key), key_hash).alias("hash"))
-    unlike = F.transform(F.filter(hashed, lambda x: ~F.array_contains(F.col(drop), x["hash"])), lambda x: x["line"])
-    out = joined.withColumn(left, F.when(F.col(drop).isNull(), F.col(all_)).otherwise(unlike))
-    columns = [F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in own.columns]
-    return out.select(*columns, F.size(all_).cast("long").alias("n_lines"), (F.size(all_) - F.size(left)).cast("long").alias("n_dropped"))
+    key, text_hash, drop, all_, left = fresh(docs, "_id", "_text", "_drop", "_lines", "_kept")
+    places = F.collect_set("_at").alias(drop)
+    hits = materialize(common_lines(keys, min_docs).groupBy(F.col("_id").alias(key), F.col("_text").alias(text_hash)).agg(places), "places")
+    discard(keys)
+    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]) & (F.xxhash64(own[text]) == hits[text_hash]), "left").withColumn(all_, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    # Sets of numbers are hashed, so this takes a step a line; a search in an array would take a step a line and common line.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(drop))
+    out = joined.withColumn(left, F.when(F.col(drop).isNotNull(), stay))
+    whole = F.when(F.col(left).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda at: F.get(F.col(all_), at)), "\n"))
+    columns = [whole.alias(c) if c == text else F.col(c) for c in own.columns]
+    return out.select(*columns, F.size(all_).cast("long").alias("n_lines"), F.when(F.col(drop).isNull(), 0).otherwise(F.size(all_) - F.size(left)).cast("long").alias("n_dropped"))

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from docketry.llm import chat_format as chat
 from docketry.llm import near_dedup as near
 from docketry.llm import quality_qda, toxicity
 from docketry.llm.compression_rules import BANDS, compression_rules, repeated_words
-from docketry.llm.line_dedup import common_keys, drop_common_lines, hits_of
+from docketry.llm.line_dedup import drop_common_lines, hits_of
 from docketry.llm.packing import Encoder, Packer, pack_documents
 from docketry.llm.quality_qda import fit_quality
 from docketry.llm.queries import SITE_RULES, tokenizer_path
@@ -583,11 +584,22 @@ def test_line_dedup_counts_distinct_documents(spark):
 
 
 def test_line_dedup_broadcasts_the_most_common_lines_only(spark):
-    keys = spark.createDataFrame([(i, 0, a, a) for i in range(40) for a in range(30) if i % (a + 1) == 0], "_id long, _own long, _a long, _b long")
-    common = common_keys(keys, keys.select("_id").limit(0), 3)
+    keys = spark.createDataFrame([(i, 0, a, a) for i in range(40) for a in range(30) if i % (a + 1) == 0], "_id long, _row long, _a long, _b long")
+    common = keys.groupBy("_a", "_b").agg(F.count("*").alias("_docs")).where("_docs >= 3")
     assert sorted(map(tuple, hits_of(keys, common, 4).collect())) == sorted(map(tuple, hits_of(keys, common).collect())) == sorted(map(tuple, keys.where("_a < 19").collect()))
 
 
+def test_line_dedup_is_linear_in_the_lines_of_a_document(spark):
+    """Documents of 100,000 common lines each, and one of a single line of 20 MB."""
+    lines = "\n".join(f"shared line {k}" for k in range(100_000))
+    rows = [(i, f"own {i}\n{lines}\nlast {i}") for i in range(12)] + [(99, "word " * 4_000_000)]
+    began = time.time()
+    out = drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: (x.n, x.n_lines, x.n_dropped) for x in out.select("doc_id", F.length("text").alias("n"), "n_lines", "n_dropped").collect()}
+    assert got == {i: (len(f"own {i}\nlast {i}"), 100_002, 100_000) for i in range(12)} | {99: (20_000_000, 1, 0)}
+    assert time.time() - began < 60
+
+
 # -- 10: URLs --------------------------------------------------------------------------------------------------------
 
 
