@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.llm import chat_format as chat
 from docketry.llm.common import held_out, table
 from docketry.llm.compression_rules import compression_rules
+from docketry.llm.conversation_repair import damaged, repair_conversations
 from docketry.llm.line_dedup import drop_common_lines
 from docketry.llm.near_dedup import near_classes
 from docketry.llm.packing import pack_documents
@@ -101,6 +102,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids = rows.select(F.col("conv_id").alias("_conv")).distinct()
+    out = ids.join(repair_conversations(damaged(rows)), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, pipeline)
+    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, op11_conversation_repair, pipeline)
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
