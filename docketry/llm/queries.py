@@ -17,6 +17,7 @@ from docketry.llm.source_mixing import mix_sources
 from docketry.llm.topk_search import top_k
 from docketry.llm.toxicity import fit_toxicity
 from docketry.llm.url_filter import PATTERNS, filter_urls, site_rule
+from docketry.llm.vector_codes import books_sha256, compress_vectors
 
 SITE_RULES = (
     site_rule("block", "com", "/en/"),
@@ -110,6 +111,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, op11_conversation_repair, pipeline)
+    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, op11_conversation_repair, op12_vector_codes, pipeline)
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -142,6 +148,23 @@ def _split_sql(parent: str, name: str, weight: str, above: str, on: str) -> str:
     b_{name} AS (SELECT {here}, tokens, CASE WHEN supply * ws <= lft * weight THEN supply ELSE least(supply, (rl * weight) // rw) END AS budget FROM f_{name})"""
 
 
+def _assign_sql(n: int) -> str:
+    """The SQL of one assignment of parts to the entries of round ``n``."""
+    return f"""a{n} AS (
+      SELECT row, part, any_value(x) AS x, min({{'d': d, 'e': entry}}).e AS entry, min({{'d': d, 'e': entry}}).d AS d
+      FROM (SELECT row, part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{n} USING (part))
+      GROUP BY row, part)"""
+
+
+def _update_sql(n: int) -> str:
+    """The SQL of the entries of round ``n``: floors of means, or the entries before where nothing is assigned."""
+    return f"""m{n} AS (
+      SELECT part, entry, list(floor_mean ORDER BY k) AS c FROM (
+        SELECT part, entry, k, (sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+        FROM a{n - 1}, range(1, len(x) + 1) t(k) GROUP BY part, entry, k) GROUP BY part, entry),
+    b{n} AS (SELECT part, entry, list_transform(coalesce(m.c, b.c), lambda c: c::BIGINT) AS c FROM b{n - 1} b LEFT JOIN m{n} m USING (part, entry))"""
+
+
 ORACLES = {
     "op2_source_mixing": f"""
     WITH d AS (
@@ -166,6 +189,16 @@ ORACLES = {
       FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op12_vector_codes": f"""
+    WITH v AS (
+      SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    p AS (SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM v, range(16) t(part)),
+    b0 AS (SELECT part, row - 1 AS entry, x AS c FROM p WHERE row <= 64),
+    {_assign_sql(0)}, {_update_sql(1)}, {_assign_sql(1)}, {_update_sql(2)}, {_assign_sql(2)},
+    books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS sha FROM b2),
+    coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY row)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded JOIN v USING (row), books""",
     "op5_chat_format": """
     WITH r AS (
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
