@@ -183,7 +183,8 @@ def with_faults(rows: DataFrame) -> DataFrame:
     """
     said = (F.xxhash64("role", "text").alias("_a"), F.xxhash64(F.lit(11), "role", "text").alias("_b"))
     seen = Window.partitionBy("conv_id", "_a", "_b").orderBy(F.asc_nulls_first("turn"))
-    rows = rows.select("conv_id", "turn", "role", "text", *said).withColumn("_seen", F.row_number().over(seen) > 1)
+    # Dealt by conversation once, for both windows: the first one's keys include the second's.
+    rows = rows.select("conv_id", "turn", "role", "text", *said).repartition("conv_id").withColumn("_seen", F.row_number().over(seen) > 1)
     last = F.substring(F.regexp_replace("text", f"{SPACE}+$", ""), -1, 1)
     fault = F.when(~F.col("text").rlike(TOLD), FAULTS[0]).when(F.col("_seen"), FAULTS[1]).when(~last.isin(".", "!", "?"), FAULTS[2])
     initial = F.substring("role", 1, 1)
@@ -268,7 +269,10 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """(conv_id, audit, repaired_sha256): the edits' letters, and the hash of the turns that are left, as ``role:text`` by lines. Texts stream through the hash."""
+    """(conv_id, audit, repaired_sha256): the edits' letters, and the hash of the turns that are left, as ``role:text`` by lines.
+
+    ``turns`` is what ``repair`` returns, so a conversation's rows are in one task already; texts stream through the hash.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +294,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
     out = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, audit string, repaired_sha256 string"
     schema = arrow_schema(turns.sparkSession, out)
-    return in_order(turns.select("conv_id", "n", "at", "edit", "role", "text"), "n", "at").mapInArrow(run, out)
+    return turns.select("conv_id", "n", "at", "edit", "role", "text").sortWithinPartitions("conv_id", "n", "at").mapInArrow(run, out)
 
 
 def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -300,9 +304,8 @@ def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     one conversation; rows without a turn come first; rows of one turn go by role
     and text. Other columns are left behind. An empty table gives no rows.
 
-    Rows that share a role and a text are found where they meet by conversation and
-    hash. Each conversation's symbols, then its edits, pass through one task in
-    order, as its hash needs; texts stream there, and only runs and edits are kept.
+    Each conversation's symbols, then its edits, pass through one task in
+    order, as its hash needs; texts stream or spill there, and only runs and edits are kept.
     """
     own = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), or_space(role).alias("role"), or_space(text).alias("text"))
     read = materialize(with_faults(own), "turns")
