@@ -9,6 +9,7 @@ from docketry.llm import chat_format as chat
 from docketry.llm.common import held_out, table
 from docketry.llm.compression_rules import compression_rules
 from docketry.llm.conversation_repair import damaged, repair_conversations
+from docketry.llm.html_extraction import extract_main_text
 from docketry.llm.line_dedup import drop_common_lines
 from docketry.llm.near_dedup import near_classes
 from docketry.llm.packing import pack_documents
@@ -116,6 +117,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, op11_conversation_repair, op12_vector_codes, pipeline)
+    for f in (op1_compression_rules, op2_source_mixing, op3_packing, op4_topk_search, op5_chat_format, op6_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_qda, op10_url_filter, op11_conversation_repair, op12_vector_codes, op13_html_extraction, pipeline)
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
