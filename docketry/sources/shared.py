@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``with scratch() as keep``: tables staged inside are deleted at its end, but for those given to ``keep``.
+
+    So what is returned from inside has to read kept tables alone. A kept table
+    belongs to the scratch around this one, if there is one.
+    """
+    own: dict[str, DataFrame] = {}
+    kept: dict[str, DataFrame] = {}
+    around = getattr(_open, "tables", None)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept[df._staged_at] = own.pop(df._staged_at, df)
+        return df
+
+    _open.tables = own
+    try:
+        yield keep
+    finally:
+        _open.tables = around
+        if around is not None:
+            around.update(kept)
+        discard(*own.values())
+
+
 def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """``df`` written as Parquet and read again: computed once for all that follows, and safe from the loss of executors.
 
@@ -29,11 +60,15 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     (df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if getattr(_open, "tables", None) is not None:
+        _open.tables[path] = out
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stage`` returned, once nothing that is still to be computed reads them."""
     for df in tables:
+        if getattr(_open, "tables", None) is not None:
+            _open.tables.pop(df._staged_at, None)
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
