@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import as_lists, discard, fresh, materialize, portions, small, tidy
+from docketry.llm.common import BROADCAST_ROWS, as_lists, discard, fresh, materialize, portions, small, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -330,6 +330,21 @@ def settled(open_: DataFrame, classes: DataFrame, tried: DataFrame, bags: DataFr
         count *= MORE
 
 
+def first_copies(signed: DataFrame, texts: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, copy_of) of each document, whose smallest equal one ``texts`` has by digest.
+
+    Texts without words are copies of nothing and meet no one. A digest of a
+    ``limit``-th of all rows or more is broadcast, so that no task gets all its rows.
+    """
+    key = ["key_a", "key_b"]
+    some = signed.where("size > 0").select("doc_id", *key)
+    often = F.col("rows") * limit > some.count()
+    hot = F.broadcast(texts.where(often).select(*key, "copy_of"))
+    rest = some.join(hot.select(*key), key, "left_anti").join(texts.where(~often).select(*key, "copy_of"), key)
+    alone = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("copy_of"))
+    return some.join(hot, key).select("doc_id", "copy_of").unionByName(rest.select("doc_id", "copy_of")).unionByName(alone)
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, copy_of, class_id): one row per row of ``docs`` with an id.
 
@@ -357,7 +372,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     found = one_text_an_id(rows)
     signed = materialize(sign(found, bands, band_rows), "signed")
-    texts = signed.where("size > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("copy_of"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    texts = signed.where("size > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("copy_of"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     texts = materialize(texts, "texts")
     placed = texts.select(F.col("copy_of").alias("doc_id"), "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).where("_min < _max").select("bucket")
@@ -386,7 +401,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     theirs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
     open_ = materialize(met.join(theirs, "doc_id").join(bags.select("doc_id", "odd"), "doc_id"), "open")
     reached = settled(open_, reached, tried.select("a", "b"), bags, similarity).withColumnRenamed("doc_id", "copy_of")
-    copies = signed.join(texts.select("key_a", "key_b", "copy_of"), ["key_a", "key_b"], "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    copies = first_copies(signed, texts)
     out = copies.join(reached, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
     if found is not rows:
         out = rows.select("doc_id").join(out, "doc_id")

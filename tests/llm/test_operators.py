@@ -508,6 +508,15 @@ def test_near_classes_of_copies_among_excerpts(spark, monkeypatch, asked, slice_
     assert {r.doc_id: r.class_id for r in got} == expected
 
 
+def test_near_classes_with_a_hot_digest(spark):
+    signed = spark.createDataFrame([(i, i % 4 if i > 20 else 0, 7, 0 if i % 5 == 0 else 3) for i in range(60)], "doc_id long, key_a long, key_b long, size long")
+    texts = signed.where("size > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("rows"))
+    least = {(r.key_a, r.key_b): r.copy_of for r in texts.collect()}
+    expected = sorted((r.doc_id, least[r.key_a, r.key_b] if r["size"] else r.doc_id) for r in signed.collect())
+    for limit in (1, 3, 200_000):
+        assert sorted(map(tuple, near.first_copies(signed, texts, limit).collect())) == expected
+
+
 def test_near_classes_on_documents(spark):
     docs = documents(spark)
     got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
