@@ -16,6 +16,7 @@ from docketry.llm.near_dedup import drop_near_duplicates
 from docketry.llm.packing import pack_documents
 from docketry.llm.queries import WEIGHTS, tokenizer_path
 from docketry.llm.source_mixing import mix_sources
+from docketry.sources.shared import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
