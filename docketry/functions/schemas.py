@@ -11,6 +11,7 @@ CITATION = (
     "spans array<struct<s:int,e:int>>, occurrence_count int, context string, extraction_notes array<string>"
 )
 EVIDENCE = f"struct<strategy:string,query:string,result_count:int,matched:boolean,top:{RECORD},note:string>"
+OVERALL = f"struct<found:int,sim:double,rec:{RECORD},citations:array<string>,courts:array<string>>"
 RESULTS = f"doc_id string, idx int, strategy string, rank int, rec {RECORD}, sim double, lists boolean, found int"
 STATUS = "doc_id string, idx int, strategy string, error string"
 EXPECTED = "array<struct<citation_verbatim:string,case_name:string,volume:string,reporter:string,page:string,court:string,year:string,verdict:string,error_class:string,slot_occupied_by:string,source_url:string,notes:string>>"

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed
 from docketry.functions.names import name_parts, parts_similarity
+from docketry.functions.schemas import OVERALL
 from docketry.functions.text import blank_to_null, court_token, lists_key, reporter_key, year_in
 from docketry.operators.records import case_citations, record_of
+from docketry.operators.verdicts import NAMED
 from docketry.sources.shared import stage
 
 KEY = ["doc_id", "idx"]
@@ -100,8 +102,29 @@ def _page(rows: DataFrame, order: list, page: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= page)
 
 
+def name_totals(named: DataFrame, page: int, most: int = NAMED) -> DataFrame:
+    """(case_name, overall) of names with more than ``page`` records: over all of them the number, the best score and its record, and their first citations and courts in order of text.
+
+    Names with fewer records have them all on their page. Citations and courts are
+    made distinct before they are ranked, so a name's many cases never meet as one array.
+    """
+    counts = named.groupBy("case_name").agg(F.count("*").cast("int").alias("found")).where(F.col("found") > page)
+    some = named.join(counts, "case_name")
+    first = F.struct(-F.col("sim"), blank_to_null("rec.court").isNull(), F.col("rec.cluster_id"))
+    out = some.groupBy("case_name").agg(F.max("found").alias("found"), F.max("sim").alias("sim"), F.min_by("rec", first).alias("rec"))
+    for name, values in (("citations", some.select("case_name", F.explode("rec.citations").alias("x"))), ("courts", some.select("case_name", blank_to_null("rec.court").alias("x")))):
+        place = F.row_number().over(Window.partitionBy("case_name").orderBy("x"))
+        least = values.where("x is not null").distinct().withColumn("_n", place).where(F.col("_n") <= most + 1)
+        out = out.join(least.groupBy("case_name").agg(F.array_sort(F.collect_list("x")).alias(name)), "case_name", "left")
+    none = F.array().cast("array<string>")
+    return out.select("case_name", F.struct("found", "sim", "rec", F.coalesce("citations", none).alias("citations"), F.coalesce("courts", none).alias("courts")).alias("overall"))
+
+
 def named_records(asked: DataFrame, named: DataFrame, page: int) -> DataFrame:
-    """(doc_id, idx, strategy, rank, rec, sim, lists, found): the first ``page`` records of each cited name.
+    """(doc_id, idx, strategy, rank, rec, sim, lists, found, overall): the first ``page`` records of each cited name.
+
+    ``overall`` (``name_totals``) says what all records of the name are, where they
+    are more than a page; it comes with the first record.
 
     Records that list the citation come first, then those of the court and the year
     that the document writes, then those that tell a court, each by name score and
@@ -127,7 +150,9 @@ def named_records(asked: DataFrame, named: DataFrame, page: int) -> DataFrame:
     rows = rows.join(wanted, KEY).join(counts, "case_name")
     fits = F.when(F.coalesce(F.col("court") == court_token("rec.court"), F.lit(False)), 2).otherwise(0) + F.when(F.coalesce(F.col("year") == year_in("rec.date_filed"), F.lit(False)), 1).otherwise(0)
     rows = rows.select(*KEY, F.lit("name").alias("strategy"), "rec", "sim", lists_key("rec.citations", "cite_key").alias("lists"), "found", fits.alias("_fits"))
-    return _page(rows, [F.desc("lists"), F.desc("_fits"), *best], page).select(*KEY, "strategy", "rank", "rec", "sim", "lists", "found")
+    ranked = _page(rows, [F.desc("lists"), F.desc("_fits"), *best], page)
+    totals = wanted.join(name_totals(named, page), "case_name").select(*KEY, F.lit(1).alias("rank"), "overall")
+    return ranked.join(totals, [*KEY, "rank"], "left").select(*KEY, "strategy", "rank", "rec", "sim", "lists", "found", "overall")
 
 
 def corpus_search(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH, page: int = PAGE) -> tuple[DataFrame, None]:
@@ -146,7 +171,7 @@ def corpus_search(citations: DataFrame, cases: DataFrame, threshold: float = fix
     slots = stage(slots, "slots")
     by_cite = slots.withColumn("strategy", F.lit("cite")).unionByName(slots.where("_here").withColumn("strategy", F.lit("court")))
     by_cite = _page(by_cite.withColumn("found", F.count("*").over(Window.partitionBy(*KEY, "strategy")).cast("int")), [F.desc("sim"), F.col("rec.cluster_id")], page)
-    return by_name.unionByName(by_cite.select(*by_name.columns)), None
+    return by_name.unionByName(by_cite.withColumn("overall", F.lit(None).cast(OVERALL)).select(*by_name.columns)), None
 
 
 def replay_search(citations: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,22 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed
-from docketry.functions.schemas import EVIDENCE, RECORD
+from docketry.functions.schemas import EVIDENCE, OVERALL, RECORD
 from docketry.functions.text import blank_to_null, court_token, year_in
 from docketry.sources.shared import stage
 
 KEY = ["doc_id", "idx"]
 STRATEGIES = ("name", "cite", "court")
+#: Citations and courts of a case that an explanation names.
+NAMED = 20
 
 
 def attach_results(citations: DataFrame, results: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """``citations`` with ``name_results``, ``cite_results``, ``court_results`` (struct of rec, sim, lists by rank), ``name_found`` (how many there are) and ``name_error`` etc.
+    """``citations`` with ``name_results``, ``cite_results``, ``court_results`` (struct of rec, sim, lists by rank), ``name_found`` (how many there are), ``name_error`` etc., and ``overall``, what all records of the name are where they are more than a page.
 
     A citation without results has empty arrays; equal ranks go by cluster id.
     """
     own = lambda s, x: F.when(F.col("strategy") == s, x)
     scored = F.struct("rank", F.col("rec.cluster_id").alias("id"), F.struct("rec", "sim", "lists").alias("r"))
+    results = results if "overall" in results.columns else results.withColumn("overall", F.lit(None).cast(OVERALL))
     rows = results.groupBy(*KEY).agg(
+        F.first("overall", ignorenulls=True).alias("overall"),
         *(F.sort_array(F.collect_list(own(s, scored))).alias(f"_{s}") for s in STRATEGIES), *(F.max(own(s, F.col("found"))).alias(f"{s}_found") for s in STRATEGIES)
     )
     out = citations.join(rows, KEY, "left")
@@ -156,16 +160,22 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
     """``decide``'s rows with ``explanation``, ``advisories`` and ``evidence``, without the helper columns."""
     quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
     text, name = F.coalesce("matched_text", F.lit("")), F.coalesce("case_name", F.lit(""))
-    recorded = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat("_litigation", "_owners"), lambda r: r["rec"]["citations"]))))
-    known = F.coalesce(blank_to_null(F.array_join(recorded, ", ")), F.lit("no citation"))
+    # Beyond a page, the records of a name are known by what ``overall`` gathers of all of them.
+    all_, none = F.col("overall"), F.array().cast("array<string>")
+    cites = lambda records: F.flatten(F.transform(records, lambda r: r["rec"]["citations"]))
+    listed = lambda values: F.array_sort(F.array_distinct(F.concat(*(F.coalesce(v, none) for v in values))))
+    first = lambda values: F.concat(F.array_join(F.slice(values, 1, NAMED), ", "), F.when(F.size(values) > NAMED, " and more").otherwise(""))
+    known = F.coalesce(blank_to_null(first(listed([all_["citations"], cites(F.concat("_litigation", "_owners"))]))), F.lit("no citation"))
+    courts = first(listed([all_["courts"], F.col("_courts")]))
+    records = F.coalesce(all_["found"], F.size("_litigation")) + F.size(F.filter("_owners", lambda r: r["sim"] < fixed.NAME_MATCH))
     says = {
         "D1": F.concat(text, F.lit(" belongs to "), F.col("resolved.case_name"), F.lit("; without a case name only the citation was checked.")),
         "D2": F.concat(F.lit("No search could be run: "), F.coalesce("name_error", "cite_error")),
         "D3": F.concat(F.lit("A record of this case lists "), text, F.lit(".")),
         "D4": F.concat(F.lit("This case exists, but "), text, F.lit(" belongs to "), F.col("slot_owner.case_name"), F.lit("; the case is recorded under "), known, F.lit(".")),
         "D5": F.concat(F.lit("This case exists in another court, and "), text, F.lit(" was not found in the court given.")),
-        "D6": F.concat(F.lit("All records of this case are of other courts ("), F.array_join("_courts", ", "), F.lit("), not of "), F.col("court"), F.lit("; it is recorded under "), known, F.lit(".")),
-        "D7": F.concat(F.lit("This case exists; its records ("), F.size(F.concat("_litigation", "_owners")).cast("string"), F.lit(") list "), known, F.lit(" and neither confirm nor rule out "), text, F.lit(".")),
+        "D6": F.concat(F.lit("All records of this case are of other courts ("), courts, F.lit("), not of "), F.col("court"), F.lit("; it is recorded under "), known, F.lit(".")),
+        "D7": F.concat(F.lit("This case exists; its records ("), records.cast("string"), F.lit(") list "), known, F.lit(" and neither confirm nor rule out "), text, F.lit(".")),
         "D8": F.concat(F.lit("No case is named "), quoted(name), F.lit(", and "), text, F.lit(" belongs to "), F.col("slot_owner.case_name"), F.lit(".")),
         "D9": F.lit("There is neither a case name nor a reporter citation to check."),
         "D10": F.concat(F.when(blank_to_null("case_name").isNotNull(), F.concat(F.lit("No case is named "), quoted(name))).otherwise(F.lit("No record was found")), F.lit(", and none holds "), text, F.lit(".")),
@@ -189,7 +199,9 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
     ]
     advisories = F.concat(F.coalesce("extraction_notes", F.array().cast("array<string>")), F.array_compact(F.array(*notes)))
 
-    best = _first_of_most(F.filter("_name", lambda r: r["sim"] > 0), lambda r: r["sim"])
+    on_page = _first_of_most(F.filter("_name", lambda r: r["sim"] > 0), lambda r: r["sim"])
+    better = all_["sim"] > F.coalesce(on_page["sim"], F.lit(0.0))
+    best = F.when(better, F.struct(all_["rec"].alias("rec"), all_["sim"].alias("sim"), F.lit(False).alias("lists"))).otherwise(on_page)
     count = lambda s: F.col(f"{s}_found")
     phrase = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     row = lambda strategy, query, n, matched, top, note: F.struct(F.lit(strategy), query, n, matched, top, note).cast(EVIDENCE)
@@ -210,7 +222,7 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
             F.coalesce(_plain(F.col("_court_hit")), _plain(_first(F.col("_in_court")))), F.when(F.col("_court_hit").isNotNull(), F.lit("found in this court")).otherwise(F.lit("not found in this court"))),
     )
     out = rows.withColumns({"explanation": explanation, "advisories": advisories, "evidence": F.array_compact(F.array(by_name, by_cite, in_court))})
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+    return out.drop("overall", *(c for c in out.columns if c.startswith("_")))
 
 
 def findings(citations: DataFrame, results: DataFrame, status: DataFrame | None = None, strict: bool = False) -> DataFrame:

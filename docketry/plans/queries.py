@@ -20,6 +20,8 @@ from docketry.plans.audit import audit
 from docketry.plans.checks import ADVISORY_SQL, EVIDENCE_SQL
 from docketry.plans.checks import ORACLES as CHECKED
 from docketry.plans.checks import QUERIES as CHECKS
+from docketry.plans.corpora import ORACLES as OF_CORPORA
+from docketry.plans.corpora import QUERIES as CORPORA
 from docketry.plans.derived import table
 from docketry.plans.stated import JUDGED, stated_citations, verdict_rows
 from docketry.sources.files import admitted
@@ -276,7 +278,7 @@ QUERIES = {
         quote_variant, passage_top3, best_passages, strip_html, sentence_context, severity_order, span_segments, request_cache_stats, latest_replies, report_markdown, report_exit_codes, model_reply_parse, label_metrics,
     )
 }
-QUERIES |= CHECKS
+QUERIES |= CHECKS | CORPORA
 
 _PREDICTED = "CASE verdict WHEN 'verified' THEN 'real' ELSE verdict END"
 _WAYS = "CASE WHEN way IN (0, 1, 6, 7) THEN 'real' WHEN way IN (2, 3) THEN 'fabricated' ELSE 'miscited' END"
@@ -403,4 +405,4 @@ ORACLES = {
     "model_reply_parse": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'not_supported' WHEN p_partkey % 3 = 1 THEN 'partial' ELSE 'unknown' END AS support,
       CASE WHEN p_partkey % 4 <> 3 THEN CASE p_size % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END END::DOUBLE AS confidence, CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS passage FROM part""",
 }
-ORACLES |= CHECKED
+ORACLES |= CHECKED | OF_CORPORA

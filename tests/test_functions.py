@@ -1,5 +1,7 @@
 import json
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,29 @@ def test_spans_and_order(spark):
     assert each(spark, ["verified", "fabricated", "miscited", "unverifiable"], R.severity) == [3, 0, 1, 2]
 
 
+def greedy(n, spans):
+    """Segments by a loop over the spans in order."""
+    at, out = 0, []
+    clamp = lambda x: min(max(x, 0), n)
+    for s, e, i in sorted(((clamp(s), clamp(e), i) for s, e, i in spans), key=lambda x: (x[0], -x[1], x[2])):
+        if e > s >= at:
+            out += ([(at, s, None)] if s > at else []) + [(s, e, i)]
+            at = e
+    return out + ([(at, n, None)] if at < n else [])
+
+
+def test_many_spans_of_one_document(spark):
+    r = random.Random(4)
+    n = 1_000_000
+    cases = [[(s, s + r.randrange(40), k) for k in range(50_000) for s in [r.randrange(-5, n)]], [(3, 9, 1), (3, 12, 2), (12, 12, 3)], []]
+    cases += [[(s, s + 1, s) for s in range(m)] for m in (255, 256, 257, 512, 513)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, spans array<struct<s:int,e:int,id:int>>")
+    began = time.time()
+    got = {x.k: [tuple(p) for p in x.seg] for x in rows.select("k", R.span_segments(F.repeat(F.lit("x"), n), F.col("spans")).alias("seg")).collect()}
+    assert got == {k: greedy(n, x) for k, x in enumerate(cases)}
+    assert time.time() - began < 60
+
+
 def test_sources(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x"), (2, " \n"), (3, None), (4, " " + "y" * 30 + " ")], "id int, text string")
     good, bad = admitted(docs, longest=20)
