@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docketry.functions import fixed
 from docketry.functions.schemas import FIXTURE
 from docketry.functions.text import request_key
+from docketry.sources.store import BUCKETS, merge, of_key, stored
 
 _TRIM = f"^{fixed.SPACE}+|{fixed.SPACE}+$"
 
@@ -85,19 +86,26 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("id", F.coalesce("id", "_file")).drop("_file")
 
 
-def write_json_reports(reports: DataFrame, path: str) -> None:
-    """One folder per document; a later run of a document replaces its own."""
-    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(path)
+def write_json_reports(reports: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Reports (doc_id, json) into the store at ``path``; a later one of a document replaces its own and no other's."""
+    merge(reports.select("doc_id", "json"), path, "doc_id", buckets=buckets)
 
 
 def read_json_reports(spark: SparkSession, path: str, schema: str, doc_id: str | None = None) -> DataFrame:
-    """Stored reports; of one document by its folder alone."""
-    out = spark.read.schema(f"{schema}, doc_id string").json(path)
-    return out if doc_id is None else out.where(F.col("doc_id") == doc_id)
+    """Stored reports; of one document from its bucket alone."""
+    rows = stored(spark, path)
+    rows = rows if doc_id is None else of_key(rows, "doc_id", doc_id)
+    return rows.select(F.from_json("json", schema).alias("_r"), "doc_id").select("_r.*", "doc_id")
 
 
-def write_markdown(markdown: DataFrame, path: str) -> None:
-    markdown.write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_markdown(markdown: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Reports (doc_id, markdown) into the store at ``path``; other documents' stay."""
+    merge(markdown.select("doc_id", "markdown"), path, "doc_id", buckets=buckets)
+
+
+def read_markdown(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
+    rows = stored(spark, path)
+    return (rows if doc_id is None else of_key(rows, "doc_id", doc_id)).select("doc_id", "markdown")
 
 
 def sync_examples(fixtures: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -106,10 +114,20 @@ def sync_examples(fixtures: DataFrame, existing: DataFrame | None = None) -> tup
     return made, None if existing is None else existing.select("name").join(made, "name", "left_anti")
 
 
-def cache_replies(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of (method, url, body) requests in a table of replies (key, status, body, created_at). Replies that are no JSON count as missing."""
+def cache_replies(requests: DataFrame, stored: DataFrame, max_age: float | None = None, now: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of (method, url, body) requests in a table of replies (key, status, body, created_at).
+
+    Replies that are no JSON count as missing, and with ``max_age`` those older
+    than so many seconds at ``now``.
+    """
     asked = requests.withColumn("key", request_key("method", "url", "body"))
-    known = stored.where(F.try_parse_json("body").isNotNull()).select("key", "status", F.col("body").alias("reply"), "created_at")
+    known = stored.where(F.try_parse_json("body").isNotNull())
+    if max_age is not None:
+        known = known.where(F.lit(now) - F.col("created_at") <= max_age)
+    known = known.select("key", "status", F.col("body").alias("reply"), "created_at")
     return asked.join(known, "key"), asked.join(known, "key", "left_anti")
 
 
+def merge_replies(replies: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replies (key, status, body, created_at) into the cache at ``path``: the newest of a key stays."""
+    merge(replies.select("key", "status", "body", "created_at"), path, "key", at="created_at", buckets=buckets)

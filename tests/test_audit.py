@@ -16,7 +16,7 @@ from docketry.operators.reports import to_json, to_markdown
 from docketry.plans import queries
 from docketry.plans.audit import audit
 from docketry.plans.fixtures import read_results, run_fixtures, write_results
-from docketry.sources.files import catalogue, read_fixtures, read_json_reports, read_texts, sync_examples, write_json_reports, write_markdown
+from docketry.sources.files import catalogue, read_fixtures, read_json_reports, read_markdown, read_texts, sync_examples, write_json_reports, write_markdown
 
 TEXTS = {
     "years": "In Marlowe v. Harbor Freight Lines Co., 431 U.S. 118, 129 (1977), the Court settled it. See also Delgado v. Pampas Rail Co., 871 F.3d 1502, 1511 (11th Cir. 2017) (\"a carrier answers for delay\").",
@@ -196,8 +196,11 @@ def test_stored_reports_and_files(spark, tmp_path):
     schema = "verified long, total long, findings array<struct<verdict:string>>"
     assert {(r.doc_id, r.verified, r.total) for r in read_json_reports(spark, path, schema).collect()} == {("a", 1, 1), ("b", 0, 0)}
     assert [r.findings[0].verdict for r in read_json_reports(spark, path, schema, "a").collect()] == ["verified"]
-    write_markdown(to_markdown(done.reports, done.findings), str(tmp_path / "md"))
-    assert "It cites no case." in "\n".join(r.value for r in spark.read.text(str(tmp_path / "md")).where("doc_id = 'b'").collect())
+    made = to_markdown(done.reports, done.findings)
+    for one in ("a", "b"):
+        write_markdown(made.where(F.col("doc_id") == one), str(tmp_path / "md"))
+    assert {r.doc_id: r.markdown for r in read_markdown(spark, str(tmp_path / "md")).collect()} == {r.doc_id: r.markdown for r in made.collect()}
+    assert "It cites no case." in read_markdown(spark, str(tmp_path / "md"), "b").first().markdown
     fixtures = spark.createDataFrame([("one", "T", "u", None, "body", None)], FIXTURE)
     made, stale = sync_examples(fixtures, spark.createDataFrame([("one",), ("old",)], "name string"))
     assert [tuple(r) for r in made.collect()] == [("one", "T\nSource: u\n\nbody")] and [r.name for r in stale.collect()] == ["old"]
