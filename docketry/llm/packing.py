@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, ranges, split_words, tidy, worker_memory
+from docketry.llm.common import materialize, portions, ranges, split_words, tidy, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -23,8 +23,8 @@ MIN_CUT = 32
 #: How many partitions' leftover windows one merging task takes.
 FAN_IN = 16
 END_ID = 1
-#: Texts that are encoded at once.
-TEXTS = 1024
+#: Texts that are encoded at once, and their bytes, unless one alone has more.
+TEXTS, STEP = 1024, 2 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, is_open boolean, part long"
 _SCHEMA = pa.schema(
@@ -132,7 +132,7 @@ class Encoder:
     word_bpe_49k. Beyond ``limit`` words the memory of words starts over.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, word_end: str = "</w>"):
+    def __init__(self, path: str, limit: int = 150_000, word_end: str = "</w>"):
         # Spark runs a task for each core; threads of the library would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -225,9 +225,9 @@ def pack_documents(
         encoder = memory.get(tokenizer_path) or memory.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for k in range(0, len(names), TEXTS):
-                ids, bounds = encoder.encode(batch.column(1).slice(k, TEXTS))
-                for i, a, b in zip(names[k : k + TEXTS], bounds, bounds[1:]):
+            for some in portions(batch.column(1), TEXTS, STEP):
+                ids, bounds = encoder.encode(batch.column(1)[some])
+                for i, a, b in zip(names[some], bounds, bounds[1:]):
                     packer.add(i, 0, ids[a:b].tobytes() + end, int(b - a) + 1)
             yield rows.take()
         packer.leave()
