@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, as_lists, discard, labelled_sample, materialize, split_words, sums
+from docketry.llm.common import WordTable, as_lists, discard, labelled_sample, materialize, portions, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -58,7 +58,7 @@ def statistics(limit: int = 300_000):
         return np.where(n[:, None] > 0, np.stack(columns, axis=1), 0.0)
 
     def run(texts: pa.Array) -> np.ndarray:
-        return np.concatenate([np.zeros((0, len(STATISTICS))), *(some(texts.slice(k, 512)) for k in range(0, len(texts), 512))])
+        return np.concatenate([np.zeros((0, len(STATISTICS))), *(some(texts[part]) for part in portions(texts, 512, 4 << 20))])
 
     return run
 

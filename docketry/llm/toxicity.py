@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, as_lists, discard, fresh, labelled_sample, materialize, split_words, sums
+from docketry.llm.common import WordTable, as_lists, discard, fresh, labelled_sample, materialize, portions, split_words, sums
 
 #: Most labelled rows that are fitted.
 MAX_TRAIN_ROWS = 20_000
@@ -112,8 +112,8 @@ def toxicity_features(lexicon: dict[str, float]):
 
         for batch in batches:
             out = [np.zeros((0, len(FEATURES)))]
-            for k in range(0, len(batch), 512):
-                words, at, bounds = split_words(batch.slice(k, 512))
+            for some in portions(batch, 512, 4 << 20):
+                words, at, bounds = split_words(batch[some])
                 rows = table.of(words)[at]
                 s, n = sums(rows, bounds), np.maximum(np.diff(bounds), 1)
                 close = np.zeros(len(n))

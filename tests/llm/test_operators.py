@@ -213,6 +213,17 @@ def test_packing_odd_rows(spark, odd):
     assert pack_documents(odd.limit(0), tokenizer_path()).count() == 0
 
 
+def test_texts_of_20_megabytes(spark):
+    """Steps are bounded by bytes: texts that would be one step of 60 MB are three, and come out as if each stood alone."""
+    long_ = [" ".join(f"word{k % 977}x{i}" for k in range(1_800_000)) for i in range(3)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(long_)] + [(9, "one word")], "doc_id long, text string").coalesce(1)
+    pieces = pack_documents(df, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"), F.max(F.col("start") + F.col("length")).alias("end")).collect()
+    assert len(pieces) == 4 and all(r.n == r.of == r.end for r in pieces)
+    rows = pa.array([x[:5_000_000] for x in long_] + ["one word"] * 3)
+    measure = quality_qda.statistics()
+    assert np.array_equal(measure(rows), np.concatenate([measure(rows[k : k + 1]) for k in range(len(rows))]))
+
+
 def test_packer_is_best_fit_and_bounded():
     out = []
     p = Packer(lambda pieces, is_open: out.append((sum(len(x[2]) // 4 for x in pieces), is_open)), 10, 2, 3)
