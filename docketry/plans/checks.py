@@ -143,7 +143,7 @@ def record_projection(spark, sf_dir):
 def quote_checks(spark, sf_dir):
     """Quotations made from the words of documents, held against them."""
     words = F.split(X.comparable_quote("text"), " ")
-    docs = stage(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", words.alias("w")).where("size(w) >= 20"), "quoted")
+    docs = stage(table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w")), "quoted")
     kind = F.col("doc_id") % 6
     first = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     quote = F.when(kind.isin(0, 5), first(3, 10)).when(kind == 1, F.concat(first(1, 6), F.lit(" zq1 zq2 zq3 zq4 of another hand"))).when(kind == 2, F.concat(F.lit("No opinion holds these words about number "), F.col("doc_id").cast("string"))).when(kind == 3, F.lit("too short"))
@@ -167,9 +167,9 @@ def snippet_passages(spark, sf_dir):
 
 
 def snippet_queries(spark, sf_dir):
-    """The search for a case's own snippet."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
-    return docs.select("doc_id", F.md5(Q.snippet_query(F.lit("A v. B"), F.col("line"))).alias("query_md5"))
+    """The search for a case's own snippet, by all words of a text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(Q.snippet_query(F.lit("A v. B"), F.col("text"))).alias("query_md5"))
 
 
 def opinion_full_texts(spark, sf_dir):
@@ -234,9 +234,9 @@ def abbreviated_names(spark, sf_dir):
 
 
 def party_names(spark, sf_dir):
-    """Whether the first line of a text reads as a name."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"), "lang")
-    return docs.select("doc_id", N.is_plausible_party("line").alias("line_fits"), N.is_plausible_party(F.concat(F.initcap("lang"), F.lit(" Co. of the (Ünion), "), F.col("doc_id").cast("string"), F.lit(" & Sons"))).alias("made_fits"))
+    """Whether the lines of a text read as names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), "lang")
+    return docs.select("doc_id", "at", N.is_plausible_party("line").alias("line_fits"), N.is_plausible_party(F.concat(F.initcap("lang"), F.lit(" Co. of the (Ünion), "), F.col("doc_id").cast("string"), F.lit(" & Sons"))).alias("made_fits"))
 
 
 def fetched_cases(spark, sf_dir):
@@ -246,8 +246,8 @@ def fetched_cases(spark, sf_dir):
 
 
 def table_cells(spark, sf_dir):
-    """F16: text for cells of a table."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" |\n"), F.substring("html", 1, 300)).alias("x"))
+    """text for cells of a table."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" |\n"), "html").alias("x"))
     return p.select("page_id", F.md5(X.table_cell("x")).alias("cell_md5"))
 
 
@@ -310,15 +310,15 @@ ORACLES = {
     "cached_replies": "SELECT event_id, event_id % 4 = 0 AS hit FROM events",
     "retry_waits": "SELECT p_partkey, [0.5, 12.5, 36.0, 36.0][p_size % 4 + 1]::DOUBLE AS seconds FROM part",
     "record_projection": """SELECT p_partkey, p_partkey AS cluster_id, p_name AS case_name, p_partkey || ' F.3d 1' || CASE WHEN p_partkey % 2 = 1 THEN ';2 U.S. 2' ELSE '' END AS citations, 'ca9' AS court, 'https://site/o/1/' AS url, 'a b' AS snippet FROM part""",
-    "quote_checks": f"""WITH d AS (SELECT doc_id, {_COMPARABLE.format('text')} AS t, string_split({_COMPARABLE.format('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+    "quote_checks": f"""WITH d AS (SELECT doc_id, {_COMPARABLE.format('text')} AS t, string_split({_COMPARABLE.format('text')}, ' ') AS w FROM documents),
       q AS (SELECT *, CASE WHEN doc_id % 6 IN (0, 5) THEN array_to_string(list_slice(w, 3, 12), ' ') WHEN doc_id % 6 = 1 THEN array_to_string(list_slice(w, 1, 6), ' ') || ' zq1 zq2 zq3 zq4 of another hand'
-          WHEN doc_id % 6 = 2 THEN 'no opinion holds these words about number ' || doc_id WHEN doc_id % 6 = 3 THEN 'too short' END AS quote FROM d WHERE len(w) >= 20),
-      s AS (SELECT *, CASE WHEN quote IS NULL THEN NULL WHEN length(quote) < 40 OR len(string_split(quote, ' ')) < 6 THEN 'skipped' WHEN doc_id % 12 = 5 THEN 'corpus_hit' WHEN doc_id % 6 = 5 THEN 'corpus_miss'
+          WHEN doc_id % 6 = 2 THEN 'no opinion holds these words about number ' || doc_id WHEN doc_id % 6 = 3 THEN 'too short' END AS quote FROM d),
+      s AS (SELECT *, CASE WHEN coalesce(quote, '') = '' THEN NULL WHEN length(quote) < 40 OR len(string_split(quote, ' ')) < 6 THEN 'skipped' WHEN doc_id % 12 = 5 THEN 'corpus_hit' WHEN doc_id % 6 = 5 THEN 'corpus_miss'
           WHEN contains(t, quote) THEN 'verbatim' WHEN doc_id % 6 = 1 AND len(w) >= len(string_split(quote, ' ')) THEN 'variant' ELSE 'not_found' END AS status FROM q)
       SELECT doc_id::VARCHAR AS doc_id, status, CASE status WHEN 'corpus_hit' THEN 3 WHEN 'corpus_miss' THEN 0 END::BIGINT AS hits, CASE WHEN status = 'corpus_hit' THEN 'C v. D' WHEN status IN ('verbatim', 'variant', 'not_found') THEN 'A v. B' END AS matched_case,
         CASE WHEN status = 'variant' THEN md5(array_to_string(list_slice(w, 1, 13), ' ')) END AS detail_md5 FROM s""",
     "snippet_passages": "SELECT o_orderkey::INT AS idx, CASE WHEN o_orderkey % 3 = 0 THEN 'second ' ELSE 'first ' END || o_orderkey AS passage FROM orders WHERE o_orderkey % 5 <> 0",
-    "snippet_queries": f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z][A-Za-z''\\-]{{2,}}')) AS w FROM documents)
+    "snippet_queries": f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z''\\-]{{2,}}')) AS w FROM documents)
       SELECT doc_id, md5(trim('"A v. B" ' || array_to_string(list_slice(list_sort(list_filter(w, lambda x: NOT list_contains({_STOPPED}, lower(x)))), 1, 8), ' '), ' ')) AS query_md5 FROM d""",
     "opinion_full_texts": """WITH o AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN 'part ' || l_partkey ELSE 'flag ' || l_returnflag END AS t FROM lineitem WHERE l_linenumber <= 4)
       SELECT l_orderkey AS cluster_id, string_agg(t, chr(10) || chr(10) ORDER BY l_linenumber, t) AS full_text FROM o GROUP BY l_orderkey""",
@@ -331,8 +331,8 @@ ORACLES = {
     "extraction_note_rows": """SELECT c_custkey::VARCHAR AS doc_id, concat_ws('; ', CASE WHEN c_custkey % 2 = 0 THEN '1 short form(s) without a full citation' END, CASE WHEN c_custkey % 3 = 0 THEN '2 supra reference(s) counted' END,
       CASE WHEN c_custkey % 4 > 1 THEN (c_custkey % 4 - 1) || ' repeated citation(s) merged' END) AS notes FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 4 > 0""",
     "abbreviated_names": "SELECT c_custkey::INT AS idx, c_custkey AS cluster_id, 1.0::DOUBLE AS sim FROM customer WHERE c_custkey % 3 < 2",
-    "party_names": f"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, upper(left(lang, 1)) || lower(substr(lang, 2)) || ' Co. of the (Ünion), ' || doc_id || ' & Sons' AS made FROM documents)
-      SELECT doc_id, {_party_sql('line')} AS line_fits, {_party_sql('made')} AS made_fits FROM d""",
+    "party_names": f"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS "at", upper(left(lang, 1)) || lower(substr(lang, 2)) || ' Co. of the (Ünion), ' || doc_id || ' & Sons' AS made FROM documents)
+      SELECT doc_id, "at", {_party_sql('line')} AS line_fits, {_party_sql('made')} AS made_fits FROM d""",
     "fetched_cases": f"{JUDGED} SELECT o_orderkey AS cluster_id, case_name, concat_ws(' ', volume, reporter, page) AS citations FROM oc WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
-    "table_cells": """SELECT page_id, md5(trim(replace(replace(coalesce(url || ' |' || chr(10) || left(html, 300), ''), '|', '\\|'), chr(10), ' '), ' ')) AS cell_md5 FROM pages""",
+    "table_cells": """SELECT page_id, md5(trim(replace(replace(coalesce(url || ' |' || chr(10) || html, ''), '|', '\\|'), chr(10), ' '), ' ')) AS cell_md5 FROM pages""",
 }

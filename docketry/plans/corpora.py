@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from docketry.functions.text import request_key
+from docketry.operators import phrases as P
+from docketry.operators.phrases import add_to_index, read_index
+from docketry.operators.quotes import check_quotes, quote_phrase
 from docketry.operators.search import corpus_search
 from docketry.operators.verdicts import findings
 from docketry.plans import derived as D
 from docketry.plans.derived import _letters, _pick, table
-from docketry.sources.shared import stage
+from docketry.sources.files import cache_replies, merge_replies, read_json_reports, read_markdown, write_json_reports, write_markdown
+from docketry.sources.shared import shared_dir, stage
+from docketry.sources.store import stored
 
 # -- names that many cases have --------------------------------------------------------------------------------------
 
@@ -69,5 +77,83 @@ COMMON_NAME_SQL = f"""
            || CASE WHEN of_court THEN ' and neither confirm nor rule out 999 F.2d ' || k || '.' ELSE '.' END AS explanation
     FROM g"""
 
-QUERIES = {f.__name__: f for f in (common_name_evidence,)}
-ORACLES = {"common_name_evidence": COMMON_NAME_SQL}
+# -- stores and indexes ----------------------------------------------------------------------------------------------
+
+
+def _new_path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/docketry/{name}-{uuid.uuid4().hex}"
+
+
+def report_store(spark, sf_dir):
+    """Reports of all documents, those of a third written again, read back from the store, JSON and Markdown."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"), F.length("text").alias("size"))
+    made = lambda version: F.to_json(F.struct(F.lit(version).alias("version"), "size"), {"ignoreNullFields": "false"})
+    path, other = _new_path(spark, "reports"), _new_path(spark, "markdown")
+    for version, some in ((1, docs), (2, docs.where("n % 3 = 0"))):
+        write_json_reports(some.select("doc_id", made(version).alias("json")), path, buckets=8)
+        write_markdown(some.select("doc_id", F.format_string("# Version %d", F.lit(version)).alias("markdown")), other, buckets=8)
+    reports = read_json_reports(spark, path, "version int, size int")
+    return reports.join(read_markdown(spark, other), "doc_id").select("doc_id", "version", "size", "markdown")
+
+
+def reply_store(spark, sf_dir):
+    """Replies of all events merged in two batches, the later one first; what is found for each user then, if not older than a day."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18, 6))").cast("double").alias("at"))
+    url = F.concat(F.lit("/u/"), F.col("user_id").cast("string"))
+    replies = e.select("event_id", request_key(F.lit("GET"), url, F.lit("")).alias("key"), F.lit(200).alias("status"), F.format_string('{"event": %d}', "event_id").alias("body"), F.col("at").alias("created_at"))
+    path = _new_path(spark, "replies")
+    for half in (1, 0):
+        merge_replies(replies.where(F.col("event_id") % 2 == half), path, buckets=8)
+    last = e.agg(F.max("at")).first()[0]
+    asked = e.select("user_id").distinct().select("user_id", F.lit("GET").alias("method"), url.alias("url"), F.lit("").alias("body"))
+    hits, misses = cache_replies(asked, stored(spark, path), max_age=86_400.0, now=last)
+    return hits.select("user_id", F.get_json_object("reply", "$.event").cast("long").alias("event_id")).union(misses.select("user_id", F.lit(None).cast("long")))
+
+
+def _document_index(spark, sf_dir):
+    """An index of all documents, made in two additions."""
+    docs, path = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _new_path(spark, "words")
+    for half in (0, 1):
+        add_to_index(docs.where(F.col("id") % 2 == half), path)
+    return read_index(spark, path)
+
+
+def phrase_hits(spark, sf_dir):
+    """The first twelve words of each benchmark passage, searched for in the index of all documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), quote_phrase(F.col("text")).alias("text"))
+    found = P.phrase_hits(items, _document_index(spark, sf_dir))
+    return items.join(found, F.col("id") == F.col("phrase_id"), "left").select(F.col("id").alias("item_id"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), F.col("first").alias("first_doc"))
+
+
+def phrase_quote_checks(spark, sf_dir):
+    """Quotations whose case cannot be read, checked by the index alone; of every fourth the words are turned around."""
+    words = F.split(F.trim(F.regexp_replace("text", "[ \\t-\\r]+", " ")), " ")
+    said = F.when(F.col("item_id") % 4 == 3, F.array_join(F.reverse(words), " ")).otherwise(F.array_join(words, " "))
+    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.concat(F.lit('"'), said, F.lit('"')).alias("parenthetical"), F.lit(None).cast("struct<cluster_id:bigint,case_name:string>").alias("resolved"))
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.format_string("Document %d", "doc_id").alias("case_name"))
+    hits = P.quotation_hits(found, _document_index(spark, sf_dir), names)
+    return check_quotes(found, None, hits).select("doc_id", "quote_check.status", "quote_check.hits", "quote_check.matched_case")
+
+
+_PLAIN = "lower(trim(regexp_replace(regexp_replace(replace(translate(coalesce({0}, ''), '“”‘’\"''…', '       '), '...', ' '), '\\[[^\\]]*\\]', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')))"
+_SPACED = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
+_TWELVE = "array_to_string(string_split({0}, ' ')[1:12], ' ')"
+#: Phrases p (id, phrase), held against every document.
+_HELD = f"""d AS (SELECT doc_id, ' ' || {_PLAIN.format('text')} || ' ' AS t FROM documents),
+      h AS (SELECT id, count(*) AS hits, min(doc_id) AS first_doc FROM p JOIN d ON phrase <> '' AND contains(t, ' ' || phrase || ' ') GROUP BY id)"""
+
+QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, phrase_hits, phrase_quote_checks)}
+ORACLES = {
+    "common_name_evidence": COMMON_NAME_SQL,
+    "report_store": "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS version, length(text)::INT AS size, '# Version ' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS markdown FROM documents",
+    "reply_store": """
+    WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, '{"event": ' || event_id || '}' DESC) AS n FROM events)
+    SELECT user_id, CASE WHEN (SELECT max(epoch_us(ts)) FROM events) - micros <= 86400000000 THEN event_id END AS event_id FROM r WHERE n = 1""",
+    "phrase_hits": f"""WITH p AS (SELECT item_id AS id, {_PLAIN.format(_TWELVE.format(_SPACED))} AS phrase FROM benchmark), {_HELD}
+      SELECT id AS item_id, coalesce(hits, 0) AS hits, first_doc FROM p LEFT JOIN h USING (id)""",
+    "phrase_quote_checks": f"""
+    WITH q AS (SELECT item_id AS id, CASE WHEN item_id % 4 = 3 THEN array_to_string(list_reverse(string_split({_SPACED}, ' ')), ' ') ELSE {_SPACED} END AS said FROM benchmark),
+      p AS (SELECT id, {_PLAIN.format('said')} AS quote, {_PLAIN.format(_TWELVE.format('said'))} AS phrase FROM q), {_HELD},
+      s AS (SELECT p.id, CASE WHEN quote = '' THEN NULL WHEN length(quote) < 40 OR len(string_split(quote, ' ')) < 6 THEN 'skipped' WHEN hits IS NULL THEN 'corpus_miss' ELSE 'corpus_hit' END AS status, hits, first_doc FROM p LEFT JOIN h USING (id))
+    SELECT id::VARCHAR AS doc_id, status, CASE status WHEN 'corpus_hit' THEN hits WHEN 'corpus_miss' THEN 0 END::BIGINT AS hits, CASE WHEN status = 'corpus_hit' THEN 'Document ' || first_doc END AS matched_case FROM s""",
+}

@@ -144,10 +144,12 @@ def short_form_targets(spark, sf_dir):
 
 
 def turn_carry(spark, sf_dir):
-    """J9 over conversations: the latest user turn before each turn."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", last.alias("last_user_turn"))
+    """J9 over conversations, read as documents: user turns as full citations, others as Id., which repeat the latest of them."""
+    rows = table(spark, sf_dir, "conversations").where("role is not null").select(
+        "conv_id", F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("turn").alias("s"), F.when(F.col("role") == "user", "full").otherwise("id").alias("form"),
+        F.lit("case").alias("kind"), F.lit(None).cast("string").alias("cite_key"), F.lit(None).cast("string").alias("reporter"),
+    )
+    return attribute_short_forms(rows).select("conv_id", F.col("pos").alias("turn"), "form", "target")
 
 
 def court_normalize(spark, sf_dir):
@@ -330,7 +332,8 @@ ORACLES = {
     "merged_authorities": f"{_REPEATING} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey) - 1)::INT AS idx, cite_key, 4 AS occurrence_count, case_name FROM r",
     "short_form_targets": f"""{_REPEATING}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey) - 1 AS k FROM r)
       SELECT doc_id, (4 * k + f.i)::INT AS pos, f.form, (4 * k + f.t)::INT AS target FROM n, (VALUES (0, 'full', 0), (1, 'short', 0), (2, 'id', 0), (3, 'full', 3)) f(i, form, t)""",
-    "turn_carry": "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn FROM conversations",
+    "turn_carry": """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'full' ELSE 'id' END AS form,
+      CASE WHEN role = 'user' THEN turn ELSE last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS target FROM conversations WHERE role IS NOT NULL""",
     "court_normalize": f"""{JUDGED}, t AS (
         SELECT *, coalesce(court, CASE reporter WHEN 'U.S.' THEN 'scotus' END, '') AS g, CASE WHEN resolved IS NULL THEN '' ELSE own_court END AS r FROM v),
       n AS (SELECT *, replace(replace(lower(g), '.', ''), ' ', '') AS g1, replace(replace(lower(r), '.', ''), ' ', '') AS r1 FROM t),
