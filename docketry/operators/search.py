@@ -13,6 +13,7 @@ from docketry.functions import fixed
 from docketry.functions.names import name_parts, parts_similarity
 from docketry.functions.schemas import OVERALL
 from docketry.functions.text import blank_to_null, court_token, lists_key, reporter_key, year_in
+from docketry.operators.corpus import Corpus, corpus_of
 from docketry.operators.records import case_citations, record_of
 from docketry.operators.verdicts import NAMED
 from docketry.sources.shared import stage
@@ -20,40 +21,37 @@ from docketry.sources.shared import stage
 KEY = ["doc_id", "idx"]
 #: Results of one search that are carried on: those that decide come first, and ``found`` counts all.
 PAGE = 20
+#: Most rows of one word that are broadcast; beyond it, the same join shuffles.
+MOST_BROADCAST = 200_000
 
 
-def name_index(cases: DataFrame) -> DataFrame:
-    """(found_name, parts): each distinct name of a case, taken apart once. Cases without an id give none."""
-    names = cases.where("cluster_id is not null").groupBy(F.coalesce("case_name", F.lit("")).alias("found_name")).agg(F.lit(1).alias("_n")).select("found_name")
-    return stage(names.withColumn("parts", name_parts(F.col("found_name"))), "name-index")
-
-
-def match_distinct_names(cited: DataFrame, index: DataFrame, threshold: float = fixed.NAME_MATCH) -> DataFrame:
-    """(case_name, found_name, sim): the names of ``index`` that fit those of ``cited``. Both have a name and its ``parts``.
+def match_distinct_names(cited: DataFrame, corpus: Corpus, threshold: float = fixed.NAME_MATCH) -> DataFrame:
+    """(case_name, found_name, sim): the names of ``corpus`` that fit those of ``cited`` (case_name, parts).
 
     Of n tokens on a side a match has ceil(threshold n) at least, so a match that
     may lack m tokens has one of any m + 1. Each cited name looks up the m + 1 that
     fewest names hold. An abbreviated token stands for all that begin with it: those
-    come from the list of distinct tokens, and their names count as its own.
+    come from the list of distinct tokens, and their names count as its own. What is
+    asked goes to the corpus' tables by their keys.
     """
     lacks = lambda s: F.coalesce(F.size(f"parts.{s}") - F.ceil(F.size(f"parts.{s}") * threshold - 1e-9), F.lit(0))
     may_lack = F.greatest(lacks("all"), lacks("left") + lacks("right"))
-    none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat("parts.all", F.coalesce("parts.left", none), F.coalesce("parts.right", none)))
-    held = stage(index.select("found_name", F.explode(every).alias("token")), "name-tokens")
-    vocabulary = stage(held.groupBy("token").agg(F.count("*").alias("n")), "vocabulary")
     tokens = cited.select("case_name", may_lack.alias("_lack"), "parts.short", F.explode("parts.all").alias("asked")).withColumn("is_short", F.array_contains("short", F.col("asked"))).drop("short")
-    begun = tokens.where("is_short").select("asked").distinct()
-    beginnings = vocabulary.select("token", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring("token", F.lit(1), k))).alias("asked"))
-    stands_for = stage(beginnings.join(begun, "asked").select("asked", "token", "n", F.lit(True).alias("is_short")), "beginnings")
-    cost = vocabulary.select(F.col("token").alias("asked"), "n", F.lit(False).alias("is_short")).union(stands_for.groupBy("asked").agg(F.sum("n").alias("n")).select("asked", "n", F.lit(True)))
+    tokens = stage(tokens, "cited-tokens")
+    counts = corpus.vocabulary.groupBy("token").agg(F.sum("n").alias("n"))
+    whole = tokens.where("not is_short").select(F.col("asked").alias("token")).distinct().join(counts, "token")
+    begun = stage(tokens.where("is_short").select("asked").distinct(), "begun")
+    begun = F.broadcast(begun) if begun.count() <= MOST_BROADCAST else begun
+    beginnings = counts.select("token", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring("token", F.lit(1), k))).alias("asked"))
+    stands_for = stage(beginnings.join(begun, "asked").select("asked", "token", "n"), "beginnings")
+    cost = whole.select(F.col("token").alias("asked"), "n", F.lit(False).alias("is_short")).union(stands_for.groupBy("asked").agg(F.sum("n").alias("n")).select("asked", "n", F.lit(True)))
     ranked = tokens.join(cost, ["asked", "is_short"], "left").withColumn("_n", F.coalesce("n", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("case_name").orderBy("_n", "asked"))
     lookups = stage(ranked.withColumn("_at", place).where((F.col("_at") <= F.col("_lack") + 1) & (F.col("_n") > 0)).select("case_name", "asked", "is_short"), "lookups")
     exact = lookups.where("not is_short").select("case_name", F.col("asked").alias("token"))
     longer = lookups.where("is_short").join(stands_for.select("asked", "token"), "asked").select("case_name", "token")
-    pairs = exact.union(longer).join(held, "token").select("case_name", "found_name").distinct()
-    both = pairs.join(cited.select("case_name", F.col("parts").alias("cited")), "case_name").join(index.select("found_name", F.col("parts").alias("found")), "found_name")
+    pairs = exact.union(longer).join(corpus.tokens, "token").select("case_name", "found_name").distinct()
+    both = pairs.join(cited.select("case_name", F.col("parts").alias("cited")), "case_name").join(corpus.names.select("found_name", F.col("parts").alias("found")), "found_name")
     return both.select("case_name", "found_name", parts_similarity(F.col("cited"), F.col("found")).alias("sim")).where(F.col("sim") >= threshold)
 
 
@@ -68,7 +66,7 @@ def match_names(citations: DataFrame, cases: DataFrame, threshold: float = fixed
 
     Distinct names are matched once for all citations and cases that have them.
     """
-    found = match_distinct_names(cited_names(citations), name_index(cases), threshold)
+    found = match_distinct_names(cited_names(citations), corpus_of(cases, names_only=True), threshold)
     named = cases.where("cluster_id is not null").select("cluster_id", F.coalesce("case_name", F.lit("")).alias("found_name"))
     return citations.select(*KEY, "case_name").join(found, "case_name").join(named, "found_name").select(*KEY, "cluster_id", "sim")
 
@@ -155,19 +153,19 @@ def named_records(asked: DataFrame, named: DataFrame, page: int) -> DataFrame:
     return ranked.join(totals, [*KEY, "rank"], "left").select(*KEY, "strategy", "rank", "rec", "sim", "lists", "found", "overall")
 
 
-def corpus_search(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH, page: int = PAGE) -> tuple[DataFrame, None]:
-    """Results of the three searches against ``cases`` (columns of a record and ``court_id``). No search fails.
+def corpus_search(citations: DataFrame, cases: DataFrame | Corpus, threshold: float = fixed.NAME_MATCH, page: int = PAGE) -> tuple[DataFrame, None]:
+    """Results of the three searches against ``cases``: columns of a record and ``court_id``, or a corpus that is kept. No search fails.
 
     The order within a search is ours: see ``named_records``; records that list the
     citation go by name score and id. ``found`` counts all results, those beyond the page too.
     """
     asked = citations.select(*KEY, "case_name", "cite_key", "court", "court_id", "court_source", "year")
-    matches = stage(match_distinct_names(cited_names(citations), name_index(cases), threshold), "name-matches")
-    record = F.struct("cluster_id", "case_name", "citations", "court", "date_filed", "absolute_url", "snippet")
-    known = cases.where("cluster_id is not null").select("cluster_id", record.alias("rec"), F.coalesce("court_id", court_token("court")).alias("_of"))
-    named = matches.join(known, F.col("found_name") == F.coalesce("rec.case_name", F.lit(""))).select("case_name", "rec", "sim", court_token("rec.court").alias("court"), year_in("rec.date_filed").alias("year"))
+    corpus = cases if isinstance(cases, Corpus) else corpus_of(cases)
+    matches = stage(match_distinct_names(cited_names(citations), corpus, threshold), "name-matches")
+    named = matches.join(corpus.records, "found_name").select("case_name", "rec", "sim", court_token("rec.court").alias("court"), year_in("rec.date_filed").alias("year"))
     by_name = named_records(asked, stage(named, "named"), page)
-    slots = with_scores(match_slots(citations, cases).join(known, "cluster_id").join(asked, KEY)).select(*KEY, "rec", "sim", F.lit(True).alias("lists"), (F.col("_of") == F.col("court_id")).alias("_here"))
+    held = asked.where(blank_to_null("cite_key").isNotNull()).join(corpus.slots, "cite_key")
+    slots = with_scores(held).select(*KEY, "rec", "sim", F.lit(True).alias("lists"), (F.col("of_court") == F.col("court_id")).alias("_here"))
     slots = stage(slots, "slots")
     by_cite = slots.withColumn("strategy", F.lit("cite")).unionByName(slots.where("_here").withColumn("strategy", F.lit("court")))
     by_cite = _page(by_cite.withColumn("found", F.count("*").over(Window.partitionBy(*KEY, "strategy")).cast("int")), [F.desc("sim"), F.col("rec.cluster_id")], page)

@@ -225,10 +225,11 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
     return out.drop("overall", *(c for c in out.columns if c.startswith("_")))
 
 
-def findings(citations: DataFrame, results: DataFrame, status: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Citations with their verdicts, given what the searches returned (RESULTS and STATUS).
+def decided_rows(citations: DataFrame, results: DataFrame, status: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """What is decided, staged: so that a filter on a verdict is one on a stored column, and not copied into all that the verdict is made of."""
+    return stage(decide(gather_evidence(attach_results(citations, results, status)), strict), "decided")
 
-    What is decided is staged, so that a filter on a verdict is one on a stored
-    column, and not copied into all that the verdict is made of.
-    """
-    return explain_verdicts(stage(decide(gather_evidence(attach_results(citations, results, status)), strict), "decided"))
+
+def findings(citations: DataFrame, results: DataFrame, status: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Citations with their verdicts, given what the searches returned (RESULTS and STATUS)."""
+    return explain_verdicts(decided_rows(citations, results, status, strict))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import request_key
 from docketry.operators import phrases as P
+from docketry.operators.corpus import drop_corpus, keep_corpus
 from docketry.operators.phrases import add_to_index, read_index
 from docketry.operators.quotes import check_quotes, quote_phrase
 from docketry.operators.search import corpus_search
 from docketry.operators.verdicts import findings
 from docketry.plans import derived as D
+from docketry.plans.audit import audit
 from docketry.plans.derived import _letters, _pick, table
+from docketry.plans.stated import JUDGED
 from docketry.sources.files import cache_replies, merge_replies, read_json_reports, read_markdown, write_json_reports, write_markdown
 from docketry.sources.shared import shared_dir, stage
 from docketry.sources.store import stored
@@ -110,6 +113,17 @@ def reply_store(spark, sf_dir):
     return hits.select("user_id", F.get_json_object("reply", "$.event").cast("long").alias("event_id")).union(misses.select("user_id", F.lit(None).cast("long")))
 
 
+def stored_corpus_audit(spark, sf_dir):
+    """All briefs against a corpus kept as bucketed tables, made of half the cases and then given the others."""
+    cases, name = stage(D.cases(spark, sf_dir), "cases"), f"cases_{uuid.uuid4().hex}"
+    path = _new_path(spark, "corpus")
+    for half in (0, 1):
+        corpus = keep_corpus(cases.where(F.col("cluster_id") % 2 == half), name, path, buckets=8)
+    done = audit(D.briefs(spark, sf_dir), corpus)
+    drop_corpus(spark, name)
+    return done.findings.groupBy("rule", "verdict", "error_class").agg(F.count("*").alias("n"), F.count("resolved").alias("resolved"))
+
+
 def _document_index(spark, sf_dir):
     """An index of all documents, made in two additions."""
     docs, path = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _new_path(spark, "words")
@@ -142,13 +156,14 @@ _TWELVE = "array_to_string(string_split({0}, ' ')[1:12], ' ')"
 _HELD = f"""d AS (SELECT doc_id, ' ' || {_PLAIN.format('text')} || ' ' AS t FROM documents),
       h AS (SELECT id, count(*) AS hits, min(doc_id) AS first_doc FROM p JOIN d ON phrase <> '' AND contains(t, ' ' || phrase || ' ') GROUP BY id)"""
 
-QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, phrase_hits, phrase_quote_checks)}
+QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, stored_corpus_audit, phrase_hits, phrase_quote_checks)}
 ORACLES = {
     "common_name_evidence": COMMON_NAME_SQL,
     "report_store": "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS version, length(text)::INT AS size, '# Version ' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS markdown FROM documents",
     "reply_store": """
     WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, '{"event": ' || event_id || '}' DESC) AS n FROM events)
     SELECT user_id, CASE WHEN (SELECT max(epoch_us(ts)) FROM events) - micros <= 86400000000 THEN event_id END AS event_id FROM r WHERE n = 1""",
+    "stored_corpus_audit": f"{JUDGED} SELECT rule, verdict, error_class, count(*) AS n, count(resolved) AS resolved FROM v GROUP BY ALL",
     "phrase_hits": f"""WITH p AS (SELECT item_id AS id, {_PLAIN.format(_TWELVE.format(_SPACED))} AS phrase FROM benchmark), {_HELD}
       SELECT id AS item_id, coalesce(hits, 0) AS hits, first_doc FROM p LEFT JOIN h USING (id)""",
     "phrase_quote_checks": f"""

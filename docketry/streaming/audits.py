@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry.functions.text import request_key
+from docketry.operators.corpus import Corpus, corpus_of
 from docketry.plans.audit import audit
+from docketry.sources.shared import scratch
 
 
-def audit_stream(documents: DataFrame, cases: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Audit each batch of a stream of (doc_id, text) against ``cases``; findings and reports go under ``path``, by batch.
+def audit_stream(documents: DataFrame, cases: DataFrame | Corpus, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Audit each batch of a stream of (doc_id, text) against ``cases``, or a kept corpus; findings and reports go under ``path``, by batch.
 
-    A batch that is run again replaces its own output, so no document is counted twice.
+    A batch that is run again replaces its own output, so no document is counted
+    twice. The index of a table of cases is made once, before the first batch; what
+    a batch stages is deleted at its end.
     """
+    corpus = cases if isinstance(cases, Corpus) else corpus_of(cases)
 
     def run(batch: DataFrame, number: int) -> None:
-        found = audit(batch, cases)
-        for name, df in (("findings", found.findings), ("reports", found.reports)):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        with scratch():
+            found = audit(batch, corpus)
+            for name, df in (("findings", found.findings), ("reports", found.reports)):
+                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     query = documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
