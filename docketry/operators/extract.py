@@ -96,18 +96,19 @@ def sentence_ends(text: str | None) -> list[int]:
     return ends
 
 
-MENTION = "s:int,e:int,form:string,matched_text:string,volume:string,reporter:string,page:string,pin:string,kind:string,told:string,before:string,after:string,rest:string,context:string"
+MENTION = "s:int,e:int,form:string,matched_text:string,volume:string,reporter:string,page:string,pin:string,kind:string,told:string,lead:string,before:string,after:string,rest:string,context:string"
 
 
 def surroundings(text: str, found: list[tuple], ends: list[int]) -> list[tuple]:
-    """What stands around each citation: before it, as far as its neighbour, its sentence and LOOK_BEHIND allow; after it, as far as its neighbour and LOOK_AHEAD; 80 characters more; its sentence with the one before it."""
+    """What stands around each citation: before it, as far as its neighbour and LOOK_BEHIND allow, and then as its sentence does, too; after it, as far as its neighbour and LOOK_AHEAD; 80 characters more; its sentence with the one before it."""
     out = []
     for k, (s, e, *_) in enumerate(found):
         own, last = bisect_right(ends, s), bisect_left(ends, s)
-        floor = max(found[k - 1][1] if k else 0, s - fixed.LOOK_BEHIND, ends[last - 1] if last else 0)
+        wide = max(found[k - 1][1] if k else 0, s - fixed.LOOK_BEHIND)
+        floor = max(wide, ends[last - 1] if last else 0)
         limit = min(found[k + 1][0] if k + 1 < len(found) else len(text), e + fixed.LOOK_AHEAD)
         begin, end = ends[own - 2] if own > 1 else 0, ends[own] if own < len(ends) else len(text)
-        out.append((text[floor:s], text[e : max(limit, e)], text[e : e + 80], text[begin:end].strip(" ")))
+        out.append((text[wide:s], text[floor:s], text[e : max(limit, e)], text[e : e + 80], text[begin:end].strip(" ")))
     return out
 
 
@@ -136,12 +137,59 @@ def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 SIGNALS = ["See", "Compare", "Accord", "But", "Cf.", "E.g.", "E.g.,", "Contra", "In", "Under", "The", "Citing", "Quoting", "And", "As", "Also", "also", "generally", "of", "the", "and", "in", "on", "for", "by", "as", "a", "an", "e.g.", "e.g.,", "cf."]
 
 
+_NAME_WORD = r"(?:[\p{Lu}\p{Nd}][\p{L}\p{Nd}.'’&\-]*|of|the|and|&|de|del|la|le|van|von|der|den|ex|rel\.|in|re|on|for|by|as|a|an)"
+#: A word of three letters or more, by which a party is found again in the text.
+_LONG_WORD = r"([A-Za-z][A-Za-z'\-]{2,})"
+
+
+def without_signals(name: Column) -> Column:
+    signal = "|".join(x.replace(".", r"\.") for x in sorted(SIGNALS, key=lambda x: -len(x)))
+    return blank_to_null(F.trim(F.regexp_replace(name, rf"^(?:(?:{signal})\s)+(?=[\p{{Lu}}\p{{Nd}}])", "")))
+
+
 def name_before(window: Column) -> Column:
     """The case name that ends a text: the run of name words around its last ``v.``, without the signal words it begins with."""
-    token = r"(?:[\p{Lu}\p{Nd}][\p{L}\p{Nd}.'’&\-]*|of|the|and|&|de|del|la|le|van|von|der|den|ex|rel\.|in|re|on|for|by|as|a|an)"
-    raw = F.regexp_extract(window, rf"((?:{token},?\s)*{token},?\s[Vv]s?\.?\s(?:{token},?\s)*{token})[\s,]*$", 1)
-    signal = "|".join(x.replace(".", r"\.") for x in sorted(SIGNALS, key=lambda x: -len(x)))
-    return blank_to_null(F.trim(F.regexp_replace(raw, rf"^(?:(?:{signal})\s)+(?=[\p{{Lu}}\p{{Nd}}])", "")))
+    return without_signals(F.regexp_extract(window, rf"((?:{_NAME_WORD},?\s)*{_NAME_WORD},?\s[Vv]s?\.?\s(?:{_NAME_WORD},?\s)*{_NAME_WORD})[\s,]*$", 1))
+
+
+def parties_read(lead: Column) -> tuple[Column, Column]:
+    """(plaintiff, defendant) by a first reading: the name words before the last ``v.``, and all that follows it."""
+    before_v = F.regexp_extract(lead, r"(?s)^(.*[^,]),?\s[Vv]s?\.?\s", 1)
+    plaintiff = F.regexp_extract(before_v, rf"((?:{_NAME_WORD},?\s)*{_NAME_WORD})$", 1)
+    defendant = F.regexp_extract(lead, r"(?s)^.*\s[Vv]s?\.?\s(.*?)[\s,]*$", 1)
+    return without_signals(plaintiff), blank_to_null(F.trim(defendant))
+
+
+def anchored_name(lead: Column, party: Column) -> Column:
+    """The text from where the party's first long word stands last to the end: the name as the document has it, whatever the reading made of it."""
+    word = blank_to_null(F.regexp_extract(party, _LONG_WORD, 1))
+    from_word = F.call_function("regexp_extract", lead, F.concat(F.lit("(?is)^.*(?<![A-Za-z])("), word, F.lit(".*)$")), F.lit(1))
+    return blank_to_null(F.regexp_replace(from_word, r"[\s,]+$", ""))
+
+
+def fits_as_name(name: Column) -> Column:
+    """Whether a text is a case name: not too long, of two parties, that read as names."""
+    return F.coalesce((F.length(name) <= fixed.LONGEST_NAME) & sides(name).isNotNull() & is_plausible_party(name), F.lit(False))
+
+
+def with_names(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_name`` (as written), ``name_source`` and ``name_note``.
+
+    A name is the text from the anchor of its first party on; else the run of name
+    words before the citation, within its sentence; else what the first reading
+    made of the parties. Where the first reading differs from the name, a note says so.
+    """
+    plaintiff, defendant = parties_read(F.col("lead"))
+    rows = rows.withColumns({"_plaintiff": plaintiff, "_defendant": defendant})
+    read = F.concat("_plaintiff", F.lit(" v. "), "_defendant")
+    rows = rows.withColumns({"_anchored": anchored_name(F.col("lead"), F.col("_plaintiff")), "_run": name_before(F.col("before")), "_read": read})
+    is_case, found = F.col("kind") == "case", [("anchor", "_anchored"), ("pattern", "_run"), ("parties", "_read")]
+    source = F.coalesce(*(F.when(is_case & fits_as_name(F.col(c)), F.lit(name)) for name, c in found))
+    rows = rows.withColumn("name_source", source)
+    rows = rows.withColumn("_name", F.coalesce(*(F.when(F.col("name_source") == name, F.col(c)) for name, c in found)))
+    differs = F.col("name_source").isNotNull() & (one_line(F.col("_read")) != one_line(F.col("_name")))
+    note = F.concat(F.lit("the parties were first read as '"), one_line(F.col("_read")), F.lit("'; the text has '"), one_line(F.col("_name")), F.lit("', which is used"))
+    return rows.withColumn("name_note", F.when(differs, note)).drop("_plaintiff", "_defendant", "_anchored", "_run", "_read")
 
 
 def citation_mentions(scanned: DataFrame) -> DataFrame:
@@ -154,11 +202,10 @@ def citation_mentions(scanned: DataFrame) -> DataFrame:
             "_quote": F.regexp_extract(F.regexp_replace("after", fixed.YEAR_PARENTHESIS, ""), fixed.QUOTE_PARENTHESIS, 1),
         }
     )
-    rows = rows.withColumns({"parenthetical": F.when(F.col("year").isNotNull(), blank_to_null("_quote")), "_name": name_before(F.col("before"))})
-    fits = (F.length("_name") <= fixed.LONGEST_NAME) & sides("_name").isNotNull() & is_plausible_party("_name")
-    rows = rows.withColumn("case_name", F.when((F.col("kind") == "case") & fits, one_line("_name")))
+    rows = with_names(rows.withColumn("parenthetical", F.when(F.col("year").isNotNull(), blank_to_null("_quote"))))
+    rows = rows.withColumn("case_name", one_line("_name"))
     # As written: from the name, if there is one, to the parenthesis with the year.
-    named = F.when(F.col("case_name").isNotNull(), F.concat(F.col("_name"), F.regexp_extract("before", r"([\s,]*)$", 1)))
+    named = F.when(F.col("case_name").isNotNull(), F.concat(F.col("_name"), F.regexp_extract("lead", r"([\s,]*)$", 1)))
     rest = F.regexp_extract("rest", fixed.CITATION_END, 1)
     rows = rows.withColumn("verbatim", F.trim(one_line(F.concat(F.coalesce(named, F.lit("")), F.col("matched_text"), rest))))
     told = F.col("told")
@@ -174,7 +221,7 @@ def citation_mentions(scanned: DataFrame) -> DataFrame:
             "context": one_line("context"),
         }
     )
-    return rows.drop("before", "after", "rest", "_court", "_quote", "_name")
+    return rows.drop("lead", "before", "after", "rest", "_court", "_quote", "_name")
 
 
 def attribute_short_forms(mentions: DataFrame) -> DataFrame:
@@ -208,13 +255,13 @@ def merge_authorities(mentions: DataFrame) -> DataFrame:
     shorts = mentions.where("form <> 'full' and target is not null").select("doc_id", F.col("target").alias("pos"), F.struct("s", "e").alias("_span"))
     shorts = shorts.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list("_span")).alias("_more"))
     keyed = keyed.join(shorts, ["doc_id", "pos"], "left").withColumn("_spans", F.concat(F.array(F.struct("s", "e")), F.coalesce("_more", F.array().cast("array<struct<s:int,e:int>>"))))
-    names = ["kind", "verbatim", "matched_text", "volume", "reporter", "page", F.col("pin").alias("pin_cite"), "court", "court_id", "court_source", "year", "case_name", "parenthetical", "cite_key", "context"]
+    names = ["kind", "verbatim", "matched_text", "volume", "reporter", "page", F.col("pin").alias("pin_cite"), "court", "court_id", "court_source", "year", "case_name", "parenthetical", "cite_key", "context", "name_note"]
     first = F.min(F.struct("pos", *names)).alias("_first")
     merged = keyed.groupBy("doc_id", "_key").agg(first, F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_spans"))), lambda x: x["_spans"])).alias("spans"), F.count("*").alias("_rows"))
     idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("_first.pos")) - 1).cast("int")
     out = merged.select("doc_id", idx.alias("idx"), "_first.*", F.size("spans").alias("occurrence_count"), "spans")
     parts = sides("case_name")
-    out = out.withColumns({"plaintiff": parts[0], "defendant": parts[1], "extraction_notes": F.array().cast("array<string>")})
+    out = out.withColumns({"plaintiff": parts[0], "defendant": parts[1], "extraction_notes": F.array_compact(F.array("name_note"))})
     return out.select(*(x.split()[0] for x in CITATION.split(", ") if " " in x))
 
 

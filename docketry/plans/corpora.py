@@ -10,6 +10,7 @@ from docketry.functions.text import request_key
 from docketry.operators import phrases as P
 from docketry.operators.corpus import drop_corpus, keep_corpus
 from docketry.operators.phrases import add_to_index, read_index
+from docketry.operators.extract import citation_mentions, scan_documents
 from docketry.operators.quotes import check_quotes, quote_phrase
 from docketry.operators.search import corpus_search
 from docketry.operators.verdicts import findings
@@ -156,9 +157,54 @@ _TWELVE = "array_to_string(string_split({0}, ' ')[1:12], ' ')"
 _HELD = f"""d AS (SELECT doc_id, ' ' || {_PLAIN.format('text')} || ' ' AS t FROM documents),
       h AS (SELECT id, count(*) AS hits, min(doc_id) AS first_doc FROM p JOIN d ON phrase <> '' AND contains(t, ' ' || phrase || ' ') GROUP BY id)"""
 
-QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, stored_corpus_audit, phrase_hits, phrase_quote_checks)}
+# -- names in several ways -------------------------------------------------------------------------------------------
+
+
+def _named_texts(spark, sf_dir):
+    """A citation for each customer, whose name is written in one of seven ways."""
+    k = F.col("c_custkey")
+    own = _letters(k)
+    ways = [
+        F.concat(F.lit("It was held in "), own, F.lit(" Co. v. Birch")), F.concat(F.lit("El Rio "), own, F.lit(" v. Birch Bank")), F.concat(F.lit("It was said. Alpha (USA) "), own, F.lit(" v. Delta (UK) Lines")),
+        F.concat(own, F.lit(" argued, yet "), own, F.lit(" Corp. vs. Birch")), F.concat(F.lit("See Bros. of Mt. "), own, F.lit(" v. Pine St. Co.")), F.concat(F.lit("AB v. "), own), F.concat(F.lit("the firm v. "), own),
+    ]
+    text = F.element_at(F.array(*ways), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.concat(text, F.lit(", 5 F.3d "), (k + 1).cast("string"), F.lit(" (9th Cir. 1999).")).alias("text"))
+
+
+def name_readings(spark, sf_dir):
+    """the name of each citation, how it was found, and whether a first reading of its parties differs."""
+    rows = citation_mentions(scan_documents(_named_texts(spark, sf_dir)))
+    return rows.select("doc_id", "case_name", "name_source", "name_note", "verbatim")
+
+
+def extraction_advisories(spark, sf_dir):
+    """V1, V4: what was noted when names were read, and names that only nearly fit the case that has the citation, as advisories of findings."""
+    k = F.col("c_custkey")
+    page = (k + 1).cast("string")
+    c = table(spark, sf_dir, "customer").select(k)
+    name = F.when(k % 2 == 0, F.concat(F.lit("El Rio "), _letters(k), F.lit(" v. Birch"))).otherwise(F.concat(_letters(k), F.lit(" Alder v. Birch")))
+    texts = c.select(k.cast("string").alias("doc_id"), F.concat(name, F.lit(", 5 F.3d "), page, F.lit(" (9th Cir. 1999).")).alias("text"))
+    record = [k.cast("bigint").alias("cluster_id"), F.lit("Rio Cedar Alder v. Birch").alias("case_name"), F.array(F.concat(F.lit("5 F.3d "), page)).alias("citations"), F.lit("9th Cir.").alias("court"), F.lit("ca9").alias("court_id")]
+    cases = c.select(*record, F.lit("1999-01-01").alias("date_filed"), F.lit(None).cast("string").alias("absolute_url"), F.lit(None).cast("string").alias("snippet"))
+    done = audit(texts, stage(cases, "cases"))
+    return done.findings.select("doc_id", "rule", F.array_join("advisories", "; ").alias("advisories"))
+
+
+_OWN = "upper(left({0}, 1)) || substr({0}, 2)".format("translate((c_custkey + 1000000)::VARCHAR, '0123456789', 'abcdefghij')")
+_NAMED_SQL = f"""WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS way, {_OWN} AS own FROM customer),
+      n AS (
+        SELECT *, [own || ' Co. v. Birch', 'Rio ' || own || ' v. Birch Bank', own || ' v. Delta (UK) Lines', own || ' Corp. v. Birch', 'Bros. of Mt. ' || own || ' v. Pine St. Co.', 'AB v. ' || own, NULL][way + 1] AS name,
+               ['anchor', 'anchor', 'anchor', 'parties', 'anchor', 'pattern', NULL][way + 1] AS name_source,
+               CASE way WHEN 1 THEN 'the parties were first read as ''El Rio ' || own || ' v. Birch Bank''; the text has ''Rio ' || own || ' v. Birch Bank'', which is used' END AS name_note FROM c)"""
+
+QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, stored_corpus_audit, phrase_hits, phrase_quote_checks, name_readings, extraction_advisories)}
 ORACLES = {
     "common_name_evidence": COMMON_NAME_SQL,
+    "name_readings": f"{_NAMED_SQL} SELECT k::VARCHAR AS doc_id, name AS case_name, name_source, name_note, coalesce(name || ', ', '') || '5 F.3d ' || (k + 1) || ' (9th Cir. 1999)' AS verbatim FROM n",
+    "extraction_advisories": f"""WITH c AS (SELECT c_custkey AS k, {_OWN} AS own FROM customer), n AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Rio ' || own ELSE own || ' Alder' END || ' v. Birch' AS name FROM c)
+      SELECT k::VARCHAR AS doc_id, 'D3' AS rule, CASE WHEN k % 2 = 0 THEN 'the parties were first read as ''El ' || name || '''; the text has ''' || name || ''', which is used; ' ELSE '' END
+             || 'the name given, ''' || name || ''', differs from the recorded ''Rio Cedar Alder v. Birch''' AS advisories FROM n""",
     "report_store": "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS version, length(text)::INT AS size, '# Version ' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS markdown FROM documents",
     "reply_store": """
     WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, '{"event": ' || event_id || '}' DESC) AS n FROM events)
