@@ -129,10 +129,11 @@ class Encoder:
     words (Latin letters, perhaps one comma or stop) are encoded as one text, which
     is cut after the right number of such tokens; other words are encoded one by
     one. This holds for tokenizers with word ends that drop white space, such as
-    word_bpe_49k. Beyond ``limit`` words the memory of words starts over.
+    word_bpe_49k. Beyond ``limit`` words, those are forgotten that one step alone
+    had: most words of a corpus are seen once.
     """
 
-    def __init__(self, path: str, limit: int = 150_000, word_end: str = "</w>"):
+    def __init__(self, path: str, limit: int = 250_000, word_end: str = "</w>"):
         # Spark runs a task for each core; threads of the library would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -147,7 +148,18 @@ class Encoder:
 
     def _reset(self) -> None:
         self.known, self.used = {}, 0
-        self.first, self.length, self.pool = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32))
+        self.first, self.length, self.pool, self.steps = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32, np.int32))
+
+    def _forget(self) -> None:
+        """Keep the words of several steps, or none, if they are more than half of all that may be kept."""
+        often = np.flatnonzero(self.steps[: len(self.known)] > 1)
+        if 2 * len(often) > self.limit:
+            return self._reset()
+        words, sizes = list(self.known), self.length[often]
+        ids = self.pool[ranges(self.first[often], sizes)]
+        self._reset()
+        self._add([words[i] for i in often.tolist()], sizes, ids)
+        self.steps[: len(often)] = 1
 
     def _alone(self, words: list[str]) -> tuple[list[int], np.ndarray]:
         """(ids of all words, how many each has)."""
@@ -169,8 +181,11 @@ class Encoder:
         done = [self._together(plain[k : k + 1000]) for k in range(0, len(plain), 1000)]
         done.append(self._alone(other))
         sizes, flat = (np.concatenate([x[k] for x in done]) for k in (1, 0))
+        self._add(plain + other, sizes, flat)
+
+    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
         at, end = len(self.known), self.used + len(flat)
-        for name, need in (("first", at + len(words)), ("length", at + len(words)), ("pool", end)):
+        for name, need in (("first", at + len(words)), ("length", at + len(words)), ("steps", at + len(words)), ("pool", end)):
             held = getattr(self, name)
             if need > len(held):
                 setattr(self, name, np.concatenate([held, np.zeros(max(len(held), need), held.dtype)]))
@@ -178,17 +193,20 @@ class Encoder:
         self.length[at : at + len(words)] = sizes
         self.first[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used = end
-        self.known.update(zip(plain + other, range(at, at + len(words))))
+        self.known.update(zip(words, range(at, at + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's first id and the end)."""
         if len(self.known) > self.limit:
-            self._reset()
+            self._forget()
         words, at, bounds = split_words(texts)
         known = self.known
         if new := [w for w in words if w and w not in known]:
             self._learn(new)
-        rows = np.fromiter(map(known.get, words, itertools.repeat(0)), np.int64, len(words))[at]
+        rows = np.fromiter(map(known.get, words, itertools.repeat(0)), np.int64, len(words))
+        if len(rows):
+            self.steps[rows] += 1  # the words are distinct
+        rows = rows[at]
         length = self.length[rows]
         ends = np.concatenate([[0], np.cumsum(length)])
         return self.pool[ranges(self.first[rows], length)], ends[bounds]

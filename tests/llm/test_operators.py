@@ -171,6 +171,18 @@ def test_encoder_equals_tokenizer():
         assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_words_and_no_token():
+    texts = [prose(k, 40) for k in range(60)]
+    whole, _ = Encoder(tokenizer_path()).encode(pa.array(texts))
+    small_ = Encoder(tokenizer_path(), limit=300)
+    found, sizes = [], []
+    for k in range(0, 60, 3):
+        found.append(small_.encode(pa.array(texts[k : k + 3]))[0])
+        sizes.append(len(small_.known))
+    assert np.array_equal(np.concatenate(found), whole)
+    assert max(sizes) <= 300 + 120 and any(0 < b < a for a, b in zip(sizes, sizes[1:]))
+
+
 def check_packing(rows, lengths, size):
     by_sequence, by_doc = {}, {}
     for r in rows:
