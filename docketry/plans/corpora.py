@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docketry.functions.tables import register
 from docketry.functions.text import request_key
 from docketry.operators import phrases as P
+from docketry.operators import reports as R
 from docketry.operators.corpus import drop_corpus, keep_corpus
-from docketry.operators.phrases import add_to_index, read_index
 from docketry.operators.extract import citation_mentions, scan_documents
+from docketry.operators.phrases import add_to_index, read_index
 from docketry.operators.quotes import check_quotes, quote_phrase
+from docketry.operators.requests import COUNTERS, observed
 from docketry.operators.search import corpus_search
 from docketry.operators.verdicts import findings
 from docketry.plans import derived as D
 from docketry.plans.audit import audit
 from docketry.plans.derived import _letters, _pick, table
-from docketry.plans.stated import JUDGED
+from docketry.plans.stated import JUDGED, verdict_rows
 from docketry.sources.files import cache_replies, merge_replies, read_json_reports, read_markdown, write_json_reports, write_markdown
 from docketry.sources.shared import shared_dir, stage
 from docketry.sources.store import stored
+from docketry.streaming.audits import request_counts
+from docketry.streaming.jobs import job_states
 
 # -- names that many cases have --------------------------------------------------------------------------------------
 
@@ -198,13 +204,105 @@ _NAMED_SQL = f"""WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS way, {_OWN}
                ['anchor', 'anchor', 'anchor', 'parties', 'anchor', 'pattern', NULL][way + 1] AS name_source,
                CASE way WHEN 1 THEN 'the parties were first read as ''El Rio ' || own || ' v. Birch Bank''; the text has ''Rio ' || own || ' v. Birch Bank'', which is used' END AS name_note FROM c)"""
 
-QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, stored_corpus_audit, phrase_hits, phrase_quote_checks, name_readings, extraction_advisories)}
+# -- totals, counters, streams, table functions ----------------------------------------------------------------------
+
+
+def verdict_rollup(spark, sf_dir):
+    """A1-A5 over all documents: verdicts by court, reporter and verdict, with all totals."""
+    return R.corpus_report(verdict_rows(spark, sf_dir).select("court", "reporter", "verdict"))
+
+
+def _attempts(spark, sf_dir):
+    """Events as tries of requests: errors of small value are told to wait, those of great value fail, others of a user after the first are cached."""
+    e = table(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    again = F.coalesce(F.lag("event_type").over(order) == "error", F.lit(False))
+    status = F.when((F.col("event_type") == "error") & (F.col("value") < 10), 429).when(F.col("event_type") == "error", 500).otherwise(200)
+    rows = e.select("event_id", status.alias("status"), F.when(again, 2).otherwise(1).alias("attempt"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 7).cast("string")).alias("header"), ((F.row_number().over(order) > 1) & (F.col("event_type") != "error") & ~again).alias("cached"))
+    return rows
+
+
+def client_counters(spark, sf_dir):
+    """The six counters of a client, observed while its replies are written."""
+    passed, counters = observed(_attempts(spark, sf_dir))
+    stage(passed, "attempts")
+    return spark.createDataFrame([tuple(counters.get[c] for c in COUNTERS)], "requests long, cache_hits long, throttle_waits long, throttle_seconds double, retries long, errors long")
+
+
+def _event_stream(spark, sf_dir):
+    """The events as they arrive, of a table that is one file or many."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path may be no file otherwise
+
+
+def streamed_request_counts(spark, sf_dir):
+    """§2.11, A16: requests of a stream of all events by window of a day and outcome."""
+    stream = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.coalesce("event_type", F.lit("none")).alias("outcome"))
+    counts, path = request_counts(stream, width="1 day"), _new_path(spark, "counts")
+
+    def run(batch, number):
+        batch.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "outcome", "requests").write.mode("overwrite").parquet(path)
+
+    counts.writeStream.foreachBatch(run).outputMode("complete").option("checkpointLocation", _new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def streamed_job_states(spark, sf_dir):
+    """K11, §2.11: users as jobs, known from their first view on, followed through a stream of all events."""
+    stream = _event_stream(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("doc_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "error", "fail").otherwise("progress").alias("kind"), (F.col("value") / 100).alias("fraction")
+    )
+    path = _new_path(spark, "jobs")
+    job_states(stream, path, _new_path(spark, "checkpoint"), expiry="3650 days").awaitTermination()
+    return stored(spark, path).select("doc_id", F.bround("fraction", 6).alias("fraction"), "status")
+
+
+def citations_by_sql(spark, sf_dir):
+    """P1, F17-F21, §2.12: briefs scanned by table functions in SQL."""
+    register(spark)
+    name = f"briefs_{uuid.uuid4().hex}"
+    D.briefs(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"""
+        SELECT b.doc_id, c.matched_text, c.volume, c.reporter, c.page, c.s AS start, n.sentences
+        FROM {name} b, LATERAL extract_citations(b.text) c
+        JOIN (SELECT doc_id, CAST(count(*) AS INT) AS sentences FROM {name}, LATERAL split_sentences(text) GROUP BY doc_id) n ON b.doc_id = n.doc_id
+        WHERE c.form = 'full'""")
+
+
+def empty_reports(spark, sf_dir):
+    """Reports of texts of which two thirds cite nothing, against a corpus without cases."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, "No authority is cited here.").when(k % 3 == 1, F.lit(None)).otherwise(F.concat(_letters(k), F.lit(" v. Birch, 5 F.3d 7 (9th Cir. 1999).")))
+    docs = table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), text.alias("text"))
+    done = audit(docs, D.cases(spark, sf_dir).limit(0))
+    return done.reports.select("doc_id", "fabricated", "total", "integrity_score", "check_coverage", "other_citations")
+
+
+QUERIES = {f.__name__: f for f in (common_name_evidence, report_store, reply_store, stored_corpus_audit, phrase_hits, phrase_quote_checks, name_readings, extraction_advisories, verdict_rollup, client_counters, streamed_request_counts, streamed_job_states, citations_by_sql, empty_reports)}
 ORACLES = {
     "common_name_evidence": COMMON_NAME_SQL,
     "name_readings": f"{_NAMED_SQL} SELECT k::VARCHAR AS doc_id, name AS case_name, name_source, name_note, coalesce(name || ', ', '') || '5 F.3d ' || (k + 1) || ' (9th Cir. 1999)' AS verbatim FROM n",
     "extraction_advisories": f"""WITH c AS (SELECT c_custkey AS k, {_OWN} AS own FROM customer), n AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Rio ' || own ELSE own || ' Alder' END || ' v. Birch' AS name FROM c)
       SELECT k::VARCHAR AS doc_id, 'D3' AS rule, CASE WHEN k % 2 = 0 THEN 'the parties were first read as ''El ' || name || '''; the text has ''' || name || ''', which is used; ' ELSE '' END
              || 'the name given, ''' || name || ''', differs from the recorded ''Rio Cedar Alder v. Birch''' AS advisories FROM n""",
+    "verdict_rollup": f"""{JUDGED}, r AS (SELECT coalesce(court, CASE reporter WHEN 'U.S.' THEN 'scotus' END) AS court, reporter, verdict FROM v)
+      SELECT court, reporter, verdict, grouping_id(court, reporter, verdict)::BIGINT AS grouping_id, count(*) AS citations, count(*) FILTER (verdict IN ('fabricated', 'miscited')) AS wrong
+      FROM r GROUP BY GROUPING SETS ((), (court), (reporter), (verdict), (court, verdict), (reporter, verdict), (court, reporter, verdict))""",
+    "client_counters": """
+    WITH o AS (SELECT *, coalesce(lag(event_type) OVER w = 'error', false) AS again, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      a AS (SELECT *, event_type = 'error' AS bad, coalesce(event_type = 'error' AND value < 10, false) AS wait, coalesce(n > 1 AND event_type <> 'error' AND NOT again, false) AS cached FROM o)
+    SELECT count(*) FILTER (NOT cached) AS requests, count(*) FILTER (cached) AS cache_hits, count(*) FILTER (wait) AS throttle_waits,
+           coalesce(sum(CASE WHEN wait THEN CASE WHEN event_id % 3 = 0 THEN 36.0 ELSE greatest(0.5, event_id % 7) END END), 0)::DOUBLE AS throttle_seconds,
+           count(*) FILTER (NOT cached AND again) AS retries, count(*) FILTER (bad AND NOT wait) AS errors FROM a""",
+    "streamed_request_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(event_type, 'none') AS outcome, count(*) AS requests FROM events GROUP BY ALL",
+    "streamed_job_states": """
+    WITH s AS (SELECT user_id, min(ts) AS began FROM events WHERE event_type = 'view' GROUP BY user_id),
+      e AS (SELECT user_id, round_even(greatest(0.0, max(least(1.0, coalesce(value, 0) / 100))), 6)::DOUBLE AS fraction, bool_or(event_type = 'error') AS failed FROM events JOIN s USING (user_id) WHERE ts >= began GROUP BY user_id)
+    SELECT user_id::VARCHAR AS doc_id, fraction, CASE WHEN failed THEN 'failed' WHEN fraction >= 1 THEN 'done' WHEN fraction > 0.7 THEN 'checking' ELSE 'verifying' END AS status FROM e""",
+    "citations_by_sql": f"""{JUDGED}, w AS (SELECT *, coalesce(case_name || ', ', 'See ') AS lead, matched_text || ' (' || concat_ws(' ', court, year) || ')' AS tail FROM j)
+      SELECT doc_id, matched_text, volume, reporter, page, (coalesce(sum(length(lead) + length(tail) + 2) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(lead))::INT AS "start", (count(*) OVER (PARTITION BY doc_id))::INT AS sentences
+      FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY o_orderkey)""",
+    "empty_reports": """SELECT c_custkey::VARCHAR AS doc_id, (c_custkey % 3 = 2)::BIGINT AS fabricated, (c_custkey % 3 = 2)::BIGINT AS total, CASE WHEN c_custkey % 3 = 2 THEN 0.0 END::DOUBLE AS integrity_score,
+      CASE WHEN c_custkey % 3 = 2 THEN 100.0 END::DOUBLE AS check_coverage, 0::BIGINT AS other_citations FROM customer""",
     "report_store": "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS version, length(text)::INT AS size, '# Version ' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS markdown FROM documents",
     "reply_store": """
     WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, '{"event": ' || event_id || '}' DESC) AS n FROM events)
