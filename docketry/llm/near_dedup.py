@@ -354,7 +354,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     reach. Texts of under five words have one shingle, all their words. Null texts
     and texts without words are copies of nothing and linked to nothing. Rows
     without an id are left out; equal ids are one document, whose rows come back
-    apiece; if their texts differ, the least one counts. An empty table gives no rows.
+    apiece; if their texts differ, the least one counts. Ids are integers; a text that
+    is none ends the job with an error. An empty table gives no rows.
 
     Equal texts collapse first. Each distinct text's bands put it in buckets. A
     text is dropped from a bucket if its shingles that other texts have, too, are

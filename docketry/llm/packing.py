@@ -227,7 +227,8 @@ def pack_documents(
     than ``min_cut``. A sequence has at most ``window`` ids, offsets without gaps.
 
     A null text counts as empty and has the end id alone; empty tables give no
-    rows; repeated rows are packed apiece; null ids stay null. ``ids`` (bytes of 4
+    rows; repeated rows are packed apiece; null ids stay null, and a text as an id that
+    is no integer ends the job with an error. ``ids`` (bytes of 4
     an id) is filled where ``keep_ids``.
     """
 

@@ -12,6 +12,11 @@ from docketry.llm.common import materialize
 
 QUERY_TILE = 8192
 ROW_TILE = 32768
+#: As queries grow, so do their tiles: beyond this many tiles, as long as one has no more numbers than TILE_NUMBERS.
+QUERY_TILES = 256
+TILE_NUMBERS = 1 << 23
+#: Pairs of tiles are dealt to at most so many tasks, which take them one at a time.
+MOST_TASKS = 20_000
 #: How many lists of one query a merging step takes.
 FAN_IN = 16
 FOUND = "query_id long, tile long, vec_id long, score long"
@@ -113,6 +118,11 @@ def merge_lists(found: DataFrame, tiles: int, k: int, fan_in: int = FAN_IN) -> D
     return best(found, "query_id").withColumnRenamed("_n", "rank")
 
 
+def query_tile_of(queries: int, width: int, least: int = QUERY_TILE) -> int:
+    """Queries of a tile: ``least``, or so many that there are QUERY_TILES tiles, as far as TILE_NUMBERS allow it."""
+    return max(least, min(-(-queries // QUERY_TILES), TILE_NUMBERS // max(1, width)))
+
+
 def top_k(
     rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, query_tile: int = QUERY_TILE, row_tile: int = ROW_TILE, fan_in: int = FAN_IN
 ) -> DataFrame:
@@ -127,21 +137,24 @@ def top_k(
     empty table gives no rows. Scores are exact: where products may be beyond 64 bits
     they are worked out in unbounded integers, and one that is ends the job with an error.
 
+    Ids are integers; a text that is none ends the job with an error.
+
     Tiles are even, as rows go to them by a hash, and a task holds one tile of
-    rows and one of queries. Each row is sent once for every ``query_tile``
-    queries, each query once for every ``row_tile`` rows.
+    rows and one of queries at a time. Each row is sent once for every tile of
+    queries, each query once for every ``row_tile`` rows; many queries have larger
+    tiles than ``query_tile``, see ``query_tile_of``.
     """
     data = materialize(quantized(rows, vec_id, vector, scale).dropDuplicates(["vec_id", "v"]), "vectors")
     asked = data.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_rows, n_queries = data.count(), data.where(is_query(F.col("vec_id"))).count()
-    row_tiles, query_tiles = max(1, -(-n_rows // row_tile)), max(1, -(-n_queries // query_tile))
+    n_rows, n_queries, width = data.agg(F.count("*"), F.count_if(is_query(F.col("vec_id"))), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    row_tiles, query_tiles = max(1, -(-n_rows // row_tile)), max(1, -(-n_queries // query_tile_of(n_queries, width, query_tile)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
     queries = asked.withColumn("q_tile", spread(query_tiles)).withColumn("r_tile", every(row_tiles))
     queries = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), "q_tile", "r_tile")
     tiles = data.withColumn("r_tile", spread(row_tiles)).withColumn("q_tile", every(query_tiles))
     # A pair of tiles costs much time for few bytes, so pairs are not gathered in tasks by their size.
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_tiles * query_tiles)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, row_tiles * query_tiles))
     dealt = lambda df: df.repartition(parts, "q_tile", "r_tile").groupBy("q_tile", "r_tile")
     pairs = dealt(queries).cogroup(dealt(tiles))
     found = pairs.applyInArrow(tile_top(k), FOUND)

@@ -273,6 +273,22 @@ def test_top_k_against_brute_force(spark):
         assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, 5)
 
 
+def test_top_k_tiles_grow_with_the_queries(spark, monkeypatch):
+    from docketry.llm import topk_search
+
+    assert topk_search.query_tile_of(1000, 64) == 8192 and topk_search.query_tile_of(20_000_000, 64) == 78_125 and topk_search.query_tile_of(10**9, 4096) == 8192
+    monkeypatch.setattr(topk_search, "MOST_TASKS", 3)
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 5 == 0, query_tile=8, row_tile=16, fan_in=3)
+    exact = [(i, np.floor(256 * np.float32(v).astype(np.float64)).astype(int)) for i, v in rows]
+    expected = {i: sorted((-int(v @ w), j) for j, w in exact if j != i)[:5] for i, v in exact if i % 5 == 0}
+    got = {}
+    for x in out.orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((-x.score, x.vec_id))
+    assert got == expected
+
+
 def test_top_k_few_rows_and_repeats(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = top_k(df.withColumns({"rank": F.lit(1), "v": F.lit(2), "tile": F.lit(0)}), lambda v: v % 50 == 0).collect()
