@@ -79,30 +79,41 @@ def word_runs(texts: DataFrame, words: str, width: int) -> DataFrame:
     return rows.select(*(c for c in texts.columns if c != words), F.xxhash64(*(f"_run.{n}" for n in names)).alias("run"))
 
 
-def brief_key(words: Column, at: Column | int) -> Column:
+def brief_key(words: Column, at: Column | int, n: Column, i: Column, j: Column) -> Column:
     """The run of ``n`` words from ``at`` (from 0), with ``i`` letters of its first word's end and ``j`` of its last word's beginning."""
     at = F.lit(at) if isinstance(at, int) else at
-    return F.concat_ws(" ", F.right(F.get(words, at), F.col("i")), F.slice(words, at + 2, F.greatest(F.col("n") - 2, F.lit(0))), F.left(F.get(words, at + F.col("n") - 1), F.col("j")))
+    return F.concat_ws(" ", F.right(F.get(words, at), i), F.slice(words, at + 2, F.greatest(n - 2, F.lit(0))), F.left(F.get(words, at + n - 1), j))
 
 
-def brief_pairs(q: DataFrame, s: DataFrame) -> DataFrame:
+def keys_of_shape(words: Column, n: int, i: int, j: int) -> Column:
+    """All keys of one shape that a source has, as an array."""
+    if n == 1:
+        long_enough = F.filter(F.array_distinct(words), lambda w: F.length(w) >= i)
+        return F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda k: F.substring(w, k, F.lit(i)))))
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda k: brief_key(words, k, F.lit(n), F.lit(i), F.lit(j)))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def brief_pairs(q: DataFrame, s: DataFrame, most_keys: int = 200_000) -> DataFrame:
     """(quote_id, source_id) that may match, for quotations of a few words.
 
     A quotation may begin and end within a word of its source. One word is looked
     up by its first three letters, wherever they are in a word; more words by the
     last three letters of the first, the whole words between, and the first three of
-    the last. Shorter words are looked up whole, so a source is read once for each
-    of the shapes (words, letters at both ends) that the quotations have.
+    the last. Shorter words are looked up whole, so quotations have at most a few
+    dozen shapes (words, letters at both ends). A source is read once and gives its
+    distinct keys of all shapes; those that no quotation asks for are dropped where
+    they are made, if the keys asked for are at most ``most_keys``, which are broadcast then.
     """
     words, edge = F.col("_words"), lambda w: F.least(F.length(w), F.lit(3))
     looked = q.select("quote_id", F.split("_quote", " ").alias("_words")).select("quote_id", "_words", F.size("_words").alias("n"), edge(F.get("_words", F.lit(0))).alias("i"), edge(F.element_at("_words", -1)).alias("j"))
-    looked = looked.select("quote_id", "n", "i", "j", F.xxhash64(F.when(F.col("n") == 1, F.left(F.get(words, F.lit(0)), F.col("i"))).otherwise(brief_key(words, 0))).alias("_key"))
-    read = s.select("source_id", F.split("_source", " ").alias("_words")).crossJoin(F.broadcast(looked.select("n", "i", "j").distinct()))
-    long_enough = F.filter(F.array_distinct(words), lambda w: F.length(w) >= F.col("i"))
-    parts = F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - F.col("i") + 1), lambda k: F.substring(w, k, F.col("i")))))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - F.col("n")), lambda k: brief_key(words, k))
-    keys = F.when(F.col("n") == 1, parts).when(F.size(words) >= F.col("n"), runs)
-    found = read.select("source_id", F.explode(F.array_distinct(keys)).alias("_key")).select("source_id", F.xxhash64("_key").alias("_key"))
+    own_key = F.when(F.col("n") == 1, F.left(F.get(words, F.lit(0)), F.col("i"))).otherwise(brief_key(words, 0, F.col("n"), F.col("i"), F.col("j")))
+    looked = stage(looked.select("quote_id", "n", "i", "j", F.xxhash64("n", own_key).alias("_key")), "brief-keys")
+    shapes = looked.select("n", "i", "j").distinct().collect()
+    hashed = lambda x: F.transform(F.array_distinct(keys_of_shape(words, x.n, x.i, x.j)), lambda key: F.xxhash64(F.lit(x.n), key))
+    read = s.select("source_id", F.split("_source", " ").alias("_words")).select("source_id", F.explode(F.array_distinct(F.flatten(F.array(*map(hashed, shapes))))).alias("_key"))
+    asked = looked.select("_key").distinct()
+    found = read.join(F.broadcast(asked) if asked.count() <= most_keys else asked, "_key", "left_semi")
     return found.join(looked.select("quote_id", "_key"), "_key").select("quote_id", "source_id").distinct()
 
 
@@ -113,7 +124,8 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame, width: int = 4, most
     of ``width`` words among the sources' runs, hashed; only sources that have it
     are searched. Its first and last word may be parts of a source's words, so they
     are in no such run; quotations too short to have one look up ``brief_pairs``.
-    Null and empty ones are in nothing. Sources are cut into runs once; runs of
+    Null and empty ones are in nothing; one of a letter or a frequent word is in nearly
+    every source, and has a row for each. Sources are cut into runs once; runs of
     quotations are broadcast if they are at most ``most_runs``, else both are shuffled.
     """
     q = stage(quotes.select(F.col("id").alias("quote_id"), comparable_quote("text").alias("_quote")).where("_quote <> ''"), "quotes")
