@@ -24,7 +24,7 @@ MIN_CUT = 32
 FAN_IN = 16
 END_ID = 1
 #: Texts that are encoded at once, and their bytes, unless one alone has more.
-TEXTS, STEP = 1024, 4 << 20
+TEXTS, STEP = 2048, 4 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, is_open boolean, part long"
 _SCHEMA = pa.schema(
@@ -133,7 +133,7 @@ class Encoder:
     had: most words of a corpus are seen once.
     """
 
-    def __init__(self, path: str, limit: int = 350_000, word_end: str = "</w>"):
+    def __init__(self, path: str, limit: int = 400_000, word_end: str = "</w>"):
         # Spark runs a task for each core; threads of the library would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
