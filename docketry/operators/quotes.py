@@ -186,10 +186,15 @@ def rank_passages(parts: DataFrame, most: int = 3) -> DataFrame:
 
 
 def snippet_passage(findings: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, idx, passage): the snippet of the first result that is the resolved case itself. ``hits``: (doc_id, idx, rank, rec)."""
+    """(doc_id, idx, passage): the snippet of the first result that is the resolved case itself. ``hits``: (doc_id, idx, rank, rec).
+
+    Both sides grow with the citations, and Spark takes a side of few columns for
+    small; so both are dealt by citation, as the grouping after them needs, too.
+    """
     own = findings.select(*KEY, F.col("resolved.cluster_id").alias("_cluster")).where("_cluster is not null")
-    rows = own.join(hits, KEY).where((F.col("rec.cluster_id") == F.col("_cluster")) & blank_to_null("rec.snippet").isNotNull())
-    return rows.groupBy(*KEY).agg(F.min(F.struct("rank", F.col("rec.snippet").alias("passage"))).alias("_m")).select(*KEY, "_m.passage")
+    told = hits.where(blank_to_null("rec.snippet").isNotNull()).select(*KEY, "rank", F.col("rec.cluster_id").alias("_found"), F.col("rec.snippet").alias("passage"))
+    rows = own.hint("merge").join(told, KEY).where("_found = _cluster")
+    return rows.groupBy(*KEY).agg(F.min(F.struct("rank", "passage")).alias("_m")).select(*KEY, "_m.passage")
 
 
 def snippet_query(case_name: Column, context: Column) -> Column:
