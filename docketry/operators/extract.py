@@ -47,7 +47,7 @@ _FORMS = re.compile(
     "|".join(
         [
             rf"(?<![\w.])(?P<{k}_volume>\d{{1,4}})\s(?P<{k}_reporter>{_BY_KIND[k]})(?:,?\sat\s(?P<{k}_at>\d{{1,5}})(?!\w)|\s?{section}(?P<{k}_page>{page})(?!\w))"
-            for k, section, page in (("case", "", r"\d{1,8}(?:-U)?[a-z]?"), ("statute", r"§{0,2}\s?", r"\d{1,5}[a-z]{0,2}(?:[.-]\d+)?"), ("journal", "", r"\d{1,8}(?:-U)?[a-z]?"))
+            for k, section, page in (("case", "", r"\d{1,8}(?:-U)?[a-z]?"), ("statute", r"§{0,2}\s?", r"\d{1,8}[a-z]{0,2}(?:[.-]\d+)?"), ("journal", "", r"\d{1,8}(?:-U)?[a-z]?"))
         ]
         + [r"(?<!\w)(?P<id>(?:[Ii]d\.|[Ii]bid\.)(?:,?\sat\s\d{1,5}(?:[-–]\d{1,5})?)?)", r"(?<!\w)(?P<supra>supra(?!\w)(?:,?\sat\s\d{1,5})?)"]
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.schemas import RECORD
 from docketry.operators import quotes as Q
+from docketry.operators.extract import scan_citations
 
 
 def plan_of(df):
@@ -20,3 +21,11 @@ def test_snippets_are_never_broadcast(spark):
     out = Q.snippet_passage(found, hits)
     assert "Broadcast" not in plan_of(out)
     assert sorted((r.idx, r.passage) for r in out.collect()) == [(n, str(n)) for n in range(50) if n % 5]
+
+
+def test_sections_of_statutes_are_read_whole():
+    """Sections beyond 99,999, which only tables of 100,000 rows and more make, were no citations."""
+    text = "Under 42 U.S.C. § 100000 the claim fails. So says 17 C.F.R. 1234567.5 too. See 42 U.S.C. § 1983a-2 and 42 U.S.C. § 99999."
+    assert [(m[3], m[6], m[8]) for m in scan_citations(text)] == [
+        ("42 U.S.C. § 100000", "100000", "statute"), ("17 C.F.R. 1234567.5", "1234567.5", "statute"), ("42 U.S.C. § 1983a-2", "1983a-2", "statute"), ("42 U.S.C. § 99999", "99999", "statute"),
+    ]
