@@ -222,7 +222,7 @@ def measures(block: Block) -> list[float]:
     stops = sum(map(text.count, ".!?"))
     return [
         min(math.log1p(words), 8.0), min(1.0, block.linked / max(1, len(text))), min(1.0, stops * 10 / words), float(text[-1] in ".!?\"'”’"),
-        sum(map(str.isupper, text[:2000])) / min(len(text), 2000), float(any(c in text for c in "©®|»→")), float(block.element.name[:1] == "h" and block.element.name[1:].isdigit()), min(1.0, len(text) / words / 20),
+        sum(map(str.isupper, text)) / len(text), float(any(c in text for c in "©®|»→")), float(block.element.name[:1] == "h" and block.element.name[1:].isdigit()), min(1.0, len(text) / words / 20),
     ]
 
 

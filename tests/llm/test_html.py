@@ -94,3 +94,12 @@ def test_very_long_pages():
     assert text_of("<article>" + "<a title='x>y" * 50_001).endswith("y")
     assert text_of("".join(f"<p>{'Some prose, it seems. ' * (k % 7)}</p><div><a>{k}</a></div>" for k in range(20_000)), [0.3, -4.0, 1.0, 1.0, 0.0, -1.0, 0.0, 0.0, -1.0])
     assert time.time() - began < 60
+
+
+def test_measures_read_whole_texts():
+    """The share of capitals was that of a text's first 2,000 characters."""
+    element = H.Element("p", H.Element("", None, 0), 0)
+    for text in ("a" * 3_000 + "B" * 9_000, "B" * 3_000 + "a" * 9_000):
+        block = H.Block(element)
+        block.text = text
+        assert H.measures(block)[4] == sum(map(str.isupper, text)) / 12_000
