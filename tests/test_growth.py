@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.schemas import RECORD
 from docketry.operators import quotes as Q
-from docketry.operators.extract import scan_citations
+from docketry.operators.extract import scan_citations, scan_documents, scanned_in_steps
 
 
 def plan_of(df):
@@ -29,3 +29,15 @@ def test_sections_of_statutes_are_read_whole():
     assert [(m[3], m[6], m[8]) for m in scan_citations(text)] == [
         ("42 U.S.C. § 100000", "100000", "statute"), ("17 C.F.R. 1234567.5", "1234567.5", "statute"), ("42 U.S.C. § 1983a-2", "1983a-2", "statute"), ("42 U.S.C. § 99999", "99999", "statute"),
     ]
+
+
+def test_scans_hand_back_what_they_hold(spark):
+    """A step's texts come in by thousands, and what stands around their citations is many times as much."""
+    texts = ["Ash v. Oak, 9 F.3d 7 (9th Cir. 1999). Id. at 8. " * n for n in (0, 1, 30, 2, 0, 400, 1)] + [None]
+    held = lambda df: sum(len(v) for ms in df["mentions"] for m in ms for v in m.values() if isinstance(v, str))
+    (whole,), steps = scanned_in_steps(texts, 1 << 40), list(scanned_in_steps(texts, 20_000))
+    assert [x for df in steps for x in df["mentions"]] == list(whole["mentions"]) and [x for df in steps for x in df["ends"]] == list(whole["ends"])
+    assert len(steps) >= 3 and sum(held(df) <= 20_000 for df in steps) >= len(steps) - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    count = lambda most: sorted((r.doc_id, len(r.mentions), r.ends) for r in scan_documents(docs, most_held=most).collect())
+    assert count(2_000) == count(1 << 40)
