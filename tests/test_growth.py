@@ -41,3 +41,23 @@ def test_scans_hand_back_what_they_hold(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
     count = lambda most: sorted((r.doc_id, len(r.mentions), r.ends) for r in scan_documents(docs, most_held=most).collect())
     assert count(2_000) == count(1 << 40)
+
+
+def test_decided_rows_hold_each_record_once(spark):
+    """A record was stored up to eight times a row."""
+    from docketry.operators.search import corpus_search
+    from docketry.operators.verdicts import decided_rows, explain_verdicts
+
+    k = F.col("id")
+    name, cite = F.format_string("Birch%d Ash v. Oak", k), F.format_string("%d F.3d 7", k + 1)
+    cases = spark.range(40).select(k.alias("cluster_id"), name.alias("case_name"), F.array(cite).alias("citations"), F.lit("9th Cir.").alias("court"), F.lit("ca9").alias("court_id"), F.lit("1999-01-01").alias("date_filed"), F.lit(None).cast("string").alias("absolute_url"), F.lit(None).cast("string").alias("snippet"))
+    cited = spark.range(40).select(
+        F.lit("d").alias("doc_id"), k.cast("int").alias("idx"), name.alias("case_name"), cite.alias("matched_text"), F.format_string("%df3d7", k + 1).alias("cite_key"), (k + 1).cast("string").alias("volume"), F.lit("F.3d").alias("reporter"), F.lit("7").alias("page"),
+        F.lit("9th Cir.").alias("court"), F.lit("ca9").alias("court_id"), F.lit("document").alias("court_source"), F.lit("1999").alias("year"), F.lit(None).cast("array<string>").alias("extraction_notes"),
+    )
+    results, _ = corpus_search(cited, cases)
+    decided = decided_rows(cited, results)
+    assert not {"name_results", "cite_results", "court_results", "overall"} & set(decided.columns)
+    assert {len(r._records) for r in decided.collect()} == {1}
+    for r in explain_verdicts(decided).collect():
+        assert (r.rule, r.resolved.cluster_id, [e.top.cluster_id for e in r.evidence]) == ("D3", r.idx, [r.idx, r.idx])
