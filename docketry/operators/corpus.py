@@ -16,7 +16,7 @@ BUCKETS = 64
 
 
 class Corpus(NamedTuple):
-    names: DataFrame  # (found_name, parts): each distinct name of a case, taken apart once
+    names: DataFrame | None  # (found_name, parts): each distinct name of a case, taken apart once; None where pairs of names are taken apart as they are compared
     tokens: DataFrame  # (token, found_name)
     vocabulary: DataFrame  # (token, n): how many names hold a token, in parts that add up
     records: DataFrame  # (found_name, rec, of_court)
@@ -57,12 +57,14 @@ def case_slots(records: DataFrame) -> DataFrame:
 
 
 def corpus_of(cases: DataFrame, names_only: bool = False) -> Corpus:
-    """The tables of ``cases``, for the searches of one audit: names are staged, records are read from the cases themselves."""
-    names = stage(case_names(cases), "name-index")
-    tokens = stage(name_tokens(names), "name-tokens")
+    """The tables of ``cases``, for the searches of one audit: tokens are staged, records are read from the cases themselves.
+
+    Names in parts are many times the names: they are neither written nor exchanged.
+    """
+    tokens = stage(name_tokens(case_names(cases)), "name-tokens")
     vocabulary = stage(token_counts(tokens), "vocabulary")
     records = None if names_only else case_records(cases)
-    return Corpus(names, tokens, vocabulary, None if records is None else records.drop("cluster_id"), None if records is None else case_slots(records))
+    return Corpus(None, tokens, vocabulary, None if records is None else records.drop("cluster_id"), None if records is None else case_slots(records))
 
 
 def _table(name: str, part: str) -> str:

@@ -32,33 +32,54 @@ def match_distinct_names(cited: DataFrame, corpus: Corpus, threshold: float = fi
     may lack m tokens has one of any m + 1. Each cited name looks up the m + 1 that
     fewest names hold. An abbreviated token stands for all that begin with it: those
     come from the list of distinct tokens, and their names count as its own. What is
-    asked goes to the corpus' tables by their keys.
+    asked goes to the corpus' tables by their keys. Names are exchanged as they are
+    written and taken apart where they meet: in parts they are many times as wide.
     """
     lacks = lambda s: F.coalesce(F.size(f"parts.{s}") - F.ceil(F.size(f"parts.{s}") * threshold - 1e-9), F.lit(0))
     may_lack = F.greatest(lacks("all"), lacks("left") + lacks("right"))
-    tokens = cited.select("case_name", may_lack.alias("_lack"), "parts.short", F.explode("parts.all").alias("asked")).withColumn("is_short", F.array_contains("short", F.col("asked"))).drop("short")
+    # The word between the parties is asked for only by names that have too few others.
+    others = F.filter("parts.all", lambda t: t != "v")
+    asks = F.when(F.size(others) > may_lack, others).otherwise(F.col("parts.all"))
+    tokens = cited.select("case_name", may_lack.alias("_lack"), "parts.short", F.explode(asks).alias("asked")).withColumn("is_short", F.array_contains("short", F.col("asked"))).drop("short")
     tokens = stage(tokens, "cited-tokens")
-    counts = corpus.vocabulary.groupBy("token").agg(F.sum("n").alias("n"))
-    whole = tokens.where("not is_short").select(F.col("asked").alias("token")).distinct().join(counts, "token")
+    # The parts of a kept corpus' vocabulary add up; that of one search is in one part.
+    counts = corpus.vocabulary if corpus.names is None else corpus.vocabulary.groupBy("token").agg(F.sum("n").alias("n"))
     begun = stage(tokens.where("is_short").select("asked").distinct(), "begun")
     begun = F.broadcast(begun) if begun.count() <= MOST_BROADCAST else begun
     beginnings = counts.select("token", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring("token", F.lit(1), k))).alias("asked"))
     stands_for = stage(beginnings.join(begun, "asked").select("asked", "token", "n"), "beginnings")
-    cost = whole.select(F.col("token").alias("asked"), "n", F.lit(False).alias("is_short")).union(stands_for.groupBy("asked").agg(F.sum("n").alias("n")).select("asked", "n", F.lit(True)))
-    ranked = tokens.join(cost, ["asked", "is_short"], "left").withColumn("_n", F.coalesce("n", F.lit(0)))
+    ranked = tokens.where("not is_short").join(counts.withColumnRenamed("token", "asked"), "asked", "left")
+    ranked = ranked.union(tokens.where("is_short").join(stands_for.groupBy("asked").agg(F.sum("n").alias("n")), "asked", "left"))
+    ranked = ranked.withColumn("_n", F.coalesce("n", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("case_name").orderBy("_n", "asked"))
     lookups = stage(ranked.withColumn("_at", place).where((F.col("_at") <= F.col("_lack") + 1) & (F.col("_n") > 0)).select("case_name", "asked", "is_short"), "lookups")
     exact = lookups.where("not is_short").select("case_name", F.col("asked").alias("token"))
     longer = lookups.where("is_short").join(stands_for.select("asked", "token"), "asked").select("case_name", "token")
-    pairs = exact.union(longer).join(corpus.tokens, "token").select("case_name", "found_name").distinct()
-    both = pairs.join(cited.select("case_name", F.col("parts").alias("cited")), "case_name").join(corpus.names.select("found_name", F.col("parts").alias("found")), "found_name")
-    return both.select("case_name", "found_name", parts_similarity(F.col("cited"), F.col("found")).alias("sim")).where(F.col("sim") >= threshold)
+    asked = exact.union(longer)
+    pairs = asked.join(unasked_left_out(corpus, counts, asked), "token").select("case_name", "found_name").distinct()
+    if corpus.names is None:
+        both = pairs.withColumn("found", name_parts(F.col("found_name")))
+    else:
+        both = pairs.join(corpus.names.select("found_name", F.col("parts").alias("found")), "found_name")
+    both = both.withColumn("cited", name_parts(F.col("case_name")))
+    # A filter would be pushed below the parts, which it would then work out once for each of their uses.
+    fitting = F.filter(F.array(parts_similarity(F.col("cited"), F.col("found"))), lambda sim: sim >= threshold)
+    return both.select("case_name", "found_name", F.explode(fitting).alias("sim"))
+
+
+def unasked_left_out(corpus: Corpus, counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tokens of a corpus without those of a thousandth of its rows or more that none of ``asked`` (token) is: they would be exchanged for nothing. A kept corpus is not exchanged."""
+    if corpus.names is not None:
+        return corpus.tokens
+    frequent = stage(counts.where(F.col("n") * 1000 >= corpus.tokens.count()), "frequent")
+    unasked = stage(frequent.select("token").join(asked.select("token").join(F.broadcast(frequent), "token", "left_semi").distinct(), "token", "left_anti"), "unasked")
+    return corpus.tokens.join(F.broadcast(unasked), "token", "left_anti")
 
 
 def cited_names(citations: DataFrame) -> DataFrame:
-    """(case_name, parts): each distinct cited name, taken apart once."""
+    """(case_name, parts): each distinct cited name, taken apart."""
     names = citations.where(blank_to_null("case_name").isNotNull()).select("case_name").distinct()
-    return stage(names.withColumn("parts", name_parts(F.col("case_name"))), "cited-names")
+    return names.withColumn("parts", name_parts(F.col("case_name")))
 
 
 def match_names(citations: DataFrame, cases: DataFrame, threshold: float = fixed.NAME_MATCH) -> DataFrame:

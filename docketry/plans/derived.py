@@ -61,8 +61,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brief_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, o_orderkey, way, written): each order's citation as a sentence. ``way`` is the key modulo 8."""
     rows = order_cases(spark, sf_dir).withColumn("way", (F.col("o_orderkey") % 8).cast("int"))
-    slots = rows.select((F.col("o_orderkey") + PARTNER).alias("o_orderkey"), *(F.col(c).alias(f"_{c}") for c in ("volume", "reporter", "page")))
-    rows = rows.join(slots, "o_orderkey", "left").where("way <> 4 or _volume is not null")
+    # Only orders of way 4 borrow a citation, so only they and those before them are dealt by key.
+    slots = rows.where((F.col("o_orderkey") + PARTNER) % 8 == 4).select((F.col("o_orderkey") + PARTNER).alias("o_orderkey"), *(F.col(c).alias(f"_{c}") for c in ("volume", "reporter", "page")))
+    own = rows.where("way <> 4").withColumns({c: F.lit(None).cast("string") for c in slots.columns[1:]})
+    rows = own.unionByName(rows.where("way = 4").join(slots, "o_orderkey"))
     unused = F.col("way").isin(2, 5, 7)
     volume = F.when(F.col("way") == 4, F.col("_volume")).when(unused, (F.col("o_orderkey") % 50 + 901).cast("string")).otherwise(F.col("volume"))
     reporter, page = F.when(F.col("way") == 4, F.col("_reporter")).otherwise(F.col("reporter")), F.when(F.col("way") == 4, F.col("_page")).otherwise(F.col("page"))
