@@ -61,3 +61,40 @@ def test_decided_rows_hold_each_record_once(spark):
     assert {len(r._records) for r in decided.collect()} == {1}
     for r in explain_verdicts(decided).collect():
         assert (r.rule, r.resolved.cluster_id, [e.top.cluster_id for e in r.evidence]) == ("D3", r.idx, [r.idx, r.idx])
+
+
+def test_names_are_exchanged_as_written_and_taken_apart_where_they_meet(spark):
+    """Names in parts were written for both sides and exchanged twice; the word between the parties was looked up and exchanged by every name."""
+    from docketry.functions.names import name_similarity
+    from docketry.operators.corpus import corpus_of
+    from docketry.operators.search import cited_names, match_distinct_names
+
+    names = ["V", "v. v. v.", "In re V", "Ash v. Oak", "Ash Elm v. Oak", "ASH v OAK", "Elm", "V. Elm v. Oak", "Vine v. Oak", "Ash Elm Fir Gorse Hazel v. Oak", "Ash Elm Fir Gorse v. Oak", "", "The v. Co.", "A. v. B."]
+    names += [f"Birch{chr(97 + k)} v. Oak{chr(97 + k % 3)}" for k in range(26)]
+    cases = spark.createDataFrame([(k, n, [f"{k} F.3d 1"], None, None, None, None, None) for k, n in enumerate(names)], "cluster_id long, case_name string, citations array<string>, court string, court_id string, date_filed string, absolute_url string, snippet string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = match_distinct_names(cited_names(cases), corpus_of(cases))
+        assert plan_of(found).count("SortMergeJoin") == 2  # beginnings of words, and tokens
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    a, b = cases.where("case_name <> ''").select("case_name"), cases.select(F.col("case_name").alias("found_name"))
+    every = a.crossJoin(b).select("case_name", "found_name", name_similarity("case_name", "found_name").alias("sim")).where("sim >= 0.8")
+    assert got == sorted(map(tuple, every.collect())) and len(got) > len(names)
+
+
+def test_mentions_are_dealt_by_document_once(spark):
+    """Each window and each grouping dealt all that stands around the mentions anew."""
+    from docketry.operators.extract import attribute_short_forms, citation_mentions, merge_authorities
+    from docketry.sources.shared import stage
+
+    text = "Ash v. Oak, 9 F.3d 7 (9th Cir. 1999). Id. at 8. See Elm v. Fir, 3 F.2d 5 (9th Cir. 1950). Compare 9 F.3d, at 9. Then 9 F.3d 7 (9th Cir. 1999). Id."
+    found = attribute_short_forms(citation_mentions(scan_documents(spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string"))))
+    mentions = stage(found, "mentions")
+    merged = merge_authorities(mentions)
+    assert [plan_of(df).count("Exchange hashpartitioning") for df in (found, merged)] == [1, 1]
+    at = lambda r: [text[s.s : s.e] for s in r.spans]
+    assert [(r.doc_id, r.idx, r.cite_key, at(r)) for r in merged.orderBy("doc_id", "idx").collect()] == [
+        (d, *row) for d in "12" for row in ((0, "9f3d7", ["9 F.3d 7", "Id. at 8", "9 F.3d, at 9", "9 F.3d 7", "Id."]), (1, "3f2d5", ["3 F.2d 5"]))
+    ]
