@@ -103,20 +103,27 @@ def tidy(run):
     return own
 
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, each word's place among them, each text's first word) of texts, by ASCII white space; null texts have none.
 
-    The third has one more entry than there are texts.
+    The third has one more entry than there are texts. The words may hold an empty one, which has no place.
     """
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    words, at, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    if "" in words:
-        some = at != words.index("")
+    words, at, bounds = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:
+        some = at != empty
         at, bounds = at[some], np.concatenate([[0], np.cumsum(some)])[bounds]
     return words, at, bounds
 
 
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``coded_words`` with the words as a list."""
+    words, at, bounds = coded_words(texts)
+    return words.to_pylist(), at, bounds
+
+
 class WordTable:
     """A row of ``width`` numbers for each word, so that ``measure(word)`` runs once for each distinct word.
 

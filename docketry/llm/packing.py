@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -11,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, portions, ranges, split_words, tidy, worker_memory
+from docketry.llm.common import coded_words, materialize, portions, ranges, tidy, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -129,10 +129,14 @@ class Encoder:
     words (Latin letters, perhaps one comma or stop) are encoded as one text, which
     is cut after the right number of such tokens; other words are encoded one by
     one. This holds for tokenizers with word ends that drop white space, such as
-    word_bpe_49k. Beyond ``limit`` words, those are forgotten that one step alone
-    had: most words of a corpus are seen once.
+    word_bpe_49k. Beyond ``limit`` words, or ``WORD_BYTES`` times as many bytes of
+    them, those are forgotten that one step alone had: most words of a corpus are
+    seen once. Words are kept as an Arrow array, a tenth of what a dict of them takes:
+    a worker of each core keeps them beside all that runs before and after.
     """
 
+    WORD_BYTES = 64
+
     def __init__(self, path: str, limit: int = 400_000, word_end: str = "</w>"):
         # Spark runs a task for each core; threads of the library would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +151,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.used = {}, 0
+        self.known, self.used = pa.array([], pa.string()), 0
         self.first, self.length, self.pool, self.steps = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int32, np.uint32, np.int32))
 
     def _forget(self) -> None:
@@ -155,10 +159,12 @@ class Encoder:
         often = np.flatnonzero(self.steps[: len(self.known)] > 1)
         if 2 * len(often) > self.limit:
             return self._reset()
-        words, sizes = list(self.known), self.length[often]
+        words, sizes = self.known.take(pa.array(often)), self.length[often]
         ids = self.pool[ranges(self.first[often], sizes)]
+        if words.nbytes > self.WORD_BYTES * self.limit:
+            return self._reset()
         self._reset()
-        self._add([words[i] for i in often.tolist()], sizes, ids)
+        self._add(words, sizes, ids)
         self.steps[: len(often)] = 1
 
     def _alone(self, words: list[str]) -> tuple[list[int], np.ndarray]:
@@ -181,9 +187,9 @@ class Encoder:
         done = [self._together(plain[k : k + 1000]) for k in range(0, len(plain), 1000)]
         done.append(self._alone(other))
         sizes, flat = (np.concatenate([x[k] for x in done]) for k in (1, 0))
-        self._add(plain + other, sizes, flat)
+        self._add(pa.array(plain + other, pa.string()), sizes, flat)
 
-    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+    def _add(self, words: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> None:
         at, end = len(self.known), self.used + len(flat)
         for name, need in (("first", at + len(words)), ("length", at + len(words)), ("steps", at + len(words)), ("pool", end)):
             held = getattr(self, name)
@@ -193,17 +199,18 @@ class Encoder:
         self.length[at : at + len(words)] = sizes
         self.first[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used = end
-        self.known.update(zip(words, range(at, at + len(words))))
+        self.known = pa.concat_arrays([self.known, words])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's first id and the end)."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.known.nbytes > self.WORD_BYTES * self.limit:
             self._forget()
-        words, at, bounds = split_words(texts)
-        known = self.known
-        if new := [w for w in words if w and w not in known]:
+        words, at, bounds = coded_words(texts)
+        rows, before = pc.index_in(words, self.known), len(self.known)
+        if new := [w for w in words.filter(pc.is_null(rows)).to_pylist() if w]:
             self._learn(new)
-        rows = np.fromiter(map(known.get, words, itertools.repeat(0)), np.int64, len(words))
+            rows = pc.coalesce(rows, pc.add(pc.index_in(words, self.known.slice(before)), before))
+        rows = pc.fill_null(rows, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(rows):
             self.steps[rows] += 1  # the words are distinct
         rows = rows[at]

@@ -183,6 +183,17 @@ def test_encoder_forgets_words_and_no_token():
     assert max(sizes) <= 300 + 120 and any(0 < b < a for a, b in zip(sizes, sizes[1:]))
 
 
+def test_encoder_holds_no_more_bytes_of_words_than_it_may():
+    """Words were kept as a dict of texts, many times their bytes, and long ones without a bound."""
+    texts = [" ".join(f"{chr(97 + k)}{x}" * 500 for x in WORDS) for k in range(20)]
+    whole, _ = Encoder(tokenizer_path()).encode(pa.array(texts))
+    small_, found = Encoder(tokenizer_path(), limit=300), []
+    for k in range(20):
+        found.append(small_.encode(pa.array(texts[k : k + 1]))[0])
+        assert small_.known.nbytes <= 300 * Encoder.WORD_BYTES + 2 * len(texts[k])
+    assert np.array_equal(np.concatenate(found), whole)
+
+
 def check_packing(rows, lengths, size):
     by_sequence, by_doc = {}, {}
     for r in rows:
