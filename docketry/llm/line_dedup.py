@@ -70,8 +70,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     Each line is hashed once, and the hashes are kept with the line's place. The
     places of common lines come back to their document, which is put together from
     its other places in order: time and memory grow with a document's lines. The
-    texts themselves move only in that last join, and stay where they are when the
-    documents with common lines are few.
+    texts themselves move once, in that last join, whatever the size: the places
+    grow with the documents, so a broadcast of them would end at some size.
     """
     keys = materialize(line_keys(docs, doc_id, text), "line-keys")
     own = docs.drop("n_lines", "n_dropped")
@@ -79,7 +79,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     places = F.collect_set("_at").alias(drop)
     hits = materialize(common_lines(keys, min_docs).groupBy(F.col("_id").alias(key), F.col("_text").alias(text_hash)).agg(places), "places")
     discard(keys)
-    joined = own.join(hits, own[doc_id].eqNullSafe(hits[key]) & (F.xxhash64(own[text]) == hits[text_hash]), "left").withColumn(all_, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    joined = own.join(hits.hint("shuffle_hash"), own[doc_id].eqNullSafe(hits[key]) & (F.xxhash64(own[text]) == hits[text_hash]), "left").withColumn(all_, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     # Sets of numbers are hashed, so this takes a step a line; a search in an array would take a step a line and common line.
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(drop))
     out = joined.withColumn(left, F.when(F.col(drop).isNotNull(), stay))

@@ -756,3 +756,13 @@ def test_hash_of_kept_text(spark):
     got = {r.doc_id: r.kept_sha256 for r in op8_line_dedup(spark, SF).collect()}
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, _, _ in brute_lines(rows, 10)}
+
+
+def test_texts_meet_their_common_lines_by_one_plan_at_every_size(spark):
+    """The places of common lines were broadcast while they were few, so what was shuffled grew by a leap once they were not."""
+    df = spark.createDataFrame([(n, f"all\nown {n}\nall") for n in range(12)] + [(None, "all"), (None, "alone"), (99, None)], "doc_id long, text string")
+    out = drop_common_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "Sort" not in plan
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect())
+    assert got == Counter([(n, f"own {n}", 3, 2) for n in range(12)] + [(None, "", 1, 1), (None, "alone", 1, 0), (99, "", 1, 0)])
