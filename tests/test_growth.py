@@ -98,3 +98,49 @@ def test_mentions_are_dealt_by_document_once(spark):
     assert [(r.doc_id, r.idx, r.cite_key, at(r)) for r in merged.orderBy("doc_id", "idx").collect()] == [
         (d, *row) for d in "12" for row in ((0, "9f3d7", ["9 F.3d 7", "Id. at 8", "9 F.3d, at 9", "9 F.3d 7", "Id."]), (1, "3f2d5", ["3 F.2d 5"]))
     ]
+
+
+def _cited_cases(spark):
+    """40 cases and a citation of each."""
+    k = F.col("id")
+    name, cite = F.format_string("Birch%d Ash v. Oak", k), F.format_string("%d F.3d 7", k + 1)
+    cases = spark.range(40).select(k.alias("cluster_id"), name.alias("case_name"), F.array(cite).alias("citations"), F.lit("9th Cir.").alias("court"), F.lit("ca9").alias("court_id"), F.lit("1999-01-01").alias("date_filed"), F.lit(None).cast("string").alias("absolute_url"), F.lit(None).cast("string").alias("snippet"))
+    cited = spark.range(40).select(F.lit("d").alias("doc_id"), k.cast("int").alias("idx"), name.alias("case_name"), F.format_string("%df3d7", k + 1).alias("cite_key"), F.lit("9th Cir.").alias("court"), F.lit("ca9").alias("court_id"), F.lit("document").alias("court_source"), F.lit("1999").alias("year"))
+    return cited, cases
+
+
+def test_searches_deal_citations_by_key_from_a_number_of_rows_on(spark, monkeypatch):
+    """Spark broadcast a side of 900,000 citations, as its columns take few bytes, and dealt it at 9,000,000: what is shuffled grew faster than the rows."""
+    from docketry.operators import search
+
+    cited, cases = _cited_cases(spark)
+    rows, plans = [], []
+    for most in (200_000, 10):
+        monkeypatch.setattr(search, "MOST_BROADCAST", most)
+        results, _ = search.corpus_search(cited, cases)
+        plans.append(plan_of(results))
+        rows.append(sorted((r.idx, r.strategy, r["rank"], r.rec.cluster_id, r.sim, r.found) for r in results.collect()))
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1] and plans[1].count("SortMergeJoin") == 2  # by name and by citation
+    assert rows[0] == rows[1] and len(rows[0]) == 120
+
+
+def test_pairs_of_names_meet_records_where_they_are_made_distinct(spark):
+    """Pairs were dealt by both names, written, and dealt again by the found one."""
+    from docketry.operators.corpus import corpus_of
+    from docketry.operators.search import cited_names, match_distinct_names
+
+    cited, cases = _cited_cases(spark)
+    corpus = corpus_of(cases)
+    found = match_distinct_names(cited_names(cited), corpus).hint("merge").join(corpus.records, "found_name")
+    dealt = [line for line in plan_of(found).split("\n") if "Exchange hashpartitioning" in line and "name" in line]
+    assert len(dealt) == 2 and all("hashpartitioning(found_name" in line for line in dealt)  # pairs and records
+    assert found.count() == 40
+
+
+def test_orders_meet_customers_once_for_citations_and_cases(spark, monkeypatch):
+    from docketry.plans import derived, stated
+
+    read, table = [], derived.table
+    monkeypatch.setattr(derived, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
+    assert stated.verdict_rows(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(read) == ["customer", "orders"]
