@@ -8,6 +8,7 @@ import gc
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,29 +81,57 @@ def portions(column: pa.Array, rows: int, size: int) -> Iterator[slice]:
         yield slice(first, len(column))
 
 
+def _memories() -> dict[str, dict]:
+    return sys.modules.setdefault("_docketry_memory", types.ModuleType("_docketry_memory")).__dict__.setdefault("memories", {})
+
+
 def worker_memory(name: str) -> dict:
-    """A dict that a Python worker keeps from task to task, for things that cost time to make again. No result depends on it."""
-    kept = sys.modules.setdefault("_docketry_memory", types.ModuleType("_docketry_memory"))
-    return kept.__dict__.setdefault(name, {})
+    """A dict that a Python worker keeps from task to task, for things that cost time to make again, until a ``tidy`` task that doesn't keep it begins. No result depends on it."""
+    return _memories().setdefault(name, {})
+
+
+def give_back() -> None:
+    """Give the memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
-def tidy(run):
-    """A task's generator of batches that gives the memory it has freed back to the system at its end, as Python workers live on for other tasks."""
+def tidy(run=None, *, keeps: str | None = None):
+    """A task's generator of batches that gives the memory it has freed back to the system at its end, as Python workers live on for other tasks.
+
+    At its beginning the worker forgets every ``worker_memory`` but ``keeps``: what the tasks of another operator have left there.
+    """
+    if run is None:
+        return functools.partial(tidy, keeps=keeps)
 
     @functools.wraps(run)
     def own(*args):
+        memories = _memories()
+        for name in [x for x in memories if x != keeps]:
+            del memories[name]
         try:
             yield from run(*args)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return own
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand Python at most ``rows`` rows in an Arrow batch: both the executor and the worker hold a whole one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, each word's place among them, each text's first word) of texts, by ASCII white space; null texts have none.
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import coded_words, materialize, portions, ranges, tidy, worker_memory
+from docketry.llm.common import arrow_rows, coded_words, give_back, materialize, portions, ranges, tidy, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -24,7 +24,9 @@ MIN_CUT = 32
 FAN_IN = 16
 END_ID = 1
 #: Texts that are encoded at once, and their bytes, unless one alone has more.
-TEXTS, STEP = 2048, 4 << 20
+TEXTS, STEP = 2048, 1 << 20
+#: Words that the tokenizer gets at once.
+WORDS = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, is_open boolean, part long"
 _SCHEMA = pa.schema(
@@ -149,6 +151,8 @@ class Encoder:
         # Latin letters up to U+024F but U+0130, whose lower case has a combining dot.
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.]?").fullmatch
         self._reset()
+        del vocabulary
+        give_back()  # what reading the tokenizer took
 
     def _reset(self) -> None:
         self.known, self.used = pa.array([], pa.string()), 0
@@ -170,7 +174,7 @@ class Encoder:
     def _alone(self, words: list[str]) -> tuple[list[int], np.ndarray]:
         """(ids of all words, how many each has)."""
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return [i for x in ids for i in x], np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -184,8 +188,7 @@ class Encoder:
         plain, other = [], []
         for w in words:
             (plain if self.plain(w) else other).append(w)
-        done = [self._together(plain[k : k + 1000]) for k in range(0, len(plain), 1000)]
-        done.append(self._alone(other))
+        done = [encode(some[k : k + WORDS]) for encode, some in ((self._together, plain), (self._alone, other)) for k in range(0, len(some), WORDS)]
         sizes, flat = (np.concatenate([x[k] for x in done]) for k in (1, 0))
         self._add(pa.array(plain + other, pa.string()), sizes, flat)
 
@@ -239,7 +242,7 @@ def pack_documents(
     an id) is filled where ``keep_ids``.
     """
 
-    @tidy
+    @tidy(keeps="encoders")
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -273,7 +276,8 @@ def pack_documents(
         return run
 
     found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = materialize(found.mapInArrow(first, PIECES), "packed")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        packed = materialize(found.mapInArrow(first, PIECES), "packed")
     done, left, depth = packed.where("not is_open"), packed.where("is_open"), 0
     parts = (packed.agg(F.max("part")).first()[0] or 0) + 1
     while depth == 0 or parts > 1:

@@ -171,6 +171,33 @@ def test_encoder_equals_tokenizer():
         assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_hands_the_tokenizer_some_words_at_once():
+    """All words that are not plain went in one call, each of which gives an object of many lists."""
+    encoder, sizes = Encoder(tokenizer_path()), []
+    whole, _ = encoder.encode(pa.array(["".join(f"{k}-x " for k in range(2500)) + "plain words"]))
+    fresh_, alone = Encoder(tokenizer_path()), Encoder._alone
+    fresh_._alone = lambda words: sizes.append(len(words)) or alone(fresh_, words)
+    again, _ = fresh_.encode(pa.array(["".join(f"{k}-x " for k in range(2500)) + "plain words"]))
+    assert sizes == [1000, 1000, 500]
+    assert list(whole) == list(again) == encoder.tokenizer.encode("".join(f"{k}-x " for k in range(2500)) + "plain words", add_special_tokens=False).ids
+
+
+def test_packing_takes_small_batches_and_its_encoders_go_with_the_next_operator(spark, monkeypatch):
+    """Workers held encoders beside all later stages of a pipeline, and batches of 10,000 texts, as their executor did."""
+    from docketry.llm import common, packing
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "materialize", lambda df, what: seen.append((what, spark.conf.get(name))) or common.materialize(df, what))
+    pack_documents(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), tokenizer_path()).count()
+    assert ("packed", "2048") in seen and spark.conf.get(name) == before
+
+    made = []
+    own = common.tidy(keeps="some")(lambda x: iter(made.append(len(common.worker_memory("some"))) or [common.worker_memory("some").setdefault(x, x)]))
+    other = common.tidy(lambda: iter([0]))
+    assert [list(own(1)), list(own(2)), list(other()), list(own(3))] and made == [0, 1, 0]
+
+
 def test_encoder_forgets_words_and_no_token():
     texts = [prose(k, 40) for k in range(60)]
     whole, _ = Encoder(tokenizer_path()).encode(pa.array(texts))
