@@ -9,9 +9,12 @@ from docketry.functions.text import comparable_quote, is_distinctive
 from docketry.operators.quotes import KEY, quote_phrase
 from docketry.sources.shared import discard, stage
 
+PLACE = ["token", "source_id", "at"]
 #: Folders of an index, by a hash of the word; a search reads those of its words.
 SHARDS = 64
-#: Most distinct words of a search that are broadcast; beyond it, the same join shuffles.
+#: Parts of a folder, by a hash of the text, so that a word of every text is spread over as many tasks.
+SLICES = 16
+#: Most distinct words of a search, or places that it asks for, that are broadcast; beyond it, the same join shuffles.
 MOST_WORDS = 200_000
 
 
@@ -28,11 +31,13 @@ def word_places(texts: DataFrame, shards: int = SHARDS) -> DataFrame:
 def add_to_index(texts: DataFrame, path: str) -> None:
     """Add ``texts`` (id, text), of ids that are not in it yet, to the index at ``path``; what is there is neither read nor written.
 
-    Rows are dealt by ranges of word and text, so that a word of every text is
-    spread over many tasks, and lie in order, so that a word's rows are read without
-    the others of its folder.
+    Rows are dealt by folder and a hash of the text, so that a word of every text is
+    spread over ``SLICES`` tasks, and lie in order, so that a word's rows are read
+    without the others of its folder. Ranges of words would have to be sampled: all
+    texts would be read and taken apart twice.
     """
-    rows = word_places(texts).repartitionByRange("shard", "token", "source_id").sortWithinPartitions("shard", "token", "source_id", "at")
+    part = F.pmod(F.xxhash64("source_id"), F.lit(SLICES))
+    rows = word_places(texts).repartition(F.col("shard"), part).sortWithinPartitions("shard", "token", "source_id", "at")
     rows.write.mode("append").partitionBy("shard").parquet(path)
 
 
@@ -40,6 +45,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def places_due(places: DataFrame, due: DataFrame) -> DataFrame:
+    """Those of ``places`` that ``due`` (staged) asks for: frequent words have most of all places, and are exchanged only if more than ``MOST_WORDS`` places are asked for."""
+    asked = due.select(*PLACE).distinct()
+    return places.join(F.broadcast(asked), PLACE, "left_semi") if due.count() <= MOST_WORDS else places
+
+
 def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """(phrase_id, source_id) of the texts that hold a phrase: its words in order, side by side. ``phrases``: (id, text).
 
@@ -65,8 +76,8 @@ def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
         # At each beginning, all words of this step have to stand where they belong.
         step = ranked.where(more)
         needed = step.groupBy("phrase_id").agg(F.count("*").alias("_words"))
-        due = starts.join(step, "phrase_id").select("phrase_id", "source_id", "begin", "token", (F.col("begin") + F.col("offset")).alias("at"))
-        met = due.join(places, ["token", "source_id", "at"], "left_semi").groupBy("phrase_id", "source_id", "begin").agg(F.count("*").alias("_met"))
+        due = stage(starts.join(step, "phrase_id").select("phrase_id", "source_id", "begin", "token", (F.col("begin") + F.col("offset")).alias("at")), "due")
+        met = due.join(places_due(places, due), PLACE, "left_semi").groupBy("phrase_id", "source_id", "begin").agg(F.count("*").alias("_met"))
         ended = starts.join(needed, "phrase_id", "left_anti")
         starts = stage(met.join(needed, "phrase_id").where("_met = _words").select("phrase_id", "source_id", "begin").union(ended), "beginnings")
     found = stage(starts.select("phrase_id", "source_id").distinct(), "phrase-matches")

@@ -144,3 +144,24 @@ def test_orders_meet_customers_once_for_citations_and_cases(spark, monkeypatch):
     monkeypatch.setattr(derived, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
     assert stated.verdict_rows(spark, "/root/testdata/sf0.001").count() > 0
     assert sorted(read) == ["customer", "orders"]
+
+
+def test_phrases_exchange_no_places_but_those_asked_for(spark, monkeypatch, tmp_path):
+    """All places of the words of all phrases were exchanged twice; and an index was made of texts read twice, as ranges of words are sampled."""
+    from docketry.operators import phrases as P
+
+    texts = spark.range(60).select("id", F.concat(F.lit("the of the rare"), F.col("id") % 7, F.lit(" of the end")).alias("text"))
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: read.add(1) or x, "long")
+    P.add_to_index(texts.select(counted("id").alias("id"), "text"), str(tmp_path / "i"))
+    assert read.value == 60
+    places = P.read_index(spark, str(tmp_path / "i")).select(*P.PLACE)
+    due = spark.createDataFrame([("p", 3, 0, "the", 0), ("p", 3, 0, "of", 1), ("q", 3, 0, "the", 0), ("q", 5, 1, "of", 2)], "phrase_id string, source_id long, begin int, token string, at int")
+    near = P.places_due(places, due)
+    assert sorted(map(tuple, near.collect())) == [("of", 3, 1), ("the", 3, 0)] and "BroadcastHashJoin" in plan_of(near)
+    asked = spark.createDataFrame([(1, "the of the rare3"), (2, "rare3 of the end"), (3, "of rare3")], "id long, text string")
+    rows = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(P, "MOST_WORDS", most)
+        rows.append(sorted(map(tuple, P.phrase_matches(asked, P.read_index(spark, str(tmp_path / "i"))).collect())))
+    assert rows[0] == rows[1] == [(p, k) for p in (1, 2) for k in range(3, 60, 7)]
