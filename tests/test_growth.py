@@ -165,3 +165,29 @@ def test_phrases_exchange_no_places_but_those_asked_for(spark, monkeypatch, tmp_
         monkeypatch.setattr(P, "MOST_WORDS", most)
         rows.append(sorted(map(tuple, P.phrase_matches(asked, P.read_index(spark, str(tmp_path / "i"))).collect())))
     assert rows[0] == rows[1] == [(p, k) for p in (1, 2) for k in range(3, 60, 7)]
+
+
+def test_names_and_courts_are_worked_out_once(spark):
+    """A name was put in lower case a dozen times to be taken apart, and a court five times for its form: three quarters of a match's time."""
+    from docketry.functions import names as N
+    from docketry.functions import text as X
+
+    name = F.concat(F.lit("The Ash Co. v. "), F.col("id").cast("string"))
+    times = lambda x, what: spark.range(1).select(x.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(what)
+    assert times(N.name_parts(name), "[^a-z0-9]+") == 3  # of all, and of each side
+    assert times(X.court_token(name), "translate(") == 1
+    assert times(N.is_plausible_party(name), "split(") == 1
+    courts = spark.createDataFrame([("11th Cir.",), ("2d Cir.",), ("11th Cir.\nx",), ("U.S.",), ("S.D.N.Y.",), (None,)], "c string")
+    assert [tuple(r) for r in courts.select(X.court_token("c"), X.court_token("c", strict=True)).collect()] == [("ca11", "ca11"), ("2dcir", "ca2"), ("ca11", "ca11"), ("scotus", "scotus"), ("sdny", "sdny"), ("", "")]
+    odd = spark.createDataFrame([("a  b",), ("a\x85b\x1c\u3000c ",), (" a b",), ("",), (None,)], "t string")
+    assert [r[0] for r in odd.select(X.one_line("t")).collect()] == ["a b", "a b c ", " a b", "", None]
+
+
+def test_what_reporters_tell_is_remembered_whatever_the_page():
+    """Each page was a new question to forty patterns, since the text after a reporter holds it."""
+    from docketry.operators.extract import told_by
+
+    told_by.cache_clear()
+    found = [m for n in range(1000) for m in scan_citations(f"{n + 1} U.S. {n + 7} and 9 A.D.2d {n + 1}, 9 Cal. {n + 3}")]
+    assert {m[9] for m in found} == {"scotus", "nyappdiv", "cal"} and len(found) == 3000
+    assert told_by.cache_info().misses < 50
