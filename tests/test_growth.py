@@ -168,7 +168,7 @@ def test_phrases_exchange_no_places_but_those_asked_for(spark, monkeypatch, tmp_
 
 
 def test_names_and_courts_are_worked_out_once(spark):
-    """A name was put in lower case a dozen times to be taken apart, and a court five times for its form: three quarters of a match's time."""
+    """A name was put in lower case nine times to be taken apart, and a court several times for its form."""
     from docketry.functions import names as N
     from docketry.functions import text as X
 
